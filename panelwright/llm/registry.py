@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import quality
+from panelwright.llm import hilbert, quality
 from panelwright.llm.sql import SQL
 
 
@@ -29,8 +29,13 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return hilbert.shards(docs, 40)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_rule_ledger,)}
+    return {f.__name__: f for f in (op5_hilbert_shards, op9_rule_ledger)}
 
 
 def oracle_sql() -> dict:
