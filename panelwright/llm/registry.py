@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import hilbert, quality
+from panelwright.llm import decontaminate, hilbert, quality
 from panelwright.llm.sql import SQL
 
 
@@ -29,13 +29,27 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return hilbert.shards(docs, 40)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_hilbert_shards, op9_rule_ledger)}
+    return {f.__name__: f for f in (op1_winnowing, op5_hilbert_shards, op9_rule_ledger)}
 
 
 def oracle_sql() -> dict:
