@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, quality
+from panelwright.llm import decontaminate, hilbert, piece_codec, quality
 from panelwright.llm.sql import SQL
 
 
@@ -48,8 +48,20 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(docs, 40)
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.digests(docs, tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op5_hilbert_shards, op9_rule_ledger)}
+    return {f.__name__: f for f in (op1_winnowing, op5_hilbert_shards, op9_rule_ledger, op10_piece_codec)}
 
 
 def oracle_sql() -> dict:
