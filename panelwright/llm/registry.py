@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, piece_codec, quality
+from panelwright.llm import decontaminate, hilbert, piece_codec, quality, secrets, urls
 from panelwright.llm.sql import SQL
 
 
@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fresh_ledger(spark))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.apply_policy(book, "web-1").select(
@@ -43,6 +49,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return hilbert.shards(docs, 40)
@@ -61,7 +71,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op5_hilbert_shards, op9_rule_ledger, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op5_hilbert_shards, op7_blob_ledger, op9_rule_ledger, op10_piece_codec)}
 
 
 def oracle_sql() -> dict:

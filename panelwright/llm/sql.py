@@ -2,4 +2,28 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_url_automaton": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+    THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^?#]*)', 1, 's') ELSE '' END AS rest FROM pages),
+urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(rest, length(regexp_extract(rest, '^([^/]*)', 1, 's')) + 1) AS path FROM parts),
+ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM urls)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN ('.' || host) LIKE '%.adult-%' OR ('.' || host) LIKE '%.%-adult.%' OR ('.' || host) LIKE '%.porn%'
+      OR ('.' || host) LIKE '%.xxx-%' OR ('.' || host) LIKE '%.casino%' OR ('.' || host) LIKE '%.%-casino.%'
+      OR ('.' || host) LIKE '%.cheap-pills%' OR ('.' || host) LIKE '%.%-pills.%' OR ('.' || host) LIKE '%.viagra%'
+      OR path LIKE '%/adult/%' OR path LIKE '%/casino/%' OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled""",
+}
