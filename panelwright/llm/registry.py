@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, piece_codec, quality, secrets, urls
+from panelwright.llm import decontaminate, hilbert, piece_codec, pseudonyms, quality, secrets, urls
 from panelwright.llm.sql import SQL
 
 
@@ -19,6 +19,14 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+#: Key of the pseudonyms in the registered queries; a deployment passes its own.
+DEMO_KEY = b"panelwright-demo-key"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.apply(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.apply_policy(book, "web-1").select(
@@ -71,7 +79,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op5_hilbert_shards, op7_blob_ledger, op9_rule_ledger, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op5_hilbert_shards, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
 
 
 def oracle_sql() -> dict:
