@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, piece_codec, pseudonyms, quality, secrets, urls
+from panelwright.llm import decontaminate, hilbert, piece_codec, pseudonyms, quality, secrets, token_records, urls
 from panelwright.llm.sql import SQL
 
 
@@ -13,6 +13,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: End of each document in the token files.
+END_ID = 2
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_records.fresh_folder(spark)
+    manifest = token_records.write(docs, folder, tokenizer("byte_bpe_50k.json"), END_ID)
+    return token_records.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fresh_ledger(spark))
@@ -79,7 +90,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op5_hilbert_shards, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
 
 
 def oracle_sql() -> dict:
