@@ -155,7 +155,7 @@ def write_batches(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int,
     try:
         for frame in batches:
             if out is None and len(frame):
-                out = fs.open_output_stream(f"{root}/{temporary}", buffer_size=1 << 20)
+                out = fs.open_output_stream(f"{root}/{temporary}", compression=None, buffer_size=1 << 20)
             for doc, ids in zip(frame["doc_id"].tolist(), c.all([t or "" for t in frame["text"]]), strict=True):
                 payload = struct.pack("<q", doc) + ids + end
                 head = struct.pack("<Q", len(payload))
@@ -170,7 +170,7 @@ def write_batches(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int,
             out.close()
     if not n_docs:
         return
-    with fs.open_output_stream(f"{root}/{temporary}.idx") as f:
+    with fs.open_output_stream(f"{root}/{temporary}.idx", compression=None) as f:
         f.write(np.array(index, dtype="<i8").tobytes())
     fs.move(f"{root}/{temporary}.idx", f"{root}/{name}.idx")
     fs.move(f"{root}/{temporary}", f"{root}/{name}")
@@ -220,7 +220,7 @@ def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples():
             fs, path = _fs(row.path)
             start, out, n_docs = row.first_token, [], 0
-            with fs.open_input_stream(path, buffer_size=1 << 20) as stream:
+            with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                 for offset, doc, ids in records(stream, row.width):
                     crc = zlib.crc32(ids.astype("<u4").tobytes())
                     out.append((None if doc == NO_ID else doc, start, len(ids), crc, row.shard, offset))
