@@ -1,14 +1,72 @@
-"""Clean a corpus: quality rules, near duplicates, benchmark passages, personal data, then token ids."""
+"""Clean a corpus in five stages, each written and read again by whoever runs them one by one.
+
+Quality rules drop documents that fail the policy; of each group of near duplicates the document with the least id
+stays; documents that hold a benchmark window go; personal data is replaced by pseudonyms; texts become token ids.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelwright.llm import decontaminate, jaccard, piece_codec, pseudonyms, quality
+from panelwright.llm._store import keep
+from panelwright.llm.registry import DEMO_KEY, tokenizer
+
+POLICY = "web-1"
+#: Contaminated documents are broadcast up to this count, 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the policy."""
+    judged = quality.apply_policy(quality.ledger(docs), POLICY)
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard.representatives(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(docs, items).where("contaminated")
+    found = keep(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_h")).distinct(), "contaminated")
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    return docs.join(F.broadcast(found) if few else found, same, "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data; ``n_chars`` follows the text."""
+    return pseudonyms.n_chars(pseudonyms.apply(docs, DEMO_KEY)).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, and the text that they decode to."""
+    return piece_codec.encode(docs, tokenizer("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark passages", benchmark_passages),
+    ("personal data", personal_data),
+    ("token ids", token_ids),
+]
+
+#: The near-duplicate join, the pseudonyms and the tokenizer have no SQL form; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each written to the shared folder before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = keep(docs, f"pipeline-{i}")
     return docs

@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,7 @@ def encode_batches(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.Da
     c = codec(path)
     for frame in batches:
         rows = list(c.all([t or "" for t in frame["text"]]))
-        ids = [[int(x) for x in r[0].split(",")] if r[0] else [] for r in rows]
+        ids = [np.fromstring(r[0], dtype=np.int32, sep=",") if r[0] else np.zeros(0, dtype=np.int32) for r in rows]
         yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [r[2] for r in rows]})
 
 

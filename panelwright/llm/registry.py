@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, piece_codec, pseudonyms, quality, secrets, token_records, urls, warc
+from panelwright.llm import decontaminate, hilbert, jaccard, piece_codec, pseudonyms, quality, secrets, token_records, urls, warc
 from panelwright.llm.sql import SQL
 
 
@@ -72,6 +72,10 @@ def op2_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.read_digests(warc.write(pages, warc.fresh_folder(spark)))
@@ -95,7 +99,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op3_bayes_jaccard, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
 
 
 def oracle_sql() -> dict:
