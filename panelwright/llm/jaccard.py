@@ -43,7 +43,7 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 STEP = 32
 TOLERANCE = 1e-7
-BLOCK = 512
+BLOCK = 2048
 #: Pairs compared at a time inside a task.
 CHUNK_PAIRS = 1 << 16
 #: Candidate keys are broadcast to the second pass over the texts up to this count (24 bytes each), joined beyond it.
