@@ -1 +1,80 @@
-"""Queries of the fitted models."""
+"""Queries of the fitted models.  Optimisers have no SQL form; tests/ holds them against known values instead."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelwright.functions import accuracy as acc
+from panelwright.operators.panel import panel
+from panelwright.operators.verbs import groupby, summarise
+from panelwright.plans import fit as fits
+from panelwright.plans import specs as sp
+from panelwright.plans.catalog import monthly_flow, query, read, revenue_panel, rounded, split_panel
+
+
+def flow_panel(spark, d):
+    p = panel(monthly_flow(spark, d), groups="flag", date="month", frequency="month", target="q", fill_time=True, target_na="zero")
+    return p
+
+
+@query()
+def model_smoothing(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    specs = sp.model(sp.ses_spec("revenue = ses()"), sp.holt_spec("revenue = holt(damped=True)"), sp.holt_winters_spec("revenue"))
+    return rounded(fits.forecast(specs, train, 6), 2)
+
+
+@query()
+def model_ets(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return rounded(fits.forecast(sp.ets_spec("revenue = e('A') + t('Z') + s('A')"), train, 6), 2)
+
+
+@query()
+def model_arima(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return rounded(fits.forecast(sp.arima_spec("revenue = p(0,2) + q(0,2) + P(0,1) + Q(0,1)"), train, 6), 2)
+
+
+@query()
+def model_arima_fixed(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return fits.fit(sp.arima_spec("revenue = p(1) + d(1) + q(1) + P(0) + Q(0) + D(0)"), train).select("priority", "model_name", "method", F.round("aic", 2).alias("aic"), "status")
+
+
+@query()
+def model_arar_theta(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return rounded(fits.forecast(sp.model(sp.arar_spec("revenue"), sp.theta_spec("revenue", model_type="OTM")), train, 6), 2)
+
+
+@query()
+def model_croston(spark, d):
+    e = read(spark, d, "events").where("user_id < 20 and event_type = 'purchase'").select("user_id", F.col("ts").cast("date").alias("day"), "value")
+    t = summarise(groupby(e, "user_id", "day"), demand=("value", "length"))
+    p = panel(t, groups="user_id", date="day", frequency="day", target="demand", fill_time=True, balanced=True, target_na="zero")
+    specs = sp.model(sp.croston_spec("demand"), sp.croston_spec("demand", kind="sba", name="sba"), sp.croston_spec("demand", kind="sbj", name="sbj"))
+    return rounded(fits.forecast(specs, p, 3, level=[]))
+
+
+@query()
+def model_collection_accuracy(spark, d):
+    train, test = split_panel(revenue_panel(spark, d), 6)
+    specs = sp.model(sp.naive_spec("revenue"), sp.snaive_spec("revenue"), sp.ses_spec("revenue"), sp.arar_spec("revenue"))
+    table = fits.as_table(fits.forecast(specs, train, 6))
+    return rounded(acc.accuracy(table, test, keys=["priority"], value="revenue", time="month", training=train.df), 3)
+
+
+@query()
+def series_statistics(spark, d):
+    return rounded(fits.statistics(flow_panel(spark, d), "q"), 4)
+
+
+@query()
+def series_mstl(spark, d):
+    return rounded(fits.mstl(flow_panel(spark, d), "q"), 3)
+
+
+@query()
+def series_pacf(spark, d):
+    return rounded(fits.pacf(flow_panel(spark, d), "q", 12), 6)
