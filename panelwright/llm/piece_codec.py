@@ -20,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
 
 MARK = "▁"
-TABLE_ROWS = 200_000
+TABLE_ROWS = 60_000
 #: Characters of text whose chunks are looked up together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+#: Rows whose texts and results are held at a time.
+SLICE_ROWS = 512
 #: Longer chunks are segmented without being kept.
 KEPT_CHARS = 64
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -118,23 +121,34 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def digest_batches(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of a few rows at a time: Python objects exist for one slice only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            yield part.column("doc_id"), [t or "" for t in part.column("text").to_pylist()]
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
-    for frame in batches:
-        ids, decoded, counts = [], [], []
-        for i, n, d in c.all([t or "" for t in frame["text"]]):
-            counts.append(n)
-            ids.append(hashlib.sha256(i.encode()).hexdigest())
-            decoded.append(hashlib.sha256(d.encode()).hexdigest())
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded})
+    for doc_id, texts in _slices(batches):
+        rows = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for i, n, d in c.all(texts)]
+        n, ids, decoded = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [doc_id, pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
 
 
-def encode_batches(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
-    for frame in batches:
-        rows = list(c.all([t or "" for t in frame["text"]]))
-        ids = [np.fromstring(r[0], dtype=np.int32, sep=",") if r[0] else np.zeros(0, dtype=np.int32) for r in rows]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [r[2] for r in rows]})
+    for doc_id, texts in _slices(batches):
+        parts, ends, decoded = [], [0], []
+        for ids, n, text in c.all(texts):
+            parts.append(np.fromstring(ids, dtype=np.int32, sep=",") if n else np.zeros(0, dtype=np.int32))
+            ends.append(ends[-1] + n)
+            decoded.append(text)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+        yield pa.RecordBatch.from_arrays([doc_id, lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -144,13 +158,13 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) and the decoded text of every row."""
     run = workers.batches(__name__, "encode_batches", model)
-    return _keyed(docs, doc_id, text).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return _keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; the ids themselves don't leave the task."""
     run = workers.batches(__name__, "digest_batches", model)
-    return _keyed(docs, doc_id, text).mapInPandas(
+    return _keyed(docs, doc_id, text).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -40,9 +40,9 @@ from panelwright.llm._store import keep, new_dir
 
 NO_ID = -(2**63)
 MASK_DELTA = 0xA282EAD8
-TABLE_ROWS = 200_000
+TABLE_ROWS = 60_000
 KEPT_CHARS = 64
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, width int"
 
