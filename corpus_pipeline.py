@@ -21,8 +21,9 @@ BROADCAST_ROWS = 1_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the policy."""
-    judged = quality.apply_policy(quality.ledger(docs), POLICY)
-    return judged.where("kept").select(*docs.columns)
+    # the row is packed away, so a column that is named like a measurement keeps its values
+    judged = quality.apply_policy(quality.ledger(docs.select("text", F.struct("*").alias("__pw_row"))), POLICY)
+    return judged.where("kept").select("__pw_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +35,15 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without any benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(docs, items).where("contaminated")
-    found = keep(found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_h")).distinct(), "contaminated")
+    found = keep(found.select(F.col("doc_id").alias("__pw_doc"), F.col("text_key").alias("__pw_text")).distinct(), "contaminated")
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("__pw_doc")) & (F.xxhash64("text") == F.col("__pw_text"))
     return docs.join(F.broadcast(found) if few else found, same, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; ``n_chars`` follows the text."""
-    return pseudonyms.n_chars(pseudonyms.apply(docs, DEMO_KEY)).select(*docs.columns)
+    return pseudonyms.n_chars(pseudonyms.apply(docs, DEMO_KEY, counts=False)).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -399,16 +399,16 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     key = F.struct("doc_id", "th")
     members = profile.where("n > 0").select("doc_id", "th", "twin").join(nodes.select("twin", "class"), "twin")
     losers = members.where(key != F.col("class")).select("doc_id", "th").distinct()
-    losers = keep(losers.withColumnsRenamed({"doc_id": "_d", "th": "_h"}), "losers")
+    losers = keep(losers.withColumnsRenamed({"doc_id": "__pw_doc", "th": "__pw_text"}), "losers")
     repeated = profile.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    repeated = keep(repeated.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")), "repeated")
+    repeated = keep(repeated.select(F.col("doc_id").alias("__pw_doc"), F.col("th").alias("__pw_text")), "repeated")
 
     def sized(t):
         return F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t
 
-    same = (F.col(doc_id) == F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h"))
+    same = (F.col(doc_id) == F.col("__pw_doc")) & (F.xxhash64(F.col(text)) == F.col("__pw_text"))
     stay = docs.join(sized(losers), same, "left_anti")
     if repeated.isEmpty():
         return stay
-    once = stay.join(sized(repeated), same, "left_semi").withColumn("_h", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "_h"]).drop("_h")
+    once = stay.join(sized(repeated), same, "left_semi").withColumn("__pw_text", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__pw_text"]).drop("__pw_text")
     return stay.join(sized(repeated), same, "left_anti").unionByName(once)

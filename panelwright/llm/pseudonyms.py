@@ -25,14 +25,17 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright import workers
 
 KINDS = ("card", "ssn", "phone", "ip", "iban", "date", "email")
 ROUNDS = 10
+#: Rows whose texts are held as Python objects at a time.
+SLICE_ROWS = 1024
 #: Dates are permuted within these years, both included.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
@@ -248,33 +251,34 @@ def pseudonymise(text: str, key: bytes, way: str = "to") -> tuple[str, list[tupl
     return "".join(parts), found
 
 
-def batches(source: Iterator[pd.DataFrame], key: bytes, text: str) -> Iterator[pd.DataFrame]:
-    for frame in source:
-        texts, counts, where = [], {k: [] for k in KINDS}, []
-        for t in frame[text]:
-            new, found = pseudonymise(t, key) if t else (t, [])
-            texts.append(new)
-            for k in KINDS:
-                counts[k].append(sum(f[0] == k for f in found))
-            where.append(",".join(f"{k}:{a}:{b}" for k, a, b in found))
-        out = frame.assign(**{text: texts})
-        for k in KINDS:
-            out[f"n_{k}"] = counts[k]
-        yield out.assign(pii_spans=where)
-
-
-def apply(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
+def batches(source: Iterator[pa.RecordBatch], key: bytes, text: str, counts: bool) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        at = batch.schema.get_field_index(text)
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            pairs = [pseudonymise(t, key) if t else (t, []) for t in part.column(at).to_pylist()]
+            columns, names = part.columns, list(part.schema.names)
+            columns[at] = pa.array([t for t, _ in pairs], pa.string())
+            if counts:
+                for k in KINDS:
+                    columns.append(pa.array([sum(f[0] == k for f in found) for _, found in pairs], pa.int64()))
+                    names.append(f"n_{k}")
+                columns.append(pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in found) for _, found in pairs], pa.string()))
+                names.append("pii_spans")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def apply(docs: DataFrame, key: bytes, *, text: str = "text", counts: bool = True) -> DataFrame:
     """All columns of ``docs`` with pseudonyms in ``text``, then ``n_<kind>`` (long) and ``pii_spans`` of the old text.
 
-    Columns of the input that clash with the added ones are replaced.
+    Columns of the input that clash with the added ones are replaced; without ``counts`` none are added.
     """
     if not key:
         raise ValueError("a key is needed")
-    added = [*(f"n_{k}" for k in KINDS), "pii_spans"]
+    added = [*(f"n_{k}" for k in KINDS), "pii_spans"] if counts else []
     kept = docs.drop(*added)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    schema = f"{fields}, {', '.join(f'n_{k} long' for k in KINDS)}, pii_spans string"
-    return kept.mapInPandas(workers.batches(__name__, "batches", key, text), schema)
+    schema = T.StructType(list(kept.schema.fields) + [T.StructField(c, T.LongType() if c != "pii_spans" else T.StringType()) for c in added])
+    return kept.mapInArrow(workers.batches(__name__, "batches", key, text, counts), schema)
 
 
 def n_chars(frame: DataFrame, text: str = "text") -> DataFrame:

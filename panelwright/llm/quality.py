@@ -112,9 +112,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
         return let(_words(t), lambda w: let(lines, lambda x: both(w, x)))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "_m")]
-    return docs.select(*kept, let(whole, of).alias("_m")).select(
-        *kept, *[F.col("_m")[m].alias(m) for m in MEASURES]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "__pw_measures")]
+    return docs.select(*kept, let(whole, of).alias("__pw_measures")).select(
+        *kept, *[F.col("__pw_measures")[m].alias(m) for m in MEASURES]
     )
 
 

@@ -235,7 +235,8 @@ def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _typed(rows: list, columns: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+    parts = dict(zip(columns, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in columns}
+    return pd.DataFrame({c: pd.array(parts[c], dtype="Int64") for c in columns})
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:

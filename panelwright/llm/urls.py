@@ -148,6 +148,8 @@ def judge(
     """page_id, host, path, rule (null without a list rule) and verdict of every row."""
     if any("*" in r.rule or "\0" in r.rule or "/" not in r.rule for r in rules):
         raise ValueError("a list rule is host/path without wildcards")
-    parts = split_url(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url").drop("url")
-    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return parts.mapInPandas(workers.batches(__name__, "judge_batches", rules, globs), schema)
+    # ids travel as text: pandas has no integers beside nulls
+    rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"))
+    schema = "page_id string, host string, path string, rule string, verdict string"
+    judged = split_url(rows).drop("url").mapInPandas(workers.batches(__name__, "judge_batches", rules, globs), schema)
+    return judged.withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType))

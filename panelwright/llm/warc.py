@@ -88,11 +88,6 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
-def _whole(value):
-    """A nullable id as int or None."""
-    return None if value is None or value is pd.NA or value != value else int(value)
-
-
 def write_batches(batches: Iterator[pd.DataFrame], folder: str, roll_bytes: int) -> Iterator[pd.DataFrame]:
     """Write a partition's records, sorted already, and yield a manifest row for each file."""
     from pyspark import TaskContext
@@ -116,8 +111,7 @@ def write_batches(batches: Iterator[pd.DataFrame], folder: str, roll_bytes: int)
             if out is None:
                 temporary = f"_temporary-{shard}-{roll}-{context.taskAttemptId()}"
                 out = [fs.open_output_stream(f"{root}/{temporary}", compression=None, buffer_size=1 << 20), temporary, 0, 0, hashlib.sha256()]
-            page, refers = _whole(page), _whole(refers)
-            data = _member(record("" if page is None else page, url or "", bytes(html), refers, sha1))
+            data = _member(record(page or "", url or "", bytes(html), refers, sha1))
             out[0].write(data)
             out[2] += 1
             out[3] += len(data)
@@ -159,6 +153,8 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, roll_bytes: int = RO
     base32 = base32_of_hex(F.col("sha1")).alias("digest")
     ordered = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "refers_to", base32, "sha1")
     ordered = ordered.repartitionByRange("page_id", "sha1").sortWithinPartitions("page_id", "sha1", "url").drop("sha1")
+    # ids travel as text: pandas has no integers beside nulls
+    ordered = ordered.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     run = workers.batches(__name__, "write_batches", folder, roll_bytes)
     return keep(ordered.mapInPandas(run, MANIFEST), "warc-manifest")
 
@@ -208,7 +204,9 @@ def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
 
     def frame_of(rows):
-        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        parts = dict(zip(columns, zip(*rows, strict=True), strict=True))
+        whole = {c: pd.array(parts[c], dtype="Int64") for c in ("page_id", "refers_to")}
+        return pd.DataFrame({c: whole.get(c, list(parts[c])) for c in columns})
 
     for frame in batches:
         for path, n_records in zip(frame["path"], frame["n_records"], strict=True):
