@@ -116,10 +116,9 @@ def ingest(source, spark=None, order: str | Iterable[str] | None = None) -> Data
         lengths = {len(v) for v in source.values()}
         if len(lengths) > 1:
             raise ArgumentError("columns differ in length")
-        rows = list(zip(*source.values(), strict=True))
-        from panelwright.sources.literal import schema_of
+        from panelwright.sources.literal import table
 
-        df = spark.createDataFrame(rows, schema_of(source)) if source else spark.createDataFrame([], "x int").drop("x")
+        df = table(spark, source) if source else spark.createDataFrame([], "x int").drop("x")
     elif hasattr(source, "columns") and hasattr(source, "dtypes"):
         df = spark.createDataFrame(source)
     else:

@@ -186,8 +186,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {k: _propagating(f) for k, f
     "length": lambda c: F.count(F.lit(1)),
     "n": lambda c: F.count(F.lit(1)),
     "n_distinct": lambda c: F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0)),
-    "first": lambda c: F.min_by(F.struct(c), F.col(ORDER))[0],
-    "last": lambda c: F.max_by(F.struct(c), F.col(ORDER))[0],
+    "first": lambda c: F.min_by(F.struct(c.alias("v")), F.col(ORDER))["v"],
+    "last": lambda c: F.max_by(F.struct(c.alias("v")), F.col(ORDER))["v"],
 }
 
 
@@ -291,7 +291,9 @@ def tail(data, n: int = 6):
 
 def _slice(data, n: int, back: bool):
     if isinstance(data, Panel):
-        return data.with_df(_slice(Grouped(data.df, tuple(data.groups)) if data.groups else data.df, n, back, ).df if data.groups else _slice(data.df, n, back))
+        inner = Grouped(data.df, tuple(data.groups)) if data.groups else data.df
+        out = _slice(inner, n, back)
+        return data.with_df(out.df if isinstance(out, Grouped) else out)
     keys = data.keys if isinstance(data, Grouped) else ()
     source = data.df if isinstance(data, Grouped) else data
     df = ordered(source)
