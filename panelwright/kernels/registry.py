@@ -38,6 +38,18 @@ def _call(module: str, name: str):
     return run
 
 
+def _several(module: str, name: str):
+    """A kernel that takes all periods; its spec carries them as ``periods``."""
+
+    def run(y, m, x, o):
+        import importlib
+
+        o = dict(o)
+        return getattr(importlib.import_module(f"panelwright.kernels.{module}"), name)(y, o.pop("periods", m), **o)
+
+    return run
+
+
 def _croston(y, m, x, o):
     from panelwright.kernels import croston as k
 
@@ -55,6 +67,11 @@ KERNELS = {
     "arar": _call("arar", "arar"),
     "theta": _call("theta", "auto_theta"),
     "croston": _croston,
+    "ararma": _call("ararma", "auto_ararma"),
+    "diffusion": _call("diffusion", "diffusion"),
+    "bats": _several("tbats", "bats"),
+    "tbats": _several("tbats", "tbats"),
+    "kw_filter": _call("kw", "kw_forecast"),
 }
 #: Kernels that cope with missing values themselves.
 TOLERANT = {"arima", "ets", "croston"}
@@ -71,7 +88,10 @@ def fit_one(spec: dict, y: np.ndarray, m: int, x=None):
         raise ValueError("missing values in the target")
     if len(y) == 0:
         raise ValueError("an empty series")
-    return KERNELS[spec["kernel"]](y, m, x, dict(spec["options"]))
+    options = dict(spec["options"])
+    if spec["kernel"] in ("bats", "tbats") and "periods" not in options:
+        options["periods"] = spec["m"] if isinstance(spec["m"], (list, tuple)) else [m]
+    return KERNELS[spec["kernel"]](y, m, x, options)
 
 
 def _series(frame: pd.DataFrame, spec: dict):

@@ -100,7 +100,12 @@ holt_spec = _simple("holt")
 holt_winters_spec = _simple("holt_winters")
 croston_spec = _simple("croston")
 arar_spec = _simple("arar")
+ararma_spec = _simple("ararma")
 theta_spec = _simple("theta")
+diffusion_spec = _simple("diffusion")
+bats_spec = _simple("bats")
+tbats_spec = _simple("tbats")
+kw_spec = _simple("kw_filter")
 naive_spec = _simple("naive")
 snaive_spec = _simple("snaive")
 rw_spec = _simple("rw")

@@ -227,3 +227,35 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
     assert E.entry(spark).count() == 5
+
+
+def test_diffusion_ararma_kernels():
+    from panelwright.kernels import ararma, diffusion
+
+    y = diffusion.adoption("bass", 15, [1000, 0.03, 0.4])
+    f = diffusion.diffusion(np.r_[0, 0, y])
+    assert f.params["m"] == pytest.approx(1000, rel=1e-3) and f.params["p"] == pytest.approx(0.03, rel=1e-2)
+    assert f.forecast(2, [80.0]).mean == pytest.approx(diffusion.adoption("bass", 17, [1000, 0.03, 0.4])[15:], rel=1e-2)
+    with pytest.raises(ValueError):
+        diffusion.diffusion(y, model_type="square")
+    a = ararma.ararma(AP, p=4, q=1).forecast(12, [95.0])
+    assert np.isfinite(a.mean).all() and (np.diff(a.upper[95.0] - a.mean) > -1e-9).all()
+
+
+def test_bats_tbats_kw_kernels():
+    from panelwright.kernels import kw, tbats
+
+    t = np.arange(96)
+    y = 50 + 0.3 * t + 8 * np.sin(2 * np.pi * t / 12) + 0.5 * np.cos(t * 2.1)
+    want = 50 + 0.3 * np.arange(96, 102) + 8 * np.sin(2 * np.pi * np.arange(96, 102) / 12)
+    kw_ = dict(use_box_cox=False, use_trend=True, use_damped=False, use_arma=False)
+    assert tbats.tbats(y, [12], k=1, **kw_).forecast(6, [80.0]).mean == pytest.approx(want, abs=1.5)
+    assert tbats.bats(y, 12, **kw_).forecast(6).mean == pytest.approx(want, abs=1.5)
+    assert tbats.bats(np.full(30, 4.0), 12).forecast(2).mean.tolist() == [4, 4]
+    parts = kw.kw_decomposition(y[:60], 1, lam=1600.0)
+    assert parts["trend"] + parts["cycle"] == pytest.approx(y[:60])
+    w = kw.ideal_weights("bandpass", 50, low=6, high=32)
+    omega = 2 * np.pi / 12
+    assert w[0] + 2 * sum(w[j] * np.cos(j * omega) for j in range(1, 51)) == pytest.approx(1, abs=0.1)
+    with pytest.raises(ValueError):
+        kw.kw_filter(y, kind="square")
