@@ -89,7 +89,10 @@ def _fs(uri: str):
 
 
 def write_batches(batches: Iterator[pd.DataFrame], folder: str, roll_bytes: int) -> Iterator[pd.DataFrame]:
-    """Write a partition's records, sorted already, and yield a manifest row for each file."""
+    """Write a partition's records, sorted already, and yield a manifest row for each file.
+
+    A row with tag 0 says what the next rows of its page and digest refer to.
+    """
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -106,8 +109,14 @@ def write_batches(batches: Iterator[pd.DataFrame], folder: str, roll_bytes: int)
         columns = ["shard", "roll", "path", "n_records", "n_bytes", "sha256"]
         return pd.DataFrame([(shard, roll, f"{folder}/{name}", n, size, sha.hexdigest())], columns=columns)
 
+    mark = None
     for frame in batches:
-        for page, url, html, refers, sha1 in zip(*(frame[c] for c in ("page_id", "url", "payload", "refers_to", "digest")), strict=True):
+        columns = (frame[c] for c in ("page_id", "url", "payload", "refers_to", "tag", "digest"))
+        for page, url, html, refers, tag, sha1 in zip(*columns, strict=True):
+            if tag == 0:
+                mark = (page, sha1, refers)
+                continue
+            refers = mark[2] if mark and mark[:2] == (page, sha1) else None
             if out is None:
                 temporary = f"_temporary-{shard}-{roll}-{context.taskAttemptId()}"
                 out = [fs.open_output_stream(f"{root}/{temporary}", compression=None, buffer_size=1 << 20), temporary, 0, 0, hashlib.sha256()]
@@ -123,38 +132,42 @@ def write_batches(batches: Iterator[pd.DataFrame], folder: str, roll_bytes: int)
         yield close()
 
 
-def plan(pages: DataFrame, least: int = 0, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, and refers_to (null for responses)."""
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    # Only digests that several ids share matter: a small table next to the payloads.
+def revisits(rows: DataFrame, least: int) -> DataFrame:
+    """(page_id, sha1, refers_to) of the pages that are revisits, from rows (page_id, sha1, size)."""
+    # Only digests that several rows share matter: a small table next to the payloads.
     shared = (
-        rows.where(F.length("payload") >= least)
+        rows.where(F.col("size") >= least)
         .groupBy("sha1")
         .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .where("n > 1 and largest is not null")
         .select("sha1", "largest")
     )
-    # The digest decides by key alone, so ids are matched without the payloads: an id and a digest are 50 bytes.
     shared = keep(shared, "warc-shared")
-    light = rows.select("page_id", "sha1").join(shared, "sha1").where("page_id <> largest or page_id is null").where("largest is not null")
-    light = light.groupBy("page_id", "sha1").agg(F.first("largest").alias("refers_to"))
-    light = light.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "refers_to")
-    return rows.join(light, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left").drop("p", "s")
+    # Ids meet their digest without the payloads: 50 bytes a row.
+    found = rows.select("page_id", "sha1").join(shared, "sha1").where("page_id <> largest or page_id is null")
+    return found.groupBy("page_id", "sha1").agg(F.first("largest").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, *, least: int = 0, roll_bytes: int = ROLL_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write all rows under ``folder`` and return the manifest."""
+    """Write all rows under ``folder`` and return the manifest.
+
+    The payloads are shuffled once: the rows that name a revisit's response are range-sorted along with the payloads
+    and come right before the page that they belong to.
+    """
     spark = pages.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    rows = plan(pages, least, page_id=page_id, url=url, html=html)
-    base32 = base32_of_hex(F.col("sha1")).alias("digest")
-    ordered = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "refers_to", base32, "sha1")
-    ordered = ordered.repartitionByRange("page_id", "sha1").sortWithinPartitions("page_id", "sha1", "url").drop("sha1")
+    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    marks = revisits(rows.select("page_id", "sha1", F.length("payload").alias("size")), least)
+    tagged = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("tag", F.lit(1))
+    both = tagged.unionByName(marks.withColumn("tag", F.lit(0)), allowMissingColumns=True)
+    ordered = both.repartitionByRange("page_id", "sha1").sortWithinPartitions("page_id", "sha1", "tag", "url")
     # ids travel as text: pandas has no integers beside nulls
-    ordered = ordered.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
+    ordered = ordered.select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"), "tag", base32_of_hex(F.col("sha1")).alias("digest")
+    )
     run = workers.batches(__name__, "write_batches", folder, roll_bytes)
     return keep(ordered.mapInPandas(run, MANIFEST), "warc-manifest")
 
@@ -242,15 +255,20 @@ def digest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _spread(manifest: DataFrame) -> DataFrame:
+    """A file to a task: the count keeps the small manifest from being read, and all files with it, by one task."""
+    return manifest.select("path", "n_records").repartitionByRange(max(1, manifest.count()), "path")
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """The records of the manifest's files; a revisit's payload is null."""
-    spread = manifest.select("path", "n_records").repartition("path")
+    spread = _spread(manifest)
     return spread.mapInPandas(workers.batches(__name__, "read_batches"), f"{_READ}, url string, payload binary")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """The records without their payloads, which are checked and stay in the task."""
-    spread = manifest.select("path", "n_records").repartition("path")
+    spread = _spread(manifest)
     return spread.mapInPandas(workers.batches(__name__, "digest_batches"), _READ)
 
 
