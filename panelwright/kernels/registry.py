@@ -221,3 +221,32 @@ def interpolate_group(frame: pd.DataFrame, keys: list[str], m: int) -> pd.DataFr
     frame = frame.sort_values("_ord", kind="stable")
     y = frame["_y"].to_numpy(dtype=float)
     return pd.DataFrame({k: frame[k].to_numpy() for k in keys} | {"_i": np.arange(1, len(frame) + 1), "value": stats.interpolate_missing(y, m)})
+
+
+def ols_group(frame: pd.DataFrame, keys: list[str], names: list[str]) -> pd.DataFrame:
+    """(keys, term, estimate, std_error, sigma2, n_obs) of a least-squares fit; collinear columns are left out."""
+    y = frame["_y"].to_numpy(dtype=float)
+    x = frame[[f"_x{i}" for i in range(len(names))]].to_numpy(dtype=float)
+    ok = np.isfinite(y) & np.isfinite(x).all(axis=1)
+    y, x = y[ok], x[ok]
+    kept: list[int] = []
+    for i in range(x.shape[1]):
+        if len(y) and np.linalg.matrix_rank(x[:, [*kept, i]]) == len(kept) + 1:
+            kept.append(i)
+    if not kept or len(y) <= len(kept):
+        return pd.DataFrame(columns=[*keys, "term", "estimate", "std_error", "sigma2", "n_obs"])
+    z = x[:, kept]
+    beta = np.linalg.lstsq(z, y, rcond=None)[0]
+    e = y - z @ beta
+    s2 = float(e @ e) / (len(y) - len(kept))
+    se = np.sqrt(np.diag(s2 * np.linalg.inv(z.T @ z)))
+    n = len(kept)
+    return pd.DataFrame(_keys(frame, keys, n) | {"term": [names[i] for i in kept], "estimate": beta, "std_error": se, "sigma2": [s2] * n, "n_obs": [len(y)] * n})
+
+
+def kw_group(frame: pd.DataFrame, keys: list[str], m: int, options: dict) -> pd.DataFrame:
+    from panelwright.kernels import kw
+
+    frame = frame.sort_values("_ord", kind="stable")
+    r = kw.kw_decomposition(frame["_y"].to_numpy(dtype=float), m, **options)
+    return pd.DataFrame({k: frame[k].to_numpy() for k in keys} | {"_i": np.arange(1, len(frame) + 1), "trend": r["trend"], "cycle": r["cycle"]})

@@ -17,7 +17,7 @@ from panelwright.functions import naive as nv
 from panelwright.functions.levels import label, normalize_levels
 from panelwright.operators.frame import ArgumentError, check_known, cols, quote
 from panelwright.operators.panel import Panel
-from panelwright.plans.formula import auto_regressors
+from panelwright.plans.formula import auto_regressors, design, model_columns
 from panelwright.plans.specs import NATIVE, Spec
 
 KERNELS = "panelwright.kernels.registry"
@@ -177,3 +177,29 @@ def pacf(p: Panel, target: str, max_lag: int | None = None) -> DataFrame:
 def interpolate(p: Panel, target: str) -> DataFrame:
     """keys, _i, value: gaps filled through the seasonally adjusted series."""
     return _apply(p, target, "interpolate_group", "_i int, value double", p.m if isinstance(p.m, int) else 1)
+
+
+def kw_decomposition(p: Panel, target: str, **options) -> DataFrame:
+    """keys, _i, trend, cycle by a Kolmogorov-Wiener filter."""
+    return _apply(p, target, "kw_group", "_i int, trend double, cycle double", p.m if isinstance(p.m, int) else 1, options)
+
+
+def ols(df: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, term, estimate, std_error, sigma2, n_obs) of ``y ~ ...`` in every group; rows with a missing value are left out."""
+    d = design(text)
+    if d.target is None:
+        raise ArgumentError("a formula 'y ~ ...' is needed")
+    check_known(df, [d.target, *keys])
+    columns = model_columns(df, d)
+    rows = df.select(*cols(keys), F.col(quote(d.target)).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(columns.values())])
+    by = cols(keys) if keys else [F.lit(1).alias("_all")]
+    fields = "".join(f"{quote(k)} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    run = workers.group(KERNELS, "ols_group", list(keys), list(columns))
+    return rows.groupBy(*by).applyInPandas(run, f"{fields}term string, estimate double, std_error double, sigma2 double, n_obs int")
+
+
+def trend_line(df: DataFrame, y: str, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, slope, intercept, r2) as built-in aggregates: no Python, partial aggregation on the map side."""
+    check_known(df, [y, x, *keys])
+    a, b = F.col(quote(y)), F.col(quote(x))
+    return df.groupBy(*cols(keys)).agg(F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2"))

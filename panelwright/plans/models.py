@@ -9,7 +9,9 @@ from panelwright.operators.panel import panel
 from panelwright.operators.verbs import groupby, summarise
 from panelwright.plans import fit as fits
 from panelwright.plans import specs as sp
-from panelwright.plans.catalog import monthly_flow, query, read, revenue_panel, rounded, split_panel
+from panelwright.functions import series as ts
+from panelwright.plans.catalog import _MONTHS, monthly_flow, query, read, revenue_panel, rounded, split_panel
+from panelwright.plans.formula import model_matrix as design_matrix
 
 
 def flow_panel(spark, d):
@@ -78,3 +80,73 @@ def series_mstl(spark, d):
 @query()
 def series_pacf(spark, d):
     return rounded(fits.pacf(flow_panel(spark, d), "q", 12), 6)
+
+
+@query()
+def model_bats_tbats(spark, d):
+    p = flow_panel(spark, d)
+    few = dict(use_box_cox=False, use_trend=True, use_damped=False, use_arma=False)
+    return rounded(fits.forecast(sp.model(sp.bats_spec("q", **few), sp.tbats_spec("q", k=2, **few)), p, 6), 2)
+
+
+@query()
+def model_ararma(spark, d):
+    return rounded(fits.forecast(sp.ararma_spec("q = ararma(p=2, q=1)"), flow_panel(spark, d), 6), 2)
+
+
+@query()
+def model_diffusion(spark, d):
+    t = read(spark, d, "orders").select(F.col("o_orderpriority").alias("priority"), F.trunc(F.col("o_orderdate").cast("date"), "year").alias("year"))
+    t = summarise(groupby(t, "priority", "year"), n=("year", "length"))
+    p = panel(t, groups="priority", date="year", frequency="year", target="n", fill_time=True, target_na="zero")
+    return rounded(fits.forecast(sp.model(sp.diffusion_spec("n = diffusion(model_type='bass')"), sp.diffusion_spec("n", model_type="gompertz", name="gompertz")), p, 3), 2)
+
+
+@query()
+def model_kolmogorov_wiener(spark, d):
+    p = flow_panel(spark, d)
+    return rounded(fits.kw_decomposition(p.with_df(p.df.where("flag = 'N'")), "q", lam=14400.0), 2)
+
+
+@query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,
+round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""")
+def regression_line(spark, d):
+    out = fits.trend_line(read(spark, d, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
+    return out.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query("""SELECT l_linestatus, unnest(['(Intercept)', 'l_quantity']) AS term, round(unnest([regr_intercept(l_tax, l_quantity), regr_slope(l_tax, l_quantity)]), 7) AS estimate,
+count(*)::INT AS n_obs FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY 1""")
+def regression_ols(spark, d):
+    out = fits.ols(read(spark, d, "lineitem").where("l_orderkey % 16 = 0"), "l_tax ~ l_quantity", ("l_linestatus",))
+    return out.select("l_linestatus", "term", F.round("estimate", 7).alias("estimate"), "n_obs")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS "(Intercept)", l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount,
+round(l_quantity * l_discount, 5) AS "l_quantity:l_discount" FROM lineitem""")
+def model_matrix(spark, d):
+    return rounded(design_matrix(read(spark, d, "lineitem"), "l_quantity * l_discount", ("l_orderkey", "l_linenumber")), 5)
+
+
+@query(_MONTHS + """, t AS (SELECT flag, month, q, row_number() OVER (PARTITION BY flag ORDER BY month) AS i, count(*) OVER (PARTITION BY flag) AS n FROM flow),
+u AS (SELECT *, (greatest(3, least(n, greatest(5, least(101, n // 10)))) - 1) // 2 AS h FROM t)
+SELECT a.flag, a.month, round(avg(b.q), 3) AS smooth FROM u a JOIN u b ON a.flag = b.flag AND b.i BETWEEN a.i - a.h AND a.i + a.h GROUP BY 1, 2""")
+def series_smooth_trend(spark, d):
+    return rounded(ts.smooth_trend(monthly_flow(spark, d), "q", order="month", keys=("flag",), name="smooth").select("flag", "month", "smooth"), 3)
+
+
+@query(_MONTHS + """SELECT flag, month, lag0, lag1, lag2 FROM (SELECT flag, month, q AS lag0, lag(q) OVER w AS lag1, lag(q, 2) OVER w AS lag2, row_number() OVER w AS i
+FROM flow WINDOW w AS (PARTITION BY flag ORDER BY month)) WHERE i >= 3""")
+def series_embed(spark, d):
+    return rounded(ts.embed(monthly_flow(spark, d), "q", 3, order="month", keys=("flag",)).drop("q"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS duplicated FROM orders")
+def series_duplicated(spark, d):
+    return ts.duplicated(read(spark, d, "orders"), "o_custkey", order="o_orderkey").select("o_orderkey", "duplicated")
+
+
+@query(_MONTHS + """SELECT flag, month, round(lag(q) OVER w * 0.25 + q * 0.5 + lead(q) OVER w * 0.25, 4) AS f FROM flow WINDOW w AS (PARTITION BY flag ORDER BY month)""")
+def series_filter(spark, d):
+    t = monthly_flow(spark, d)
+    return rounded(t.select("flag", "month", ts.symmetric_filter("q", [0.25, 0.5, 0.25], ts.over("month", ("flag",))).alias("f")))
