@@ -16,8 +16,8 @@ rows that the writing job returns are the manifest: a shard that isn't in the ma
 speculative task does no harm.  Positions of shards in the whole come from sums over the manifest.
 
 Tokens come from the tokenizers library.  A text is cut before a single space that stands between two other characters:
-no token of the byte-level pre-tokenizer reaches over that point, so each distinct chunk is encoded once per worker
-table (bounded, two generations) and its ids are joined back by position.
+no token of the byte-level pre-tokenizer reaches over that point, so each distinct word is encoded once while the
+worker's bounded table holds it, and its ids are joined back by position.
 
 Defined results: a null text holds the end id only; null ids come first and are stored as the least 64-bit
 number; repeated rows are repeated records; an empty table gives an empty manifest and no shard.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ from panelwright.llm._store import keep, new_dir
 
 NO_ID = -(2**63)
 MASK_DELTA = 0xA282EAD8
-TABLE_ROWS = 60_000
+#: Words kept, about 200 bytes each.
+TABLE_ROWS = 400_000
 KEPT_CHARS = 64
 BLOCK_CHARS = 1_000_000
 
@@ -56,7 +58,7 @@ def masked(data: bytes) -> int:
 
 
 class Coder:
-    """One tokenizer with its table: chunk -> ids as bytes."""
+    """One tokenizer with its table: word -> ids as bytes."""
 
     def __init__(self, path: str):
         import json
@@ -73,15 +75,16 @@ class Coder:
             spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.code = "H" if self.size <= 65536 else "I"
+        #: Ids of a word with the space before it.
+        self.table: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _cut(self, text: str) -> list[str]:
-        """Chunks of a text, each but the first with the space that precedes it."""
+        """Chunks of any text, each but the first with the space that precedes it."""
         parts = text.split(" ")
         out = [parts[0]]
         for p in parts[1:]:
@@ -93,25 +96,6 @@ class Coder:
                 out[-1] = last + " " + p
         return out
 
-    def _rows(self, chunks: set[str]) -> dict[str, bytes]:
-        young, old, at, new = self.young, self.old, {}, []
-        for c in chunks:
-            row = young.get(c)
-            if row is None:
-                row = old.get(c)
-                if row is None:
-                    new.append(c)
-                    continue
-                young[c] = row
-            at[c] = row
-        for c, row in zip(new, self._encode(new), strict=True):
-            at[c] = row
-            if len(c) <= KEPT_CHARS:
-                young[c] = row
-        if len(young) > TABLE_ROWS:
-            self.young, self.old = {}, young
-        return at
-
     def all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as bytes of ``dtype``."""
         start = 0
@@ -120,13 +104,35 @@ class Coder:
             while end < len(texts) and size < BLOCK_CHARS:
                 size += len(texts[end])
                 end += 1
-            whole = [not self.can_cut or any(s in t for s in self.special) for t in texts[start:end]]
-            cut = [[] if w or not t else self._cut(t) for t, w in zip(texts[start:end], whole, strict=True)]
-            at = self._rows(set().union(*cut))
-            for text, w, chunks in zip(texts[start:end], whole, cut, strict=True):
-                yield self._encode([text])[0] if w else b"".join([at[c] for c in chunks])
+            yield from self._block(texts[start:end])
             start = end
 
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        table = self.table
+        whole = [not self.can_cut or any(s in t for s in self.special) for t in texts]
+        words = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        seen = set().union(*[p[1:] for p in words])
+        new = seen - table.keys()
+        # a space next to other white space, or at an end, is no cut: such texts are cut with care
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        careful = [bool(p) and (not p[0] or p[0][-1].isspace() or (bool(odd) and not odd.isdisjoint(p))) for p in words]
+        new = list(new - odd)
+        for w, ids in zip(new, self._encode([" " + w for w in new]), strict=True):
+            table[w] = ids
+        firsts = self._encode([p[0] if p else "" for p in words])
+        for text, w, c, parts, first in zip(texts, whole, careful, words, firsts, strict=True):
+            if w:
+                yield self._encode([text])[0]
+            elif c:
+                yield b"".join(self._encode(self._cut(text)))
+            else:
+                yield first + b"".join(map(table.__getitem__, parts[1:]))
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del table[w]
+        if len(table) > TABLE_ROWS:  # what this block holds is what is frequent
+            self.table = {w: table[w] for w in seen if w in table}
+
 
 def coder(path: str) -> Coder:
     """The worker's coder for a tokenizer file."""
@@ -241,7 +247,8 @@ def _typed(rows: list, columns: list) -> pd.DataFrame:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, shard and offset of every record, read from the files."""
-    spread = manifest.repartition("shard")
+    # a count of partitions keeps the small manifest from being read, and all files with it, by one task
+    spread = manifest.repartitionByRange(max(1, manifest.count()), "shard")
     return spread.mapInPandas(
         workers.batches(__name__, "read_batches"), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long"
     )
