@@ -34,10 +34,13 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_dir(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table._kept_at = path
+    return table
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for table in tables:
+        hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)

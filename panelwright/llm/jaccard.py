@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
-from panelwright.llm._store import keep
+from panelwright.llm._store import discard, keep
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -46,6 +47,8 @@ TOLERANCE = 1e-7
 BLOCK = 2048
 #: Pairs compared at a time inside a task.
 CHUNK_PAIRS = 1 << 16
+#: Rows whose texts are held as Python objects at a time.
+SLICE_ROWS = 512
 #: Candidate keys are broadcast to the second pass over the texts up to this count (24 bytes each), joined beyond it.
 BROADCAST_ROWS = 200_000
 
@@ -119,15 +122,23 @@ def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[i
 # --- on the executors ------------------------------------------------------------------------------------------
 
 
-def profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: their texts are Python objects for one slice only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
         n, twin, sig = [], [], []
-        for text in frame["text"]:
+        for text in part.column("text").to_pylist():
             s = shingles(text)
             n.append(len(s))
             twin.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             sig.append(signature(s).tobytes() if len(s) else b"")
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "th": frame["th"], "n": n, "twin": twin, "sig": sig})
+        columns = [part.column("doc_id"), part.column("th"), pa.array(n, pa.int64()), pa.array(twin, pa.binary()), pa.array(sig, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "twin", "sig"])
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[list[pd.DataFrame]]:
@@ -210,9 +221,10 @@ def prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def set_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        yield pd.DataFrame({"node": frame["node"], "shingles": [shingles(t).tobytes() for t in frame["text"]]})
+def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def verify_batches(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -293,7 +305,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = keep(small.distinct(), "edges")
+        old, e = e, keep(small.distinct(), "edges")
+        discard(old)
         before, now = now, state(e)
         if before == now:
             break
@@ -311,7 +324,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     rows = rows.where("doc_id is not null")
     profile = keep(
-        rows.mapInPandas(workers.batches(__name__, "profile_batches"), "doc_id long, th long, n long, twin binary, sig binary"), "profile"
+        rows.mapInArrow(workers.batches(__name__, "profile_batches"), "doc_id long, th long, n long, twin binary, sig binary"), "profile"
     )
     first = F.min(F.struct("doc_id", "th"))
     nodes = profile.where("n > 0").groupBy("twin", "sig").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -328,10 +341,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
         .agg(F.min(F.struct("band", "key")).alias("b"))
         .select("m", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
     )
+    shared = keep(shared, "shared")
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     units = (
-        bands.join(keep(shared, "shared"), ["band", "key"])
+        bands.join(shared, ["band", "key"])
         .withColumn("blocks", blocks)
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -352,11 +366,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     )
     few = candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     picked = rows.join(F.broadcast(candidates) if few else candidates, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("h")))
-    sets = picked.select("node", "text").mapInPandas(workers.batches(__name__, "set_batches"), "node long, shingles binary")
+    sets = picked.select("node", "text").mapInArrow(workers.batches(__name__, "set_batches"), "node long, shingles binary")
     # a repeated row would repeat its set
-    sets = keep(sets, "sets").dropDuplicates(["node"])
+    sets = keep(sets, "sets")
     verified = (
-        survivors.join(sets, "node")
+        survivors.join(sets.dropDuplicates(["node"]), "node")
         .join(nodes.select("node", "copies"), "node")
         .repartition("unit")
         .sortWithinPartitions("unit")
@@ -368,7 +382,10 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     linked = nodes.drop("sig").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = keep(linked, "linked")
     classes = linked.groupBy("root").agg(F.min("first").alias("class"))
-    return profile, keep(linked.join(classes, "root"), "classes")
+    classes = keep(linked.join(classes, "root"), "classes")
+    # what is left is the profile and the classes; the rest served its purpose
+    discard(nodes, shared, survivors, candidates, sets, verified, linked)
+    return profile, classes
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
