@@ -44,6 +44,8 @@ MASK_DELTA = 0xA282EAD8
 #: Words kept, about 200 bytes each.
 TABLE_ROWS = 400_000
 KEPT_CHARS = 64
+#: Signs that are split off a word before it is looked up.
+SIGNS = ",.;:!?"
 BLOCK_CHARS = 1_000_000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, width int"
@@ -76,8 +78,9 @@ class Coder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.code = "H" if self.size <= 65536 else "I"
-        #: Ids of a word with the space before it.
+        #: Ids of a word with the space, or the line end, before it.
         self.table: dict[str, bytes] = {}
+        self.signs = dict(zip(SIGNS, self._encode(list(SIGNS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,18 +110,29 @@ class Coder:
             yield from self._block(texts[start:end])
             start = end
 
+    def _learn(self, new: set[str]) -> None:
+        """Add words to the table.  A last sign after a letter is a token of its own, so only what precedes it is new."""
+        table, signs = self.table, self.signs
+        signed = [w for w in new if w[-1] in signs and len(w) > 1 and w[-2].isalpha()]
+        plain = new.difference(signed)
+        plain.update(b for w in signed if (b := w[:-1]) not in table)
+        words = list(plain)
+        for w, ids in zip(words, self._encode([w if w[0] == "\n" else " " + w for w in words]), strict=True):
+            table[w] = ids
+        for w in signed:
+            table[w] = table[w[:-1]] + signs[w[-1]]
+
     def _block(self, texts: list[str]) -> Iterator[bytes]:
-        table = self.table
         whole = [not self.can_cut or any(s in t for s in self.special) for t in texts]
-        words = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        # a lone line end is a token too: a word that follows one has it instead of the space
+        words = [[] if w else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole, strict=True)]
         seen = set().union(*[p[1:] for p in words])
-        new = seen - table.keys()
-        # a space next to other white space, or at an end, is no cut: such texts are cut with care
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new = seen - self.table.keys()
+        # where white space meets white space, or an end, is no cut: such texts are cut with care
+        odd = {w for w in new if not w or w[-1].isspace() or (w[0].isspace() and (w[0] != "\n" or w[1].isspace()))}
         careful = [bool(p) and (not p[0] or p[0][-1].isspace() or (bool(odd) and not odd.isdisjoint(p))) for p in words]
-        new = list(new - odd)
-        for w, ids in zip(new, self._encode([" " + w for w in new]), strict=True):
-            table[w] = ids
+        self._learn(new - odd)
+        table = self.table
         firsts = self._encode([p[0] if p else "" for p in words])
         for text, w, c, parts, first in zip(texts, whole, careful, words, firsts, strict=True):
             if w:
@@ -128,7 +142,7 @@ class Coder:
             else:
                 yield first + b"".join(map(table.__getitem__, parts[1:]))
         for w in new:
-            if len(w) > KEPT_CHARS:
+            if len(w) > KEPT_CHARS and w in table:
                 del table[w]
         if len(table) > TABLE_ROWS:  # what this block holds is what is frequent
             self.table = {w: table[w] for w in seen if w in table}

@@ -11,7 +11,7 @@ import pytest
 from panelwright.llm import piece_codec, token_records, warc
 from panelwright.llm.registry import END_ID, tokenizer
 
-ALPHABET = [" ", "  ", "\n", "a", "th", "é", "▁", "日本", "́", "😀", "\t", "\0", "<s>", "</s>", "<unk>", "<0x0A>", "!", "​", "﻿", "\r\n", "\x7f", "ﬁ", "½", "'s", "　", "<|endoftext|>"]
+ALPHABET = [",", ".", "a", " b", "\nC", " ", "  ", "\n", "a", "th", "é", "▁", "日本", "́", "😀", "\t", "\0", "<s>", "</s>", "<unk>", "<0x0A>", "!", "​", "﻿", "\r\n", "\x7f", "ﬁ", "½", "'s", "　", "<|endoftext|>"]
 
 
 def texts(n, seed=1):
