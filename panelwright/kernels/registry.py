@@ -223,25 +223,63 @@ def interpolate_group(frame: pd.DataFrame, keys: list[str], m: int) -> pd.DataFr
     return pd.DataFrame({k: frame[k].to_numpy() for k in keys} | {"_i": np.arange(1, len(frame) + 1), "value": stats.interpolate_missing(y, m)})
 
 
-def ols_group(frame: pd.DataFrame, keys: list[str], names: list[str]) -> pd.DataFrame:
-    """(keys, term, estimate, std_error, sigma2, n_obs) of a least-squares fit; collinear columns are left out."""
-    y = frame["_y"].to_numpy(dtype=float)
-    x = frame[[f"_x{i}" for i in range(len(names))]].to_numpy(dtype=float)
-    ok = np.isfinite(y) & np.isfinite(x).all(axis=1)
-    y, x = y[ok], x[ok]
+def ols_solve(n: int, mean: np.ndarray, cov: np.ndarray, intercept: bool):
+    """Kept columns, estimates, standard errors and sigma2 from a group's count, means and covariances (the target is last)."""
+    moments = n * (cov if intercept else cov + np.outer(mean, mean))
+    sxx, sxy, syy = moments[:-1, :-1], moments[:-1, -1], float(moments[-1, -1])
+    scale = np.sqrt(np.diag(sxx))
     kept: list[int] = []
-    for i in range(x.shape[1]):
-        if len(y) and np.linalg.matrix_rank(x[:, [*kept, i]]) == len(kept) + 1:
+    for i in range(len(scale)):
+        if not scale[i] > 1e-12 * np.sqrt(n) * abs(mean[i]):  # a constant beside the intercept, or zeros
+            continue
+        left = 1.0
+        if kept:
+            r = sxx[kept, i] / scale[kept] / scale[i]
+            left -= float(r @ np.linalg.solve(sxx[np.ix_(kept, kept)] / np.outer(scale[kept], scale[kept]), r))
+        if left > 1e-12:
             kept.append(i)
-    if not kept or len(y) <= len(kept):
-        return pd.DataFrame(columns=[*keys, "term", "estimate", "std_error", "sigma2", "n_obs"])
-    z = x[:, kept]
-    beta = np.linalg.lstsq(z, y, rcond=None)[0]
-    e = y - z @ beta
-    s2 = float(e @ e) / (len(y) - len(kept))
-    se = np.sqrt(np.diag(s2 * np.linalg.inv(z.T @ z)))
-    n = len(kept)
-    return pd.DataFrame(_keys(frame, keys, n) | {"term": [names[i] for i in kept], "estimate": beta, "std_error": se, "sigma2": [s2] * n, "n_obs": [len(y)] * n})
+    count = len(kept) + intercept
+    if not count or n <= count:
+        return None
+    inverse = np.linalg.inv(sxx[np.ix_(kept, kept)] / np.outer(scale[kept], scale[kept])) / np.outer(scale[kept], scale[kept])
+    beta = inverse @ sxy[kept]
+    s2 = max(syy - float(beta @ sxy[kept]), 0.0) / (n - count)
+    variance = np.diag(inverse)
+    if intercept:
+        at = mean[kept]
+        beta = np.r_[mean[-1] - at @ beta, beta]
+        variance = np.r_[1 / n + at @ inverse @ at, variance]
+    return [0, *[i + 1 for i in kept]] if intercept else kept, beta, np.sqrt(s2 * variance), s2
+
+
+def ols_batches(source, keys: list[str], names: list[str]):
+    """(keys, term, estimate, std_error, sigma2, n_obs) of one least-squares fit per row of moments; collinear columns are left out."""
+    import pyarrow as pa
+
+    intercept = "(Intercept)" in names
+    k = len(names) - intercept + 1
+    upper = np.triu_indices(k)
+    for batch in source:
+        at, term, estimate, error, sigma2, n_obs = [], [], [], [], [], []
+        for row, (n, mean, cov) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_n", "_mean", "_cov")), strict=True)):
+            if not n:
+                continue
+            full = np.zeros((k, k))
+            full[upper] = cov
+            full = np.triu(full) + np.triu(full, 1).T
+            got = ols_solve(n, np.array(mean), full, intercept)
+            if got is None:
+                continue
+            kept, beta, se, s2 = got
+            at += [row] * len(kept)
+            term += [names[i] for i in kept]
+            estimate += beta.tolist()
+            error += se.tolist()
+            sigma2 += [s2] * len(kept)
+            n_obs += [n] * len(kept)
+        columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in keys]
+        columns += [pa.array(term, pa.string()), *[pa.array(v, pa.float64()) for v in (estimate, error, sigma2)], pa.array(n_obs, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "term", "estimate", "std_error", "sigma2", "n_obs"])
 
 
 def kw_group(frame: pd.DataFrame, keys: list[str], m: int, options: dict) -> pd.DataFrame:

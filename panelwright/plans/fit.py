@@ -185,17 +185,27 @@ def kw_decomposition(p: Panel, target: str, **options) -> DataFrame:
 
 
 def ols(df: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, term, estimate, std_error, sigma2, n_obs) of ``y ~ ...`` in every group; rows with a missing value are left out."""
+    """(keys, term, estimate, std_error, sigma2, n_obs) of ``y ~ ...`` in every group; rows with a missing value are left out.
+
+    Counts, means and covariances are built-in aggregates, partial on the map side, so no group's rows are gathered; Python
+    solves the normal equations of one row per group.  A column that the ones before it explain but for 1e-12 of its
+    variance counts as collinear and is left out.
+    """
     d = design(text)
     if d.target is None:
         raise ArgumentError("a formula 'y ~ ...' is needed")
     check_known(df, [d.target, *keys])
     columns = model_columns(df, d)
-    rows = df.select(*cols(keys), F.col(quote(d.target)).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(columns.values())])
-    by = cols(keys) if keys else [F.lit(1).alias("_all")]
+    terms = [c for n, c in columns.items() if n != "(Intercept)"]
+    values = [f"_x{i}" for i in range(len(terms))] + ["_y"]
+    rows = df.select(*cols(keys), *[c.alias(v) for c, v in zip([*terms, F.col(quote(d.target)).cast("double")], values, strict=True)])
+    for v in values:
+        rows = rows.where(F.abs(F.col(v)) < F.lit(float("inf")))  # NaN sorts above infinity
+    pairs = [F.covar_pop(a, b) for i, a in enumerate(values) for b in values[i:]]
+    sums = rows.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(v) for v in values]).alias("_mean"), F.array(*pairs).alias("_cov"))
     fields = "".join(f"{quote(k)} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    run = workers.group(KERNELS, "ols_group", list(keys), list(columns))
-    return rows.groupBy(*by).applyInPandas(run, f"{fields}term string, estimate double, std_error double, sigma2 double, n_obs int")
+    run = workers.batches(KERNELS, "ols_batches", list(keys), list(columns))
+    return sums.mapInArrow(run, f"{fields}term string, estimate double, std_error double, sigma2 double, n_obs int")
 
 
 def trend_line(df: DataFrame, y: str, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
