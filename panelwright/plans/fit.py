@@ -103,7 +103,9 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
         by = [*cols(keys), F.col("_spec")]
         if newdata is None or not regressors:
             run = workers.group(KERNELS, "forecast_group", plain, keys, h, levels, labels, fail_fast)
-            tables.append(rows.groupBy(*by).applyInPandas(run, schema))
+            # a number of partitions keeps adaptive execution from joining many short, slow series into one task
+            spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+            tables.append(spread.groupBy(*by).applyInPandas(run, schema))
         else:
             check_known(newdata, [*keys, p.date, *regressors])
             ids = F.explode(F.array(*[F.lit(i) for i in range(len(plain))])).alias("_spec")

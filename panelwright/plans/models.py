@@ -52,7 +52,7 @@ def model_arar_theta(spark, d):
 
 @query()
 def model_croston(spark, d):
-    e = read(spark, d, "events").where("user_id < 20 and event_type = 'purchase'").select("user_id", F.col("ts").cast("date").alias("day"), "value")
+    e = read(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("date").alias("day"), "value")
     t = summarise(groupby(e, "user_id", "day"), demand=("value", "length"))
     p = panel(t, groups="user_id", date="day", frequency="day", target="demand", fill_time=True, balanced=True, target_na="zero")
     specs = sp.model(sp.croston_spec("demand"), sp.croston_spec("demand", kind="sba", name="sba"), sp.croston_spec("demand", kind="sbj", name="sbj"))

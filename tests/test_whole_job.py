@@ -2,7 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.plans import catalog, fit as fits
+from panelwright.operators.panel import panel
+from panelwright.plans import catalog
+from panelwright.plans import fit as fits
+from panelwright.plans import specs as sp
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,17 @@ def test_ols_matches_least_squares(spark):
             assert [r.std_error for r in mine] == pytest.approx(np.sqrt(np.diag(s2 * np.linalg.inv(x.T @ x))).tolist(), rel=1e-4)
             assert {r.n_obs for r in mine} == {30} and mine[0].sigma2 == pytest.approx(s2, rel=1e-6)
         assert not [r for r in got if r.g == 9]
+
+
+def test_croston_covers_every_user(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fits, "forecast", lambda specs, p, h, **options: seen.append(p) or p.df)
+    catalog.queries()["model_croston"](spark, SF)
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'")
+    assert {r.user_id for r in seen[0].df.select("user_id").distinct().collect()} == {r.user_id for r in events.select("user_id").distinct().collect()}
+
+
+def test_fits_are_spread_over_tasks(spark):
+    days = spark.range(60).selectExpr("id % 6 AS g", "date_add(date'2024-01-01', cast(id DIV 6 AS int)) AS day", "cast(id % 7 AS double) AS y")
+    out = fits.forecast(sp.ses_spec("y"), panel(days, groups="g", date="day", frequency="day", target="y"), 1)
+    assert out.count() == 6 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
