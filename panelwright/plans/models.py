@@ -104,8 +104,7 @@ def model_diffusion(spark, d):
 
 @query()
 def model_kolmogorov_wiener(spark, d):
-    p = flow_panel(spark, d)
-    return rounded(fits.kw_decomposition(p.with_df(p.df.where("flag = 'N'")), "q", lam=14400.0), 2)
+    return rounded(fits.kw_decomposition(flow_panel(spark, d), "q", lam=14400.0), 2)
 
 
 @query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,

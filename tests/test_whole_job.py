@@ -56,3 +56,10 @@ def test_fits_are_spread_over_tasks(spark):
     days = spark.range(60).selectExpr("id % 6 AS g", "date_add(date'2024-01-01', cast(id DIV 6 AS int)) AS day", "cast(id % 7 AS double) AS y")
     out = fits.forecast(sp.ses_spec("y"), panel(days, groups="g", date="day", frequency="day", target="y"), 1)
     assert out.count() == 6 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_kolmogorov_wiener_covers_every_flag(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fits, "kw_decomposition", lambda p, target, **options: seen.append(p) or p.df)
+    catalog.queries()["model_kolmogorov_wiener"](spark, SF)
+    assert {r.flag for r in seen[0].df.select("flag").distinct().collect()} == {"A", "N", "R"}
