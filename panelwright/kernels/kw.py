@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from panelwright.kernels.arima import arima as fixed_arima
 from panelwright.kernels.arima import auto_arima
 from panelwright.kernels.common import Fit, Forecast, clean, normal_bands
 
@@ -43,8 +44,22 @@ def ideal_weights(kind: str, n: int, **options) -> np.ndarray:
     return np.array([float((gain * np.cos(j * omega)).mean()) for j in range(n + 1)])
 
 
-def kw_filter(y, m: int = 1, *, kind: str = "hp", output: str = "cycle", reach: int | None = None, **options) -> Fit:
-    """Cycle or trend of a series."""
+def _reversed(y: np.ndarray, model: Fit) -> Fit:
+    """The orders of ``model``, fitted to the series from its end to its start."""
+    if len(model.fitted) != len(y) or "order" not in (model.state or {}):
+        raise ValueError("model is no ARIMA of this series")
+    s = model.state
+    if set(s["labels"]) - {"intercept", "drift"}:
+        raise ValueError("a model with regressors can't be extended")
+    return fixed_arima(y[::-1], s["m"], s["order"], s["seasonal"], include_mean="intercept" in s["labels"], include_drift="drift" in s["labels"])
+
+
+def kw_filter(y, m: int = 1, *, kind: str = "hp", output: str = "cycle", reach: int | None = None, model: Fit | None = None, arima: dict | None = None, **options) -> Fit:
+    """Cycle or trend of a series.
+
+    ``arima`` goes to ``auto_arima``, whose own bounds hold otherwise; ``model`` is a fitted ARIMA of the series instead,
+    and its orders are fitted to the reversed series for the backcasts.
+    """
     y = clean(y)
     if not np.isfinite(y).all() or len(y) < 8:
         raise ValueError("eight values without a gap are needed")
@@ -53,8 +68,10 @@ def kw_filter(y, m: int = 1, *, kind: str = "hp", output: str = "cycle", reach:
     n = len(y)
     reach = reach or max(200, n)
     weights = ideal_weights(kind, reach, **options)
-    model = auto_arima(y, m, max_p=2, max_q=2, max_P=1, max_Q=1)
-    back = auto_arima(y[::-1], m, max_p=2, max_q=2, max_P=1, max_Q=1)
+    if model is None:
+        model, back = auto_arima(y, m, **(arima or {})), auto_arima(y[::-1], m, **(arima or {}))
+    else:
+        back = _reversed(y, model)
     longer = np.r_[back.forecast(reach).mean[::-1], y, model.forecast(reach).mean]
     full = np.r_[weights[:0:-1], weights]
     total = full.sum()

@@ -155,6 +155,8 @@ def _one(p: Panel, target: str) -> DataFrame:
 def _apply(p: Panel, target: str, name: str, schema: str, *args) -> DataFrame:
     rows = _one(p, target)
     by = cols(p.groups) if p.groups else [F.lit(1).alias("_all")]
+    if p.groups:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     return rows.groupBy(*by).applyInPandas(workers.group(KERNELS, name, list(p.groups), *args), f"{_fields(p)}{schema}")
 
 

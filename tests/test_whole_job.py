@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.kernels import arima, kw
 from panelwright.operators.panel import panel
 from panelwright.plans import catalog
 from panelwright.plans import fit as fits
@@ -63,3 +64,22 @@ def test_kolmogorov_wiener_covers_every_flag(spark, monkeypatch):
     monkeypatch.setattr(fits, "kw_decomposition", lambda p, target, **options: seen.append(p) or p.df)
     catalog.queries()["model_kolmogorov_wiener"](spark, SF)
     assert {r.flag for r in seen[0].df.select("flag").distinct().collect()} == {"A", "N", "R"}
+
+
+def test_kolmogorov_wiener_takes_the_whole_search_or_a_model(monkeypatch):
+    rng = np.random.default_rng(3)
+    y = np.zeros(140)
+    for i in range(4, 140):
+        y[i] = 0.8 * y[i - 4] + rng.normal()
+    y = y[20:]
+    searched = []
+    search = kw.auto_arima
+    monkeypatch.setattr(kw, "auto_arima", lambda v, m=1, **options: searched.append(options) or search(v, m, **options))
+    wide = kw.kw_filter(y, lam=1600.0)
+    assert searched == [{}, {}] and max(wide.state["model"].state["order"][::2]) > 2
+    narrow = kw.kw_filter(y, lam=1600.0, arima={"max_p": 1, "max_q": 1})
+    assert searched[2:] == [{"max_p": 1, "max_q": 1}] * 2 and max(narrow.state["model"].state["order"][::2]) <= 1
+    given = kw.kw_filter(y, lam=1600.0, model=arima.arima(y, 1, (4, 0, 0), include_mean=False))
+    assert len(searched) == 4 and given.state["model"].state["order"] == (4, 0, 0)
+    with pytest.raises(ValueError):
+        kw.kw_filter(y[1:], model=given.state["model"])
