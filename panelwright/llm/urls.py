@@ -5,12 +5,15 @@ the canonical URL: ``D = ((D << 1 | start) & mask[byte]) | (D & loop)``, where `
 The shift carries from word to word, so any number of rules fits.  A batch of URLs advances one byte at a
 time as a matrix, longest URLs first, so the work is the sum of the URLs' lengths and not their maximum.
 
-The canonical URL is ``.host``, a zero byte, and the path; a list rule such as ``com/fr/`` is the glob
-``*.com<0>/fr/*``, which fits the host, its subdomains, and paths that start like the rule's.  A method rule
-is a glob over the same string that decides where no list rule fits.
-
-Defined results: a null url, or one without ``://``, has an empty host and path and is judged like any other;
-of several list rules the longest wins, then the first in string order; repeated rows are judged row by row.
+The canonical URL is ``.host``, the byte 255, and the path; a list rule such as ``com/fr/`` is the glob
+``*.com<255>/fr/*``, which fits the host, its subdomains, and paths that start like the rule's.  That byte stands in no
+UTF-8 text, so it occurs once, and a wildcard of the host can't end in the path.  A method rule is a glob over the same
+string that decides where no list rule fits; ``parse_list`` reads such rules from a filter list.
+
+Defined results: a null url, or one without ``://``, has an empty host and path and is judged like any other; a null id
+is returned like any other; of several list rules the longest wins, then the first in string order; repeated rows are
+judged row by row; very long urls are judged whole; extra columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ class ListRule:
 
     def glob(self) -> str:
         host, slash, path = self.rule.partition("/")
-        return f"*.{host}\0{slash}{path}*"
+        return f"*.{host}|{slash}{path}*"
 
 
 #: The list of the contract.  Fixed values.
@@ -63,6 +66,34 @@ METHOD_GLOBS = (
 )
 
 
+#: What parts host and path in the canonical form: no UTF-8 text holds it.
+PARTS = b"\xff"
+#: Bytes of automaton state that are held for the URLs of a slice.
+STATE_BYTES = 32 << 20
+
+
+def parse_list(lines) -> tuple[str, ...]:
+    """Method globs of a filter list, one rule a line.
+
+    ``host-glob|path-glob`` is taken as it is; ``||domain^`` and a bare ``domain`` mean the domain and its subdomains,
+    ``domain/path`` a path below it, and ``/path`` a path on any host.  Empty lines, and those that begin with ``#`` or
+    ``!``, are left out.
+    """
+    out = []
+    for line in lines:
+        rule = line.strip()
+        if not rule or rule[0] in "#!":
+            continue
+        if rule.startswith("||"):
+            rule = rule[2:].removesuffix("^")
+        elif "|" in rule:
+            out.append(rule)
+            continue
+        host, slash, path = rule.partition("/")
+        out.append(f"*.{host.lower()}|{slash}{path}*" if host else f"*|{slash}{path}*")
+    return tuple(dict.fromkeys(out))
+
+
 class Automaton:
     """All patterns side by side.  A pattern of n characters takes n bits and one more for its end."""
 
@@ -93,6 +124,9 @@ class Automaton:
     def match(self, texts: list[bytes]) -> np.ndarray:
         """Boolean matrix texts x globs."""
         n = len(texts)
+        rows = max(1, STATE_BYTES // (8 * self.words))
+        if n > rows:
+            return np.concatenate([self.match(texts[i : i + rows]) for i in range(0, n, rows)])
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=n)
         order = np.argsort(-lengths, kind="stable")
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
@@ -114,8 +148,8 @@ class Automaton:
 
 def _compiled(rules: tuple[ListRule, ...], globs: tuple[str, ...]) -> tuple[list[ListRule], Automaton]:
     ranked = sorted(rules, key=lambda r: (-len(r.rule), r.rule))
-    patterns = [r.glob() for r in ranked] + [g.replace("|", "\0") for g in globs]
-    return ranked, Automaton([p.encode() for p in patterns])
+    sides = [g.split("|", 1) for g in (*(r.glob() for r in ranked), *globs)]
+    return ranked, Automaton([host.encode() + PARTS + path.encode() for host, path in sides])
 
 
 def judge_batches(batches: Iterator[pd.DataFrame], rules: tuple[ListRule, ...], globs: tuple[str, ...]) -> Iterator[pd.DataFrame]:
@@ -123,7 +157,7 @@ def judge_batches(batches: Iterator[pd.DataFrame], rules: tuple[ListRule, ...],
     names = np.array([r.rule for r in ranked] + [None], dtype=object)
     verdicts = np.array([r.verdict for r in ranked] + [""], dtype=object)
     for frame in batches:
-        canonical = [f".{h}\0{p}".encode() for h, p in zip(frame["host"], frame["path"], strict=True)]
+        canonical = [b"." + h.encode() + PARTS + p.encode() for h, p in zip(frame["host"], frame["path"], strict=True)]
         hit = automaton.match(canonical)
         lists = np.concatenate((hit[:, : len(ranked)], np.ones((len(frame), 1), dtype=bool)), axis=1)
         best = lists.argmax(axis=1) if len(frame) else np.zeros(0, dtype=int)
@@ -146,8 +180,10 @@ def judge(
     pages: DataFrame, rules: tuple[ListRule, ...] = RULES, globs: tuple[str, ...] = METHOD_GLOBS, *, page_id: str = "page_id", url: str = "url"
 ) -> DataFrame:
     """page_id, host, path, rule (null without a list rule) and verdict of every row."""
-    if any("*" in r.rule or "\0" in r.rule or "/" not in r.rule for r in rules):
+    if any("*" in r.rule or "/" not in r.rule or "|" in r.rule.partition("/")[0] for r in rules):
         raise ValueError("a list rule is host/path without wildcards")
+    if any("|" not in g for g in globs):
+        raise ValueError("a method rule is host-glob|path-glob")
     # ids travel as text: pandas has no integers beside nulls
     rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"))
     schema = "page_id string, host string, path string, rule string, verdict string"
