@@ -1,21 +1,26 @@
 """Secret scans with an incremental blob ledger.
 
 A text is addressed by the SHA-256 of its content.  The ledger holds the findings of every (blob, rule version)
-pair that was ever scanned; a run scans only pairs that it lacks, each blob once however many rows or paths hold
-it, appends them, and joins findings back to all rows.  Raising ``RULE_VERSION`` scans everything anew and keeps
-the old findings.
+pair that was ever scanned, and every (path, revision) at which a blob was met.  A run scans only pairs that the ledger
+lacks, each blob once however many rows, revisions or paths hold it, and joins findings back to all rows.  Raising
+``RULE_VERSION`` scans everything anew and keeps the old findings; ``history`` tells the findings of all paths and revisions
+ever met.
 
-The ledger is a Parquet folder partitioned by rule version.  A part is written to a folder of its own and is seen
-whole or, after a failed job, not at all.
+Each run writes a part to a folder of its own, and an empty file with the name of the part says that it is whole: a failed
+job's part is never read.  Two runs at once may scan the same blob; readers take one row of a blob.
+
+A blob that more than a thousandth of the rows hold is joined by broadcast (``join_hot``): fewer than 1000 rows.
 
 Defined results: a null text is an empty blob without findings; a row whose id is null is returned like any
-other; repeated rows are returned row by row; an empty table leaves the ledger as it was.
+other; repeated rows are returned row by row; very long texts are scanned whole; extra columns are ignored, whatever their
+names; an empty table adds nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
-from panelwright.llm._store import new_dir
+from panelwright.llm._skew import join_hot
+from panelwright.llm._store import keep, new_dir
 
 RULE_VERSION = 1
 
@@ -78,23 +84,88 @@ def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+class Ledger:
+    """A folder of parts: ``findings/version=N/<part>`` and ``places/<part>``, whole where ``whole/<part>`` exists."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _parts(self, folder: str) -> list[str]:
+        """Whole parts of a folder: as many names as there were runs."""
+        names = []
+        for path in (folder, "whole"):
+            fs, p = self._fs(path)
+            names.append({s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set())
+        return sorted(names[0] & names[1])
+
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        parts = [f"{self.path}/{folder}/{name}" for name in self._parts(folder)]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+
+    def findings(self, version: int) -> DataFrame:
+        """A row per blob that was scanned with the rules of ``version``."""
+        folder = f"findings/version={version}"
+        rows = self._read(folder, FINDINGS)
+        # one part holds a blob once
+        return rows if len(self._parts(folder)) < 2 else rows.dropDuplicates(["blob"])
+
+    def places(self) -> DataFrame:
+        """(path, revision, blob) of everything that ``add_places`` has recorded, each once."""
+        return self._read("places", PLACES).distinct()
+
+    def _append(self, rows: DataFrame, folder: str, part: str) -> None:
+        rows.write.parquet(f"{self.path}/{folder}/{part}")
+
+    def _commit(self, part: str) -> None:
+        fs, p = self._fs(f"whole/{part}")
+        fs.create(p).close()
+
+    def scan(self, docs: DataFrame, text: str, version: int) -> None:
+        """Scan the blobs of ``docs`` that the ledger lacks for ``version``, each once, and append them."""
+        rows = blobs(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
+        # Copies fold on the map side, so a group of copies sends one row from each task.
+        unseen = rows.dropDuplicates(["blob"])
+        if self._parts(f"findings/version={version}"):
+            unseen = unseen.join(self.findings(version).select("blob"), "blob", "left_anti")
+        part = uuid.uuid4().hex
+        self._append(unseen.mapInPandas(workers.batches(__name__, "scan_batches"), FINDINGS), f"findings/version={version}", part)
+        self._commit(part)
+
+    def add_places(self, places: DataFrame) -> None:
+        part = uuid.uuid4().hex
+        self._append(places.distinct(), "places", part)
+        self._commit(part)
+
+
+PLACES = "path string, revision string, blob string"
 
 
 def scan(docs: DataFrame, ledger: str, *, doc_id: str = "doc_id", text: str = "text", version: int = RULE_VERSION) -> DataFrame:
     """Scan what the ledger at path ``ledger`` lacks, append it, and return the findings of every row."""
-    spark = docs.sparkSession
-    rows = blobs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    part = f"{ledger}/version={version}"
-    # Copies fold on the map side, so a group of copies sends one row from each task.
-    unseen = rows.select("blob", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    if _exists(spark, part):
-        unseen = unseen.join(spark.read.schema(FINDINGS).parquet(part).select("blob"), "blob", "left_anti")
-    unseen.mapInPandas(workers.batches(__name__, "scan_batches"), FINDINGS).write.mode("append").parquet(part)
-    known = spark.read.schema(FINDINGS).parquet(part)
-    return rows.select("doc_id", "blob").join(known, "blob")
+    book = Ledger(docs.sparkSession, ledger)
+    book.scan(docs, text, version)
+    rows = keep(blobs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "blob"), "secret-rows")
+    return join_hot(rows, book.findings(version), "blob")
+
+
+def scan_history(
+    revisions: DataFrame, ledger: str, *, path: str = "path", revision: str = "revision", text: str = "text", version: int = RULE_VERSION
+) -> None:
+    """Record the places of every historical version of every path and scan the contents that the ledger lacks."""
+    book = Ledger(revisions.sparkSession, ledger)
+    addressed = blobs(revisions.select(F.col(path).cast("string").alias("path"), F.col(revision).cast("string").alias("revision"), F.col(text).alias("text")))
+    book.add_places(addressed.select("path", "revision", "blob"))
+    book.scan(revisions, text, version)
+
+
+def history(spark, ledger: str, *, version: int = RULE_VERSION) -> DataFrame:
+    """path, revision and findings of every place that the ledger knows and whose content was scanned with ``version``."""
+    book = Ledger(spark, ledger)
+    return join_hot(keep(book.places(), "secret-places"), book.findings(version), "blob")
 
 
 def fresh_ledger(spark) -> str:

@@ -22,7 +22,10 @@ def brute_verdict(url):
             best = r
     if best:
         return host, path, best.rule, best.verdict
-    hit = any(re.fullmatch("(?s)" + ".*".join(map(re.escape, g.replace("|", "\0").split("*"))), f".{host}\0{path}") for g in U.METHOD_GLOBS)
+    def fits(glob, text):
+        return re.fullmatch("(?s)" + ".*".join(map(re.escape, glob.split("*"))), text)
+
+    hit = any(fits(g.split("|", 1)[0], "." + host) and fits(g.split("|", 1)[1], path) for g in U.METHOD_GLOBS)
     return host, path, None, "block" if hit else "allow"
 
 
@@ -30,6 +33,8 @@ def test_urls_match_brute_force(spark):
     rnd = random.Random(2)
     bits = ["example", "org", "com", "net", "fr", "de", "es", "en", "1", "adult-x", "www", "EXAMPLE", "ORG", "é", "casino", ""]
     urls = [None, "", "no scheme", "http://", "http://org/", "http://xorg/", "http://a.b/adult/x", "https://h.org?x=/es/", "http://é.com/fr/\n/x.exe", "http://h.net/" + "a" * 30000 + ".zip", "a://b://c.org/"]
+    # bytes that could pass for the border between host and path
+    urls += ["http://a.net/x.org\0/y", "http://b.de/q.example.org\0/es/1", "http://b.de/x|/adult/", "http://o\0rg.net/a.casino\0", "http://x.net/y.org|/z"]
     for _ in range(400):
         urls.append("http://" + ".".join(rnd.choice(bits) for _ in range(rnd.randint(1, 4))) + "/" * rnd.randint(0, 1) + "/".join(rnd.choice(bits) for _ in range(rnd.randint(0, 3))) + rnd.choice(["", "?q=1", "#f", ".exe", "/"]))
     rows = [((1 << 60) + i if i % 9 else None, u, "x") for i, u in enumerate(urls)] + [(1, urls[5], "x"), (1, urls[5], "x")]
@@ -38,6 +43,18 @@ def test_urls_match_brute_force(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_thousands_of_rules_from_a_list(spark):
+    hosts = [f"bad{k}.example{k % 7}.net" for k in range(3000)]
+    lines = ["# a list", "! of rules", "", *(f"||{h}^" for h in hosts[:1500]), *hosts[1500:], "shop.net/Cart", "/track/", "*.ads*|/*.gif", hosts[0]]
+    globs = U.parse_list(lines)
+    assert len(globs) == 3003
+    rows = [(k, f"http://{'www.' * (k % 2)}{h}/p") for k, h in enumerate(hosts)]
+    rows += [(5000, "http://good.net/"), (5001, "http://xbad1.example1.net/"), (5002, "http://shop.net/Cart/1"), (5003, "http://shop.net/cart"), (5004, "http://a.net/track/x"), (5005, "http://b.ads9.net/i.gif"), (5006, "http://b.ads9.net/i.gifs")]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), globs=globs).collect()}
+    assert all(got[k] == "block" for k in range(3000))
+    assert [got[k] for k in range(5000, 5007)] == ["allow", "allow", "block", "allow", "block", "block", "allow"]
+
+
 def test_automaton_against_globs_over_many_words():
     rnd = random.Random(4)
     globs = ["".join(rnd.choice("ab*c") for _ in range(rnd.randint(1, 9))) for _ in range(60)] + ["", "*"]
@@ -75,14 +92,51 @@ def test_secrets_match_brute_force_and_ledger_is_incremental(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, blob string")
     ledger = S.fresh_ledger(spark)
     got = S.scan(df, ledger).collect()
-    expect = [(i, hashlib.sha256(brute_spans(t).encode()).hexdigest(), brute_spans(t).count("hex:")) for i, t, _ in rows]
-    assert sorted(map(str, [(r.doc_id, r.base_sha256, r.n_hex) for r in got])) == sorted(map(str, expect))
+    spans = {t: brute_spans(t) for _, t, _ in rows}
+    count = lambda t: [sum(s.startswith(k + ":") for s in spans[t].split(",")) for k in ("assign", "access", "hex")]
+    expect = [(i, *count(t), hashlib.sha256(spans[t].encode()).hexdigest()) for i, t, _ in rows]
+    assert sorted(map(str, [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got])) == sorted(map(str, expect))
     assert {r.spans for r in got if r.doc_id == 9} == {"github:0:40"}
-    first = spark.read.parquet(ledger).count()
+    book = S.Ledger(spark, ledger)
+    first = book.findings(1).count()
     assert first == len({t or "" for t in TEXTS})
     more = spark.createDataFrame([(1, TEXTS[2]), (2, "new text")], "doc_id long, text string")
     assert S.scan(more, ledger).count() == 2
-    assert spark.read.parquet(ledger).count() == first + 1
+    assert book.findings(1).count() == first + 1
     S.scan(more, ledger, version=2)
-    assert spark.read.parquet(ledger).count() == first + 3
+    assert book.findings(1).count() == first + 1 and book.findings(2).count() == 2
     assert S.scan(df.limit(0), S.fresh_ledger(spark)).count() == 0
+
+
+def test_parts_of_other_runs(spark):
+    """A part without its mark is not read, and a blob that two runs scanned at once gives one row."""
+    ledger = S.fresh_ledger(spark)
+    df = spark.createDataFrame([(1, TEXTS[2]), (2, "clean")], "doc_id long, text string")
+    S.scan(df, ledger)
+    book = S.Ledger(spark, ledger)
+    twice = book._read("findings/version=1", S.FINDINGS)
+    book._append(twice, "findings/version=1", "cut-off")
+    assert len(book._parts("findings/version=1")) == 1
+    book._commit("cut-off")
+    assert len(book._parts("findings/version=1")) == 2 and twice.count() == 2
+    assert S.scan(df, ledger).count() == 2
+
+
+def test_every_revision_of_every_path(spark):
+    ledger = S.fresh_ledger(spark)
+    schema = "path string, revision int, text string, blob string"
+    S.scan_history(spark.createDataFrame([("a", 1, TEXTS[2], "x"), ("a", 2, "clean", "x"), ("b", 1, TEXTS[2], "x"), (None, 1, None, "x")], schema), ledger)
+    S.scan_history(spark.createDataFrame([("a", 3, TEXTS[2], "x"), ("c", 1, TEXTS[5], "x"), ("a", 1, TEXTS[2], "x")], schema), ledger)
+    got = sorted((str(r.path), r.revision, r.n_assign + r.n_access + r.n_hex > 0) for r in S.history(spark, ledger).collect())
+    assert got == [("None", "1", False), ("a", "1", True), ("a", "2", False), ("a", "3", True), ("b", "1", True), ("c", "1", True)]
+    assert S.history(spark, ledger, version=2).count() == 0
+
+
+def test_copies_of_one_text_with_most_rows(spark):
+    from panelwright.llm._skew import join_hot
+    from panelwright.llm._store import keep
+
+    rows = keep(spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 1500) END AS k"), "hot")
+    right = rows.select("k").distinct().selectExpr("k", "length(k) AS n")
+    got = join_hot(rows, right, "k", share=10)
+    assert got.count() == 3000 and got.exceptAll(rows.join(right, "k").select(*got.columns)).isEmpty()
