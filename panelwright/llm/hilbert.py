@@ -1,17 +1,19 @@
 """Hilbert-curve sharding: rows that are near in several metadata dimensions share a shard.
 
-Each dimension is quantised to ``2 ** bits`` levels, the levels give the row's index on a Hilbert curve, and
-the curve is cut into runs of equal row counts.  A shard then covers a small box of every dimension, so
-min/max statistics prune files on any of them.
+Each dimension is quantised to at most ``2 ** bits`` levels, the levels give the row's index on a Hilbert curve, and
+the curve is cut into runs of equal row counts.  A shard then covers a small box of every dimension.  Levels keep the
+dimension's order: they are cut at quantiles of the sizes, and of the labels' first bytes behind the prefix that all labels
+share, so a shard's least and greatest label prune files.
 
-The global order needs no total sort and no single-partition window: counts per curve cell (at most
+The global order needs no total sort and no single-partition window over rows: counts per curve cell (at most
 ``2 ** (bits * dimensions)`` of them, a bound by parameter) are summed up along the curve; a row's rank is its
-cell's offset plus its rank in the cell.  A cell that holds more than ``1 / SPLIT`` of all rows is cut into
-pieces by a hash of the row's key, so a hot source or a large group of copies spreads over many tasks.
+cell's offset plus its rank in the cell.  A cell that holds more than ``1 / SPLIT`` of all rows, or more than
+``PIECE_ROWS``, is cut into pieces by a salted hash of the row, so a hot source, a large group of copies and one repeated row
+spread over many tasks.  Inside a cell rows have no order of their own: it is the curve's finest step.
 
-DataFrame functions only.  Defined results: a null dimension has level 0; a null text counts 0 bytes and has
-the CRC of the empty string; repeated rows each get a slot; an empty table gives an empty result; columns of the
-input that clash with added ones are replaced.
+DataFrame functions only.  Defined results: a null label comes before all others; a null text counts 0 bytes and has
+the CRC of the empty string; a null key is kept like any other; repeated rows each get a slot; a very long text is one row;
+an empty table gives an empty result; columns of the input that clash with added ones are replaced.
 """
 
 from __future__ import annotations
@@ -20,23 +22,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm._native import let
+from panelwright.llm._skew import place
 from panelwright.llm._store import keep
 
-#: A cell with more than this share of all rows is cut into pieces.
+#: A cell with more than this share of all rows, or more rows than ``PIECE_ROWS``, is cut into pieces.
 SPLIT = 400
+PIECE_ROWS = 500_000
+#: Parts into which equal rows may fall.
+SALTS = 1 << 16
 #: Bytes that every row counts besides its text.
 ROW_BYTES = 16
+#: Bytes of a label that take part in its order, behind the prefix that all labels share.
+CODE_BYTES = 7
+#: Quantiles are right to one part in this many.
+ACCURACY = 10_000
 
 
-def log_level(value: Column, bits: int) -> Column:
-    """Level of a non-negative number by powers of two: the same for the same value in any table."""
-    level = F.floor(F.log2(F.greatest(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)) + 1.0))
-    return F.least(level, F.lit((1 << bits) - 1)).cast("long")
+def shared_prefix(least: bytes, greatest: bytes) -> int:
+    """Bytes that the least and the greatest label, and so all between them, begin with."""
+    n = 0
+    while n < min(len(least), len(greatest)) and least[n] == greatest[n]:
+        n += 1
+    return n
 
 
-def name_level(value: Column, bits: int) -> Column:
-    """Level of a label: equal labels always meet; null has level 0."""
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
+def label_code(label: Column, skip: int) -> Column:
+    """A number in the order of the labels: ``CODE_BYTES`` bytes from ``skip`` on; -1 for null."""
+    part = F.rpad(F.hex(F.substring(F.encode(label, "UTF-8"), skip + 1, CODE_BYTES)), 2 * CODE_BYTES, "0")
+    return F.coalesce(F.conv(part, 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
+def level(code: Column, cuts: list[int], bits: int) -> Column:
+    """Level of a code: how many cuts it has reached, spread over all levels."""
+    at = place(F.array(*[F.lit(c).cast("long") for c in cuts]), len(cuts), code).cast("long")
+    return F.floor(at * (1 << bits) / (len(cuts) + 1)).cast("long")
 
 
 def hilbert_index(levels: list[Column], bits: int) -> Column:
@@ -109,27 +128,39 @@ def shards(
         raise ValueError("n_shards must be positive")
     body = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(body).cast("long") + F.lit(ROW_BYTES)
-    levels = [name_level(F.col(c), bits) for c in labels] + [log_level(size, bits)]
-    rows = docs.select(
-        F.col(key),
-        size.alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        hilbert_index(levels, bits).alias("curve"),
-        F.xxhash64(F.col(key), body).alias("_h"),
+    ends = docs.agg(*[f(F.encode(F.col(c), "UTF-8")) for c in labels for f in (F.min, F.max)]).first()
+    skips = [shared_prefix(bytes(ends[2 * i] or b""), bytes(ends[2 * i + 1] or b"")) for i in range(len(labels))]
+    codes = [label_code(F.col(c), n) for c, n in zip(labels, skips, strict=True)]
+    # About 60 bytes a row: the texts are read once, not once for each use below.
+    rows = keep(
+        docs.select(
+            F.col(key),
+            size.alias("size"),
+            F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+            *[c.alias(f"_c{i}") for i, c in enumerate(codes)],
+            F.xxhash64(F.col(key), body).alias("_h"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"),
+        ),
+        "shard-codes",
     )
-    # About 40 bytes a row: the texts are read once, not once for each of the three uses below.
-    rows = keep(rows, "curve")
+    names = [*(f"_c{i}" for i in range(len(labels))), "size"]
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    found = rows.agg(*[F.percentile_approx(c, shares, ACCURACY) for c in names]).first()
+    cuts = [sorted(set(found[i] or [])) for i in range(len(names))]
+    rows = rows.select(key, "size", "text_crc32", "_h", "_salt", hilbert_index([level(F.col(c), q, bits) for c, q in zip(names, cuts, strict=True)], bits).alias("curve"))
     per_cell = rows.groupBy("curve").agg(F.count(F.lit(1)).alias("_n"))
     # One row per curve cell at most: 2 ** (bits * dimensions), whatever the size of the table.
     whole = Window.partitionBy(F.lit(0))
     cells = per_cell.select("curve", F.sum("_n").over(whole).alias("_all"), "_n").select(
-        "curve", "_all", F.ceil(F.col("_n") * SPLIT / F.col("_all")).cast("long").alias("_pieces")
+        "curve",
+        "_all",
+        F.greatest(F.ceil(F.col("_n") * SPLIT / F.col("_all")), F.ceil(F.col("_n") / PIECE_ROWS)).cast("long").alias("_pieces"),
     )
-    placed = rows.join(F.broadcast(cells), "curve").withColumn("_piece", F.pmod(F.col("_h"), F.col("_pieces")))
+    placed = rows.join(F.broadcast(cells), "curve").withColumn("_piece", F.pmod(F.xxhash64("_h", "_salt"), F.col("_pieces")))
     per_piece = placed.groupBy("curve", "_piece", "_all").agg(F.count(F.lit(1)).alias("_n"))
     along = Window.partitionBy(F.lit(0)).orderBy("curve", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_piece.select("curve", "_piece", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("curve", "_piece").orderBy("_h", key)
+    inside = Window.partitionBy("curve", "_piece").orderBy("_h", key, "_salt")
     rank = F.col("_before") + F.row_number().over(inside) - 1
     return (
         placed.join(F.broadcast(offsets), ["curve", "_piece"])
@@ -149,12 +180,20 @@ def shards(
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, *, key: str = "doc_id") -> None:
-    """Write ``docs`` as Parquet, a folder per shard, each in the order of the curve."""
-    plan = assigned.select(F.col(key).alias("_k"), "shard", "slot").dropDuplicates(["_k"])
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> None:
+    """Write ``docs`` as Parquet, a folder per shard, each in the order of the curve.
+
+    ``assigned`` is what ``shards`` gave for these rows.  Rows of one key are told apart by their text's size and CRC; rows
+    that are equal in all of it lie together.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    names = {"size": F.octet_length(body).cast("long") + F.lit(ROW_BYTES), "text_crc32": F.crc32(F.encode(body, "UTF-8"))}
+    plan = assigned.groupBy(F.col(key).alias("_k"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc")).agg(F.min(F.struct("shard", "slot")).alias("_at"))
+    marked = docs.drop("shard", "slot").withColumn("_size2", names["size"]).withColumn("_crc2", names["text_crc32"])
+    same = marked[key].eqNullSafe(plan["_k"]) & (F.col("_size2") == F.col("_size")) & (F.col("_crc2") == F.col("_crc"))
     (
-        docs.join(plan, docs[key].eqNullSafe(plan["_k"]))
-        .drop("_k")
+        marked.join(plan, same)
+        .select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
         .repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")

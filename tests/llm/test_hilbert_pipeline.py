@@ -39,6 +39,38 @@ def test_written_shards_keep_rows(spark, tmp_path):
     assert back.count() == 100 and back.select("shard").distinct().count() == 5
 
 
+def test_rows_of_one_key_keep_their_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "en", "s"), (1, "b", "en", "s"), (1, "b", "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    H.write_shards(df, H.shards(df, 2), str(tmp_path / "out"))
+    assert sorted(str(r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["None", "a", "b", "b"]
+
+
+def test_a_filter_opens_few_shards(spark):
+    """By the least and greatest value of each shard, as a Parquet reader prunes files."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assigned = H.shards(docs, 40).select("doc_id", "shard", "size")
+    spans = docs.join(assigned, "doc_id").groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+
+    def opened(column, values):
+        return sum(sum(r[f"lo_{column}"] <= v <= r[f"hi_{column}"] for r in spans) for v in values) / len(values)
+
+    values = {c: [r[0] for r in docs.select(c).distinct().collect()] for c in ("lang", "source")}
+    values["size"] = [r[0] for r in assigned.select("size").orderBy("size").collect()][::25]
+    counts = {c: opened(c, v) for c, v in values.items()}
+    print(counts)
+    assert counts["lang"] < 20 and counts["source"] < 20 and counts["size"] < 20, counts
+
+
+def test_one_repeated_row_and_labels_with_a_prefix(spark):
+    rows = [(7, "same", "en", "https://www.a.example/x")] * 2000 + [(k, f"t{k}", "en", f"https://www.{chr(97 + k % 20)}.example/y") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = H.shards(df, 40)
+    per = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert len(per) == 40 and set(per.values()) == {75}
+    spans = df.where("doc_id < 1000 AND doc_id <> 7").join(got.select("doc_id", "shard"), "doc_id").groupBy("shard").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).collect()
+    assert sum(r.lo <= "https://www.m.example/y" <= r.hi for r in spans) <= 8
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
