@@ -10,14 +10,18 @@ k-gram in so short a span, so for each such length that occurs every document wi
 fingerprint.
 
 One scan of the documents.  A fingerprint carries its ``2 * W + K - 2`` neighbouring word hashes, which is all
-that the extension needs, so no text is shuffled; rows that don't match end in the join.  The benchmark's side is
-broadcast only up to ``BROADCAST_ROWS`` fingerprints and shuffled otherwise.
+that the extension needs, so no text is shuffled.  The benchmark's fingerprints are written once, a row of at most 200
+bytes each; the items that hold them are joined to the hits alone, by the fingerprint's number.
+
+Up to ``BROADCAST_ROWS`` fingerprints are broadcast.  Beyond, both sides are shuffled, and up to ``FILTER_GRAMS`` distinct
+grams of the benchmark go ahead to drop the document rows that can't match before they are.
 
 DataFrame functions only.  Words are compared by 64-bit hashes, ten in a row at least.
 
-Defined results: a null or wordless text has no words, and neither hits nor is hit; documents of the same
-id and text are judged alike and each is returned; rows of one id with different texts are judged one by one;
-repeated benchmark items count once; an empty benchmark hits nothing; extra columns are ignored.
+Defined results: a null or wordless text has no words, and neither hits nor is hit; a null document id is returned like any
+other; documents of the same id and text are judged alike and each is returned; rows of one id with different texts are judged one
+by one; repeated benchmark items count once; the words of an item with a null id hit, but it isn't named, so ``n_items`` and
+``item_ids`` leave it out; an empty benchmark hits nothing; extra columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm._native import let, lower_ascii, numbers
+from panelwright.llm._store import keep
 
 WINDOW = 10
 K = 5
@@ -34,6 +39,8 @@ W = WINDOW - K + 1
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark with more fingerprints than this is joined by a shuffle.  200 bytes a row: 100 MB.
 BROADCAST_ROWS = 500_000
+#: Up to this many distinct grams, 8 bytes each and some 30 in the hash table, go ahead of that shuffle.
+FILTER_GRAMS = 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -108,31 +115,27 @@ def _run(left: Column, right: Column, start: int, step: int) -> Column:
     return total
 
 
-def benchmark_prints(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
-    """Fingerprints of the benchmark with the items that hold them, and the lengths of its short windows."""
+def benchmark_prints(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(len, gram, ctx, print, item): fingerprints of the benchmark, numbered, with each item that holds them."""
     hashed = items.select(
-        F.col(item_id).alias("item"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("hs")
+        F.col(item_id).cast("string").alias("item"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("hs")
     ).withColumn("n", F.size("hs"))
-    # at most WINDOW - 1 rows
-    lengths = sorted(r.n for r in hashed.where(f"n between 1 and {WINDOW - 1}").select("n").distinct().collect())
     prints = _winnowed(F.col("hs"))
-    for n in lengths:
+    for n in range(1, WINDOW):
         prints = F.when(F.col("n") == n, _short(F.col("hs"), n)).otherwise(prints)
-    return (
-        hashed.select("item", F.explode(prints).alias("f"))
-        .groupBy(F.col("f.len").alias("len"), F.col("f.gram").alias("gram"), F.col("f.ctx").alias("item_ctx"))
-        .agg(F.collect_set("item").alias("items"))
-    ), lengths
+    found = hashed.select("item", F.explode(prints).alias("f")).select("item", "f.len", "f.gram", "f.ctx").distinct()
+    return found.withColumn("print", F.xxhash64("len", "gram", "ctx"))
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids (sorted array), spans (hit runs), contaminated."""
-    prints, lengths = benchmark_prints(items, item_id, item_text)
+    named = keep(benchmark_prints(items, item_id, item_text), "benchmark-prints")
+    prints = named.select(F.col("len").alias("item_len"), F.col("gram").alias("item_gram"), F.col("ctx").alias("item_ctx"), "print").distinct()
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    prints = prints.withColumnsRenamed({"len": "item_len", "gram": "item_gram"})
-    prints = F.broadcast(prints) if small else prints
+    # at most WINDOW - 1 rows
+    lengths = sorted(r.len for r in named.where("len > 0").select("len").distinct().collect())
 
     def fingerprints(hashes, key):
         found = [_winnowed(hashes), *[_short(hashes, n) for n in lengths]]
@@ -147,11 +150,15 @@ def contamination(
         "text_key",
         F.explode(let(F.transform(words(F.col("body")), lambda w: F.xxhash64(w)), lambda h: fingerprints(h, F.col("text_key")))).alias("f"),
     ).select("doc", "text_key", "f.len", "f.at", "f.gram", "f.ctx")
+    if not small:
+        grams = prints.select(F.col("item_gram").alias("known")).distinct()
+        if grams.limit(FILTER_GRAMS + 1).count() <= FILTER_GRAMS:
+            rows = rows.join(F.broadcast(grams), F.col("gram") == F.col("known"), "left").where("len = -1 or known is not null").drop("known")
     size = W - 1
     left, right = _run(F.col("ctx"), F.col("item_ctx"), size - 1, -1), _run(F.col("ctx"), F.col("item_ctx"), size + K, 1)
     same = F.slice("ctx", size + 1, K) == F.slice("item_ctx", size + 1, K)
     hits = (
-        rows.join(prints, (F.col("gram") == F.col("item_gram")) & (F.col("len") == F.col("item_len")), "left")
+        rows.join(F.broadcast(prints) if small else prints, (F.col("gram") == F.col("item_gram")) & (F.col("len") == F.col("item_len")), "left")
         .where("len = -1 or item_gram is not null")
         .withColumn("left", F.when(F.col("len") == 0, left))
         .withColumn("right", F.when(F.col("len") == 0, right))
@@ -164,39 +171,46 @@ def contamination(
     # Equal rows and repeats of a passage in a document fold on the map side.
     joined = (
         hits.where(head | long_run | short_run)
-        .select("doc", "text_key", "len", "at", a.alias("a"), b.alias("b"), F.explode_outer("items").alias("item"))
+        .select("doc", "text_key", "len", "at", a.alias("a"), b.alias("b"), "print")
         .groupBy("doc", "text_key")
         .agg(
             F.max(F.when(head, F.col("at"))).alias("n_words"),
             F.sum(head.cast("long")).alias("copies"),
             F.collect_set(F.when(~head, F.struct("a", "b"))).alias("runs"),
-            F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"),
+            F.collect_set(F.when(~head, F.col("print"))).alias("prints"),
         )
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     )
-
-    def merged(runs):
-        """Sorted disjoint runs."""
-        return F.aggregate(
-            F.array_sort(runs),
-            F.array().cast("array<struct<a:int,b:int>>"),
-            lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= r["a"]),
-                F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], r["b"]).alias("b")))),
-            ).otherwise(F.concat(acc, F.array(r))),
-        )
-
-    covered = F.aggregate("spans", F.lit(0), lambda acc, r: acc + r["b"] - r["a"])
-    return (
-        joined.withColumn("spans", merged(F.col("runs")))
-        .select(
-            F.col("doc").alias(doc_id),
-            F.col("n_words").cast("long").alias("n_words"),
-            covered.cast("long").alias("n_hit"),
-            F.size("item_ids").cast("long").alias("n_items"),
-            "item_ids",
-            "spans",
-            (F.size("spans") > 0).alias("contaminated"),
-            "text_key",
-        )
+    # The items of the hits: rows of documents that are hit only.
+    few_names = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    names = named.where("item is not null").select("print", "item").distinct()
+    joined = keep(joined, "benchmark-hits")
+    hit = joined.where(F.size("prints") > 0).select("doc", "text_key", F.explode("prints").alias("print"))
+    listed = (
+        hit.join(F.broadcast(names) if few_names else names, "print")
+        .groupBy(F.col("doc").alias("hit_doc"), F.col("text_key").alias("hit_key"))
+        .agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    )
+    same_row = F.col("doc").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key"))
+    clean = joined.where(F.size("prints") == 0).withColumn("item_ids", F.array().cast("array<string>"))
+    marked = joined.where(F.size("prints") > 0).join(listed, same_row, "left").drop("hit_doc", "hit_key")
+    joined = clean.unionByName(marked).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+
+    # a run is shorter than two windows, so its positions are as many as its words
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1)))))
+
+    def spans(at):
+        """Sorted disjoint runs, from the sorted positions."""
+        first = F.filter(at, lambda p, i: (i == 0) | (F.get(at, F.greatest(i - 1, F.lit(0))) != p - 1))
+        last = F.filter(at, lambda p, i: F.coalesce(F.get(at, i + 1) != p + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda x, y: F.struct(x.alias("a"), (y + 1).alias("b")))
+
+    return joined.withColumn("hit_places", places).select(
+        F.col("doc").alias(doc_id),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size("hit_places").cast("long").alias("n_hit"),
+        F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        let(F.col("hit_places"), spans).alias("spans"),
+        (F.size("runs") > 0).alias("contaminated"),
+        "text_key",
     )

@@ -63,3 +63,32 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{(i * j) % 7}" for j in range(14))) for i in range(5)]
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     check(spark, docs, items)
+
+
+def test_null_items_and_clashing_columns(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, passage, "x", 5), (None, f"a {passage} b", "x", 5), (2, "clean text", "x", 5), (3, None, None, None)], "doc_id long, text string, gram string, print int")
+    items = spark.createDataFrame([(None, passage, "y"), (9, "clean text", "y"), (None, None, "y")], "item_id long, text string, len string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated, [tuple(s) for s in r.spans]) for r in D.contamination(docs, items).collect()}
+    assert got == {1: (12, 0, [], True, [(0, 12)]), None: (12, 0, [], True, [(1, 13)]), 2: (2, 1, ["9"], True, [(0, 2)]), 3: (0, 0, [], False, [])}
+
+
+def test_long_text_with_many_runs(spark):
+    text = " ".join(f"hit filler{k}" for k in range(20_000))
+    got = D.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, "hit")], "item_id long, text string")).first()
+    assert (got.n_words, got.n_hit, len(got.spans)) == (40_000, 20_000, 20_000)
+
+
+def test_large_benchmark_drops_rows_before_the_shuffle(spark, monkeypatch):
+    """With the shuffled join, what the documents' side writes is far below their texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    want = D.contamination(docs, items).drop("spans")
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    got = D.contamination(docs, items).drop("spans")
+    assert got.exceptAll(want).isEmpty() and want.count() == got.count()
+    # what the documents' side writes: rows whose gram the benchmark has, some 170 bytes each
+    grams = D.benchmark_prints(items).select("gram").distinct()
+    found = docs.select(D.F.explode(D.let(D.F.transform(D.words(D.F.col("text")), lambda w: D.F.xxhash64(w)), D._winnowed)).alias("f")).select("f.gram")
+    sent = found.join(grams, "gram", "left_semi").count()
+    assert 170 * sent < 0.25 * docs.agg(D.F.sum(D.F.octet_length("text"))).first()[0]
