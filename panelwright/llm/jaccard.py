@@ -12,14 +12,20 @@ Documents are sets of hashed ``SHINGLE``-word shingles; two are linked when the
 5. Verify: what survives is verified on the whole sets.
 6. Links fold to a count per node and a spanning forest per unit; classes are the connected components.
 
-A band with more than ``BLOCK`` nodes is cut into blocks and each pair of blocks is a unit of its own, so no task holds
-more than two blocks of one group.  Pairs live inside a unit as index arrays; the plan's rows stay linear in nodes.
+A band with more than ``BLOCK`` nodes, or more than ``BLOCK_SHINGLES`` shingles, is cut into blocks and each pair of blocks is
+a unit of its own, so no task holds more than two blocks of one group.  The surviving pairs of a unit travel as positions in
+it, or as bits where that is shorter: never more than 512 bytes for a node and unit.  The number of links of a document is part
+of the result, so within a group of m different texts that are all alike m * m / 2 pairs are compared.
 A pair that shares several bands is treated only in the first, so links are counted once.
 
 Each phase is written to the shared folder, which is where a job restarts after losing executors.
 
+``tolerance=0`` drops no candidate before its sets are compared, which is the measure of what pruning loses.
+
 Defined results: rows with a null id belong to no class; a null text has no words; rows of one id with different texts
-are different documents; extra columns are ignored by ``classes`` and kept by ``representatives``.
+are different documents; of several least ids of a class the one whose text's hash is least stays; repeated rows of the one
+that stays fold to one; very long texts are compared whole; extra columns are ignored by ``classes`` and kept by
+``representatives``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
+from panelwright.llm._skew import join_hot
+from panelwright.llm._slices import slices
 from panelwright.llm._store import discard, keep
 
 SHINGLE = 5
@@ -45,10 +53,9 @@ HASHES = ROWS * BANDS
 STEP = 32
 TOLERANCE = 1e-7
 BLOCK = 2048
+BLOCK_SHINGLES = 2_000_000
 #: Pairs compared at a time inside a task.
 CHUNK_PAIRS = 1 << 16
-#: Rows whose texts are held as Python objects at a time.
-SLICE_ROWS = 512
 #: Candidate keys are broadcast to the second pass over the texts up to this count (24 bytes each), joined beyond it.
 BROADCAST_ROWS = 200_000
 
@@ -122,15 +129,8 @@ def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[i
 # --- on the executors ------------------------------------------------------------------------------------------
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time: their texts are Python objects for one slice only."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
-
-
 def profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _slices(batches):
+    for part in slices(batches):
         n, twin, sig = [], [], []
         for text in part.column("text").to_pylist():
             s = shingles(text)
@@ -187,9 +187,27 @@ def _pairs(unit: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarra
         yield np.concatenate(left), np.concatenate(right)
 
 
-def prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (unit, node, partners): nodes of surviving pairs, each pair listed with its first node."""
-    least = needed()
+def _packed(mates: np.ndarray, size: int) -> bytes:
+    """Sorted positions below ``size`` as 16-bit numbers, or as bits where those are shorter (32-bit beyond 65,536)."""
+    if size > 65536:
+        return b"L" + mates.astype("<u4").tobytes()
+    if 16 * len(mates) <= size:
+        return b"S" + mates.astype("<u2").tobytes()
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[mates] = 1
+    return b"B" + np.packbits(bits).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    kind = data[:1]
+    if kind == b"B":
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=1)))
+    return np.frombuffer(data, dtype="<u2" if kind == b"S" else "<u4", offset=1).astype(np.int64)
+
+
+def prune_batches(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
+    """Rows (unit, pos, node, partners): nodes of surviving pairs with their position in the unit, each pair listed with its
+    first node as the position of the other."""
     for frame in _groups(batches, "unit"):
         sig = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint32).reshape(len(frame), HASHES)
         unit, band = frame["unit"].to_numpy(), frame["band"].to_numpy()
@@ -205,24 +223,29 @@ def prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(a):
                 first = (sig[a] == sig[b]).reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
                 stay = first == band[a]
-                lefts.append(a[stay])
-                rights.append(b[stay])
+                lefts.append(a[stay].astype(np.int32))
+                rights.append(b[stay].astype(np.int32))
         if not lefts:
             continue
         a, b = np.concatenate(lefts), np.concatenate(rights)
         if not len(a):
             continue
-        order = np.argsort(a, kind="stable")
+        order = np.lexsort((b, a))
         a, b = a[order], b[order]
         rows = np.unique(np.concatenate((a, b)))
+        # positions count from 0 in each unit
+        starts = np.flatnonzero(np.concatenate(([True], unit[rows][1:] != unit[rows][:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(rows)])))
+        pos = np.arange(len(rows)) - np.repeat(starts, sizes)
+        other = pos[np.searchsorted(rows, b)]
         begin, end = np.searchsorted(a, rows, "left"), np.searchsorted(a, rows, "right")
-        yield pd.DataFrame(
-            {"unit": unit[rows], "node": node[rows], "partners": [node[b[x:y]] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]}
-        )
+        of_unit = np.repeat(sizes, sizes).tolist()
+        partners = [_packed(other[x:y], n) for x, y, n in zip(begin.tolist(), end.tolist(), of_unit, strict=True)]
+        yield pd.DataFrame({"unit": unit[rows], "pos": pos.astype(np.int32), "node": node[rows], "partners": partners})
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _slices(batches):
+    for part in slices(batches):
         sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -234,11 +257,10 @@ def verify_batches(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
         unit = frame["unit"].to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True):
-            part = frame.iloc[s:e]
+            part = frame.iloc[s:e].sort_values("pos")
             nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
             sizes = np.array([len(x) for x in sets])
-            at = {n: i for i, n in enumerate(nodes.tolist())}
             names, flat = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.cumsum(sizes)
             begins = ends - sizes
@@ -246,9 +268,9 @@ def verify_batches(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
             texts, docs = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
             parent = list(range(len(nodes)))
             for i, partners in enumerate(part["partners"]):
-                if not len(partners):
+                js = _unpacked(partners)
+                if not len(js):
                     continue
-                js = np.array([at[p] for p in partners.tolist()])
                 own = flat[begins[i] : ends[i]]
                 seen[own] = True
                 shared = np.array([int(np.count_nonzero(seen[flat[begins[j] : ends[j]]])) for j in js.tolist()])
@@ -282,7 +304,7 @@ def _find(parent: list[int], i: int) -> int:
 
 def _bands(nodes: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)]
-    return nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
+    return nodes.select("node", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -314,7 +336,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def join(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, DataFrame]:
     """``(profile, nodes)``: the first has a row per document, the second a row per distinct set with its links and class.
 
     The threshold can be raised above ``THRESHOLD``; below it the bands would miss pairs.
@@ -327,22 +351,22 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
         rows.mapInArrow(workers.batches(__name__, "profile_batches"), "doc_id long, th long, n long, twin binary, sig binary"), "profile"
     )
     first = F.min(F.struct("doc_id", "th"))
-    nodes = profile.where("n > 0").groupBy("twin", "sig").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = profile.where("n > 0").groupBy("twin", "sig").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     # Written once, so the node numbers hold from here on.
-    nodes = keep(nodes.select(F.monotonically_increasing_id().alias("node"), "twin", "sig", "first", "copies"), "nodes")
+    nodes = keep(nodes.select(F.monotonically_increasing_id().alias("node"), "twin", "sig", "first", "copies", "n"), "nodes")
 
     bands = _bands(nodes)
     shared = bands.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.min("node").alias("least")
+        F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.min("node").alias("least"), F.sum("n").alias("size")
     )
     shared = (
         shared.where("m > 1")
-        .groupBy("m", "members", "least")
+        .groupBy("m", "members", "least", "size")
         .agg(F.min(F.struct("band", "key")).alias("b"))
-        .select("m", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
+        .select("m", "size", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
     )
     shared = keep(shared, "shared")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.least(F.ceil(F.col("size") / BLOCK_SHINGLES), F.col("m"))).cast("long")
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     units = (
         bands.join(shared, ["band", "key"])
@@ -357,7 +381,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     survivors = keep(
         with_sig.repartition("unit")
         .sortWithinPartitions("unit")
-        .mapInPandas(workers.batches(__name__, "prune_batches"), "unit long, node long, partners array<long>"),
+        .mapInPandas(workers.batches(__name__, "prune_batches", needed(threshold, tolerance)), "unit long, pos int, node long, partners binary"),
         "survivors",
     )
     candidates = keep(
@@ -379,7 +403,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     verified = keep(verified, "verified")
     links = verified.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = nodes.drop("sig").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = nodes.drop("sig", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = keep(linked, "linked")
     classes = linked.groupBy("root").agg(F.min("first").alias("class"))
     classes = keep(linked.join(classes, "root"), "classes")
@@ -388,11 +412,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     return profile, classes
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """A row per document: doc_id, class_id (least id of its component), set_id (least id of its set's copies), n_copies
     (documents of the same set, itself included), n_links (other documents at the threshold or above, copies included)
     and n_set_links (other sets)."""
-    profile, nodes = join(docs, doc_id=doc_id, text=text, threshold=threshold)
+    profile, nodes = join(docs, doc_id=doc_id, text=text, threshold=threshold, tolerance=tolerance)
     info = nodes.select(
         "twin",
         F.col("class.doc_id").alias("class_id"),
@@ -403,7 +427,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     out = ("class_id", "set_id", "n_copies", "n_links", "n_set_links")
-    linked = profile.where("n > 0").select("doc_id", "twin").join(info, "twin").select("doc_id", *out)
+    linked = join_hot(profile.where("n > 0").select("doc_id", "twin"), info, "twin").select("doc_id", *out)
     alone = profile.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), one.alias("n_copies"), none.alias("n_links"), none.alias("n_set_links"))
     null = F.lit(None).cast("long")
     unnamed = docs.where(F.col(doc_id).isNull()).select(*[null.alias(c) for c in ("doc_id", "class_id", "set_id")], one.alias("n_copies"), none.alias("n_links"), none.alias("n_set_links"))
@@ -414,7 +438,7 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """The rows of ``docs`` that stay: of each class the document with the least id, and rows outside any class."""
     profile, nodes = join(docs, doc_id=doc_id, text=text, threshold=threshold)
     key = F.struct("doc_id", "th")
-    members = profile.where("n > 0").select("doc_id", "th", "twin").join(nodes.select("twin", "class"), "twin")
+    members = join_hot(profile.where("n > 0").select("doc_id", "th", "twin"), nodes.select("twin", "class"), "twin")
     losers = members.where(key != F.col("class")).select("doc_id", "th").distinct()
     losers = keep(losers.withColumnsRenamed({"doc_id": "__pw_doc", "th": "__pw_text"}), "losers")
     repeated = profile.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

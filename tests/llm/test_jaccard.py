@@ -62,6 +62,39 @@ def test_blocks_of_one_group(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
 
 
+def test_pruning_loses_nothing_and_packs_pairs(spark):
+    df = spark.createDataFrame(corpus(seed=3, groups=20), "doc_id long, text string")
+    pick = lambda t: sorted((r.doc_id, r.class_id, r.n_links) for r in J.classes(df, tolerance=t).collect())
+    assert J.needed(tolerance=0)[-1] < 0 and pick(0) == pick(J.TOLERANCE)
+    for size in (1, 40, 5000, 70000):
+        for mates in (np.zeros(0, dtype=np.int64), np.array([0]), np.arange(0, size, 3), np.arange(size)):
+            data = J._packed(mates, size)
+            assert J._unpacked(data).tolist() == mates.tolist() and (size > 65536 or len(data) <= size // 8 + 2)
+
+
+def test_thousands_of_near_copies(spark):
+    """One class of 3000 different texts, each a word away from a common base, and the links of some by brute force."""
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        w[i % 120] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000, " ".join(f"z{i}" for i in range(100)))]
+    got = {r.doc_id: r for r in J.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {r.class_id for k, r in got.items() if k < 3000} == {0} and got[5000].n_links == 0
+    sets = [set(J.shingles(t).tolist()) for _, t in rows]
+    for k in (0, 7, 1234, 2999):
+        assert got[k].n_links == sum(j != k and len(sets[k] & s) >= 0.8 * len(sets[k] | s) for j, s in enumerate(sets))
+
+
+def test_very_long_texts_are_cut_into_small_units(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 30_000)
+    rows = [(k, " ".join(f"w{i}" for i in range(12_000)) + f" own{k} " * 300) for k in range(8)] + [(9, "short text of six words here")]
+    got = J.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+
+
 def test_null_ids_repeats_and_clashing_columns(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(5, long, "a"), (3, long, "b"), (3, long, "b"), (3, "other text altogether now", "c"), (None, long, "d"), (None, None, "e")]
