@@ -7,14 +7,15 @@ restores them for whoever holds the key.
 
 Kinds: payment cards (13 to 19 digits with a right Luhn sum; the first digit, the length and a right sum are kept),
 US social security numbers, phone numbers with a country code or a bracketed area code (country code kept), IPv4
-addresses, IBANs (country, layout and a right checksum kept), dates (ISO, or day and month with a year; valid and
-stays valid), and e-mail addresses (letters and digits of the local part, each within its class; the domain is kept).
-Other numbers are left alone.
+addresses, IBANs (country, layout and a right checksum kept), dates (ISO, with or without a time behind a T, or day and month
+with a year; valid and stays valid), and e-mail addresses (letters and digits of the local part, each within its class; the domain
+is kept).  Other numbers are left alone: those without separators or a check digit can't be validated.
 
 A row's text is all that is needed, so there is no shuffle.
 
-Defined results: a null text stays null and counts nothing; a text without findings is returned unchanged;
-repeated rows are treated row by row.
+Defined results: a null text stays null and counts nothing; a text without findings is returned unchanged; null ids and
+repeated rows are treated row by row; very long texts are searched whole; columns that clash with added ones are replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -195,20 +196,40 @@ def email(text: str, key: bytes, way: str) -> str | None:
     return f"{_classes(local, key, 'email:' + domain.lower(), way)}@{domain}"
 
 
+@lru_cache(maxsize=1)
+def _ambiguous() -> tuple[list[datetime.date], dict[datetime.date, int], list[datetime.date], dict[datetime.date, int]]:
+    """Days up to the 12th of a month, which have two readings with '/', and the other days; each with its ranks."""
+    days = [FIRST_DAY + datetime.timedelta(n) for n in range(DAYS)]
+    early, late = [d for d in days if d.day <= 12], [d for d in days if d.day > 12]
+    return early, {d: i for i, d in enumerate(early)}, late, {d: i for i, d in enumerate(late)}
+
+
 def date(text: str, key: bytes, way: str) -> str | None:
-    """Year first (2024-03-09) or last (09.03.2024, 03/09/2024: with '/' the month comes first)."""
+    """Year first (2024-03-09) or last (09.03.2024, 03/09/2024: with '/' the month comes first unless it is above 12).
+
+    With '/', days above the 12th are permuted among themselves, so a value keeps the one reading that it has.  A day or month
+    of one digit gets one where the new one has one: its width is the new value's own.
+    """
     sep = re.search(r"\D", text)[0]
     a, b, c = text.split(sep)
-    y, m, d = (a, b, c) if len(a) == 4 else (c, a, b) if sep == "/" else (c, b, a)
+    year_first = len(a) == 4
+    swapped = not year_first and sep == "/" and int(a) <= 12
+    y, m, d = (a, b, c) if year_first else (c, a, b) if swapped else (c, b, a)
     try:
         day = datetime.date(int(y), int(m), int(d))
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = FIRST_DAY + datetime.timedelta(getattr(_net(key, "date", DAYS), way)((day - FIRST_DAY).days))
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return sep.join((y, m, d) if len(a) == 4 else (m, d, y) if sep == "/" else (d, m, y))
+    if sep == "/" and not year_first:
+        early, early_rank, late, late_rank = _ambiguous()
+        days, rank, tweak = (early, early_rank, "date/early") if day.day <= 12 else (late, late_rank, "date/late")
+        new = days[getattr(_net(key, tweak, len(days)), way)(rank[day])]
+    else:
+        new = FIRST_DAY + datetime.timedelta(getattr(_net(key, "date", DAYS), way)((day - FIRST_DAY).days))
+    short = any(len(p) == 1 for p in (m, d))
+    y, m, d = f"{new.year:04d}", f"{new.month}" if short else f"{new.month:02d}", f"{new.day}" if short else f"{new.day:02d}"
+    return sep.join((y, m, d) if year_first else (m, d, y) if swapped else (d, m, y))
 
 
 #: A candidate is the first alternative that fits; it counts if its kind validates it.
@@ -216,7 +237,7 @@ _PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
     r"|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"
-    r"|(?<![0-9A-Za-z./-])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"
+    r"|(?<![0-9A-Za-z./-])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?:(?=T[0-9])|(?![0-9A-Za-z]|[-/.][0-9]))"
     r"|(?<![0-9A-Za-z-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"
     r"|(?<![0-9A-Za-z+])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<s3>[ -])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{4}(?:(?P=s3)[0-9]{3})?|[0-9]{4}(?P<s4>[ -])[0-9]{6}(?P=s4)[0-9]{5})(?![0-9A-Za-z])"
     r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}|(?<![0-9A-Za-z+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"

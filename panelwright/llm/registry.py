@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,20 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-#: Key of the pseudonyms in the registered queries; a deployment passes its own.
-DEMO_KEY = b"panelwright-demo-key"
+#: Setting of the session that holds the key of the pseudonyms, in hexadecimal digits.
+KEY_SETTING = "spark.panelwright.pseudonyms.key"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's key.  Where none is set, a random one that nobody keeps: its pseudonyms can't be reversed."""
+    given = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if given:
+        return bytes.fromhex(given)
+    return os.urandom(32)
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.apply(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return pseudonyms.apply(_read(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
