@@ -4,28 +4,32 @@ A shard holds one record per document, in ascending order of the id:
 
     8 bytes  length of the payload (little endian)
     4 bytes  masked CRC-32 of those 8 bytes
-    payload  document id (8 bytes, signed), then the token ids (2 bytes each for vocabularies up to 65,536, else 4)
+    payload  1 byte that is 1 where the document has an id, the id (8 bytes, signed), then the token ids (2 bytes each
+             for vocabularies up to 65,536, else 4)
     4 bytes  masked CRC-32 of the payload
 
 The mask is ``rotate_right(crc, 15) + 0xA282EAD8``, so a checksum stored in data that is itself checksummed stays
-safe.  Beside each shard an index holds one (document id, offset, tokens) triple of 8 bytes each per record, which is
-what a loader needs to read records in shuffled order with one seek each.
+safe.  Beside each shard an index holds one (has an id, document id, offset, tokens) row of four 8-byte numbers per record.
+``index`` reads it, and ``shuffled`` reads the records in a seeded random order with one seek each.
 
 Documents are range-partitioned by id, each partition sorts and writes one shard through a temporary name, and the
 rows that the writing job returns are the manifest: a shard that isn't in the manifest doesn't exist, so a retried or
 speculative task does no harm.  Positions of shards in the whole come from sums over the manifest.
 
-Tokens come from the tokenizers library.  A text is cut before a single space that stands between two other characters:
-no token of the byte-level pre-tokenizer reaches over that point, so each distinct word is encoded once while the
+Tokens come from the tokenizers library.  A text is cut before a single space, or a lone line end, that stands between two
+other characters: no token of the byte-level pre-tokenizer reaches over that point, so a word is encoded once while the
 worker's bounded table holds it, and its ids are joined back by position.
 
-Defined results: a null text holds the end id only; null ids come first and are stored as the least 64-bit
-number; repeated rows are repeated records; an empty table gives an empty manifest and no shard.
+Defined results: a null text holds the end id only; null ids come first; repeated rows are repeated records; rows of one
+id are ordered by a hash of their text; very long texts are one record each; extra columns are ignored, whatever their
+names; an empty table gives an empty manifest and no shard.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -33,20 +37,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import workers
-from panelwright.llm._store import keep, new_dir
+from panelwright.llm._slices import slices
+from panelwright.llm._store import commit, file_system, keep, make_dir, new_dir, new_file
+from panelwright.llm._table import Odd, Table
 
-NO_ID = -(2**63)
 MASK_DELTA = 0xA282EAD8
-#: Words kept, about 200 bytes each.
-TABLE_ROWS = 400_000
-KEPT_CHARS = 64
-#: Signs that are split off a word before it is looked up.
-SIGNS = ",.;:!?"
-BLOCK_CHARS = 1_000_000
+#: Words of one generation of the table, about 200 bytes each; two generations are held.
+TABLE_ROWS = 300_000
+#: Records that a loader reads at a time.
+SLICE_ROWS = 512
+_HEAD = struct.Struct("<QI")
+_LEAD = struct.Struct("<Bq")
+
+#: A word of which every run of letters, of digits and of other signs is one pre-token, the first with the space before it.
+#: The apostrophe is left out: some of its suffixes are pre-tokens of their own.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, width int"
 
@@ -59,8 +71,15 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+def _alphabet() -> str:
+    """The byte-level alphabet: printable Latin-1 signs stand for themselves, other bytes for the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
 class Coder:
-    """One tokenizer with its table: word -> ids as bytes."""
+    """One tokenizer with its tables of words."""
 
     def __init__(self, path: str):
         import json
@@ -68,6 +87,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
@@ -78,14 +98,42 @@ class Coder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.code = "H" if self.size <= 65536 else "I"
-        #: Ids of a word with the space, or the line end, before it.
-        self.table: dict[str, bytes] = {}
-        self.signs = dict(zip(SIGNS, self._encode(list(SIGNS)), strict=True))
+        self.alphabet = _alphabet()
+        self.space = self.alphabet[32]
+        #: Words behind a space or with the line end before them, and what stands alone: first words and runs inside a word.
+        self.table, self.bare = Table(self._word, TABLE_ROWS), Table(self._bare, TABLE_ROWS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
+    def _run(self, run: str, space: str) -> bytes:
+        """Ids of one pre-token, straight from the model."""
+        spelled = run if run.isascii() else codecs.charmap_decode(run.encode(), "strict", self.alphabet)[0]
+        return array(self.code, [t.id for t in self.model.tokenize(space + spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        m = LETTERS_SIGNS(word)
+        if m is not None:
+            letters, signs = m.groups()
+            return self.table[letters] + self.bare[signs] if signs else self._run(word, self.space)
+        if not word or word[-1].isspace() or (word[0].isspace() and (word[0] != "\n" or word[1].isspace())):
+            raise Odd
+        if word[0] == "\n":
+            return self.bare["\n"] + self.bare[word[1:]]
+        if PLAIN.fullmatch(word):
+            first, *rest = RUNS.findall(word)
+            if not rest:
+                return self._run(word, self.space)
+            return self.table[first] + b"".join(map(self.bare.__getitem__, rest))
+        return self._encode([" " + word])[0]
+
+    def _bare(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            runs = RUNS.findall(word)
+            return self._run(word, "") if len(runs) == 1 else b"".join(map(self.bare.__getitem__, runs))
+        return self._encode([word])[0]
+
     def _cut(self, text: str) -> list[str]:
         """Chunks of any text, each but the first with the space that precedes it."""
         parts = text.split(" ")
@@ -99,53 +147,21 @@ class Coder:
                 out[-1] = last + " " + p
         return out
 
-    def all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as bytes of ``dtype``."""
-        start = 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and size < BLOCK_CHARS:
-                size += len(texts[end])
-                end += 1
-            yield from self._block(texts[start:end])
-            start = end
-
-    def _learn(self, new: set[str]) -> None:
-        """Add words to the table.  A last sign after a letter is a token of its own, so only what precedes it is new."""
-        table, signs = self.table, self.signs
-        signed = [w for w in new if w[-1] in signs and len(w) > 1 and w[-2].isalpha()]
-        plain = new.difference(signed)
-        plain.update(b for w in signed if (b := w[:-1]) not in table)
-        words = list(plain)
-        for w, ids in zip(words, self._encode([w if w[0] == "\n" else " " + w for w in words]), strict=True):
-            table[w] = ids
-        for w in signed:
-            table[w] = table[w[:-1]] + signs[w[-1]]
-
-    def _block(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [not self.can_cut or any(s in t for s in self.special) for t in texts]
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as bytes of ``dtype``."""
+        if not text:
+            return b""
+        if not self.can_cut or any(s in text for s in self.special):
+            return self._encode([text])[0]
         # a lone line end is a token too: a word that follows one has it instead of the space
-        words = [[] if w else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole, strict=True)]
-        seen = set().union(*[p[1:] for p in words])
-        new = seen - self.table.keys()
-        # where white space meets white space, or an end, is no cut: such texts are cut with care
-        odd = {w for w in new if not w or w[-1].isspace() or (w[0].isspace() and (w[0] != "\n" or w[1].isspace()))}
-        careful = [bool(p) and (not p[0] or p[0][-1].isspace() or (bool(odd) and not odd.isdisjoint(p))) for p in words]
-        self._learn(new - odd)
-        table = self.table
-        firsts = self._encode([p[0] if p else "" for p in words])
-        for text, w, c, parts, first in zip(texts, whole, careful, words, firsts, strict=True):
-            if w:
-                yield self._encode([text])[0]
-            elif c:
-                yield b"".join(self._encode(self._cut(text)))
-            else:
-                yield first + b"".join(map(table.__getitem__, parts[1:]))
-        for w in new:
-            if len(w) > KEPT_CHARS and w in table:
-                del table[w]
-        if len(table) > TABLE_ROWS:  # what this block holds is what is frequent
-            self.table = {w: table[w] for w in seen if w in table}
+        words = text.replace("\n", " \n").split(" ")
+        first = words[0]
+        if first and not first[-1].isspace():
+            try:
+                return self.bare[first] + b"".join(map(self.table.__getitem__, words[1:]))
+            except Odd:
+                pass
+        return b"".join(self._encode(self._cut(text)))
 
 
 def coder(path: str) -> Coder:
@@ -156,80 +172,70 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
-def write_batches(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, folder: str) -> Iterator[pd.DataFrame]:
+def write_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Write the partition, which is sorted by id, as one shard; yield its row of the manifest."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     shard, c = context.partitionId(), coder(tokenizer)
-    end = np.array([end_id], dtype=c.dtype).tobytes()
-    fs, root = _fs(folder)
-    name, temporary = f"shard-{shard:06d}.rec", f"_temporary-{shard}-{context.taskAttemptId()}.rec"
-    out, index, offset, n_docs, n_tokens = None, [], 0, 0, 0
-    try:
-        for frame in batches:
-            if out is None and len(frame):
-                out = fs.open_output_stream(f"{root}/{temporary}", compression=None, buffer_size=1 << 20)
-            for doc, ids in zip(frame["doc_id"].tolist(), c.all([t or "" for t in frame["text"]]), strict=True):
-                payload = struct.pack("<q", doc) + ids + end
-                head = struct.pack("<Q", len(payload))
-                out.write(head + struct.pack("<I", masked(head)) + payload + struct.pack("<I", masked(payload)))
-                count = (len(payload) - 8) // c.dtype.itemsize
-                index.append((doc, offset, count))
-                offset += len(payload) + 16
+    end, width = np.array([end_id], dtype=c.dtype).tobytes(), c.dtype.itemsize
+    parts = slices(batches)
+    part = next(parts, None)
+    if part is None:
+        return
+    fs, root = file_system(folder)
+    name, temporary = f"{root}/shard-{shard:06d}.rec", f"{root}/_temporary-{shard}-{context.taskAttemptId()}.rec"
+    offset = n_docs = n_tokens = 0
+    with new_file(fs, f"{temporary}.idx") as places, new_file(fs, temporary) as out:
+        while part is not None:
+            lines = array("q")
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                payload = b"".join((_LEAD.pack(doc is not None, doc or 0), c.ids(text or ""), end))
+                n = len(payload)
+                head = n.to_bytes(8, "little")
+                out.write(b"".join((head, masked(head).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little"))))
+                count = (n - _LEAD.size) // width
+                lines.extend((doc is not None, doc or 0, offset, count))
+                offset += n + 16
                 n_docs += 1
                 n_tokens += count
-    finally:
-        if out is not None:
-            out.close()
-    if not n_docs:
-        return
-    with fs.open_output_stream(f"{root}/{temporary}.idx", compression=None) as f:
-        f.write(np.array(index, dtype="<i8").tobytes())
-    fs.move(f"{root}/{temporary}.idx", f"{root}/{name}.idx")
-    fs.move(f"{root}/{temporary}", f"{root}/{name}")
-    yield pd.DataFrame(
-        [(shard, f"{folder}/{name}", n_docs, n_tokens, offset, c.dtype.itemsize)],
-        columns=["shard", "path", "n_docs", "n_tokens", "n_bytes", "width"],
-    )
+            places.write(np.array(lines, dtype="<i8").tobytes())
+            part = next(parts, None)
+    commit(fs, f"{temporary}.idx", f"{name}.idx")
+    commit(fs, temporary, name)
+    row = {"shard": shard, "path": f"{folder}/shard-{shard:06d}.rec", "n_docs": n_docs, "n_tokens": n_tokens, "n_bytes": offset, "width": width}
+    types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all rows under ``folder`` and return the manifest with ``first_token``, the tokens of all shards before.
 
-    Equal ids stay in one range, so they are ordered by their text.
+    The text breaks ties of the id, so a group of rows of one id is spread over ranges and has one order.
     """
-    spark = docs.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    # The text breaks ties of the id: a group of rows of one id is spread over ranges and has one order.
+    make_dir(docs.sparkSession, folder)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     run = workers.batches(__name__, "write_batches", tokenizer, end_id, folder)
-    manifest = keep(ordered.mapInPandas(run, MANIFEST), "token-manifest")
+    manifest = keep(ordered.mapInArrow(run, MANIFEST), "token-manifest")
     # one row per shard
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def records(stream, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def records(stream, width: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """(offset, document id, token ids) of every record of an open shard; a damaged record raises ValueError."""
     offset = 0
     while head := stream.read(12):
-        if len(head) < 12 or masked(head[:8]) != struct.unpack("<I", head[8:])[0]:
+        if len(head) < 12 or masked(head[:8]) != _HEAD.unpack(head)[1]:
             raise ValueError(f"damaged length at {offset}")
-        n = struct.unpack("<Q", head[:8])[0]
+        n = _HEAD.unpack(head)[0]
         payload, check = stream.read(n), stream.read(4)
         if len(payload) < n or len(check) < 4 or masked(payload) != struct.unpack("<I", check)[0]:
             raise ValueError(f"damaged record at {offset}")
-        yield offset, struct.unpack("<q", payload[:8])[0], np.frombuffer(payload, dtype=f"<u{width}", offset=8)
+        named, doc = _LEAD.unpack_from(payload)
+        yield offset, doc if named else None, np.frombuffer(payload, dtype=f"<u{width}", offset=_LEAD.size)
         offset += n + 16
 
 
@@ -238,12 +244,12 @@ def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"]
     for frame in batches:
         for row in frame.itertuples():
-            fs, path = _fs(row.path)
+            fs, path = file_system(row.path)
             start, out, n_docs = row.first_token, [], 0
             with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                 for offset, doc, ids in records(stream, row.width):
                     crc = zlib.crc32(ids.astype("<u4").tobytes())
-                    out.append((None if doc == NO_ID else doc, start, len(ids), crc, row.shard, offset))
+                    out.append((doc, start, len(ids), crc, row.shard, offset))
                     start += len(ids)
                     n_docs += 1
                     if len(out) == 10_000:
@@ -259,22 +265,81 @@ def _typed(rows: list, columns: list) -> pd.DataFrame:
     return pd.DataFrame({c: pd.array(parts[c], dtype="Int64") for c in columns})
 
 
+def _spread(manifest: DataFrame) -> DataFrame:
+    """A shard to a task: the count keeps the small manifest from being read, and all files with it, by one task."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "shard")
+
+
 def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, shard and offset of every record, read from the files."""
-    # a count of partitions keeps the small manifest from being read, and all files with it, by one task
-    spread = manifest.repartitionByRange(max(1, manifest.count()), "shard")
-    return spread.mapInPandas(
+    return _spread(manifest).mapInPandas(
         workers.batches(__name__, "read_batches"), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long"
     )
 
 
-def read_record(path: str, offset: int, width: int) -> tuple[int, np.ndarray]:
+def read_record(path: str, offset: int, width: int) -> tuple[int | None, np.ndarray]:
     """One record by its place in the index."""
-    fs, name = _fs(path)
+    fs, name = file_system(path)
     with fs.open_input_file(name) as f:
         f.seek(offset)
         return next((doc, ids) for _, doc, ids in records(f, width))
 
 
+_PLACES = "path string, width int, doc_id long, offset long, n_tokens long"
+
+
+def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for frame in batches:
+        for row in frame.to_pandas().itertuples():
+            fs, path = file_system(row.path)
+            with fs.open_input_stream(f"{path}.idx", compression=None, buffer_size=1 << 20) as stream:
+                while data := stream.read(32 * 10_000):
+                    named, doc, offset, count = np.frombuffer(data, dtype="<i8").reshape(-1, 4).T
+                    n = len(named)
+                    columns = [pa.array([row.path] * n), pa.array([row.width] * n, pa.int32()), pa.array(doc, pa.int64(), mask=named == 0), pa.array(offset), pa.array(count)]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "width", "doc_id", "offset", "n_tokens"])
+
+
+def index(manifest: DataFrame) -> DataFrame:
+    """path, width, doc_id, offset and n_tokens of every record, read from the index files alone."""
+    return _spread(manifest).mapInArrow(workers.batches(__name__, "index_batches"), _PLACES)
+
+
+def seek_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of the places, in their order; the last few shards stay open."""
+    opened: dict = {}
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = []
+                for path, width, offset in zip(*(part.column(c).to_pylist() for c in ("path", "width", "offset")), strict=True):
+                    f = opened.pop(path, None)
+                    if f is None:
+                        fs, name = file_system(path)
+                        f = fs.open_input_file(name)
+                    opened[path] = f
+                    if len(opened) > 64:
+                        opened.pop(next(iter(opened))).close()
+                    f.seek(offset)
+                    found.append(next(ids for _, _, ids in records(f, width)))
+                ends = np.cumsum([0, *map(len, found)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("doc_id"), lists], ["place", "doc_id", "ids"])
+    finally:
+        for f in opened.values():
+            f.close()
+
+
+def shuffled(manifest: DataFrame, seed: int) -> DataFrame:
+    """(place, doc_id, ids) of every record in a seeded random order; ``place`` is the row's key in that order.
+
+    Only the index is shuffled; each record is then read with one seek by the task that yields it.
+    """
+    places = index(manifest).withColumn("place", F.xxhash64(F.lit(seed), "path", "offset"))
+    ordered = places.repartitionByRange("place").sortWithinPartitions("place")
+    return ordered.mapInArrow(workers.batches(__name__, "seek_batches"), "place long, doc_id long, ids array<int>")
+
+
 def fresh_folder(spark) -> str:
     return new_dir(spark, "token-records")
