@@ -68,25 +68,19 @@ def symmetric_ma(df: DataFrame, column: str, m: int, *, order: str, keys=(), nam
 def smooth_trend(df: DataFrame, column: str, *, order: str, keys=(), name: str = "trend") -> DataFrame:
     """Running mean over n / 10 rows, between 5 and 101; shorter at the ends.
 
-    The window depends on the series' length, so each row averages the slice of its series around it by
-    differences of running sums.
+    The window depends on the series' length, so each row averages what it needs of the 101 rows around it.
     """
     w = over(order, keys)
     whole = group_window(keys)
     c = F.col(quote(column)).cast("double")
-    df = df.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_i", F.row_number().over(w))
+    df = df.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_i", F.row_number().over(w).cast("long"))
     width = F.greatest(F.lit(3), F.least(F.col("_n"), F.greatest(F.lit(5), F.least(F.lit(101), F.floor(F.col("_n") / 10)))))
-    half = F.floor((width - 1) / 2).cast("int")
-    df = df.withColumn("_h", half)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_s", F.sum(c).over(running)).withColumn("_c", F.count(c).over(running))
-    sums = F.collect_list(F.struct(F.coalesce("_s", F.lit(0.0)).alias("s"), F.col("_c").alias("c"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = df.withColumn("_all", sums)
-    lo, hi = F.greatest(F.col("_i") - F.col("_h"), F.lit(1)), F.least(F.col("_i") + F.col("_h"), F.col("_n"))
-    a, b = F.get("_all", (lo - 2).cast("int")), F.get("_all", (hi - 1).cast("int"))
-    n = b["c"] - F.when(lo > 1, a["c"]).otherwise(0)
-    value = F.when(n > 0, (b["s"] - F.when(lo > 1, a["s"]).otherwise(0.0)) / n)
-    return df.withColumn(name, value).drop("_n", "_i", "_h", "_s", "_c", "_all")
+    # the window reaches 50 rows to either side at most: the rows around are held as one short array
+    near = F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_c").alias("y"))).over(w.rowsBetween(-50, 50))
+    df = df.withColumn("_h", F.floor((width - 1) / 2)).withColumn("_c", c).withColumn("_near", near)
+    inside = F.filter("_near", lambda r: (F.abs(r["i"] - F.col("_i")) <= F.col("_h")) & r["y"].isNotNull())
+    value = F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda a, r: a + r["y"]) / F.size(inside))
+    return df.withColumn(name, value).drop("_n", "_i", "_h", "_c", "_near")
 
 
 def embed(df: DataFrame, column: str, dimension: int, *, order: str, keys=()) -> DataFrame:

@@ -50,6 +50,35 @@ def clean(y) -> np.ndarray:
     return y
 
 
+def longest_run(y: np.ndarray) -> tuple[int, int]:
+    """(begin, end) of the longest run of present values, the first of equally long ones."""
+    ok = np.concatenate(([False], np.isfinite(y), [False]))
+    begins, ends = np.flatnonzero(~ok[:-1] & ok[1:]), np.flatnonzero(ok[:-1] & ~ok[1:])
+    if not len(begins):
+        raise ValueError("all values are missing")
+    best = int(np.argmax(ends - begins))
+    return int(begins[best]), int(ends[best])
+
+
+def on_longest_run(y: np.ndarray, fitter) -> Fit:
+    """Fit the longest run of present values; forecasts still begin behind the whole series, so seasons keep their place."""
+    begin, end = longest_run(y)
+    fit = fitter(y[begin:end])
+    behind, inner = len(y) - end, fit.forecaster
+
+    def padded(part):
+        out = np.full(len(y), np.nan)
+        out[begin:end] = part
+        return out
+
+    def forecaster(h: int, levels):
+        fc = inner(h + behind, levels)
+        return Forecast(fc.mean[behind:], {k: v[behind:] for k, v in fc.lower.items()}, {k: v[behind:] for k, v in fc.upper.items()})
+
+    fit.fitted, fit.residuals, fit.forecaster = padded(fit.fitted), padded(fit.residuals), forecaster
+    return fit
+
+
 def box_cox(y: np.ndarray, lam: float) -> np.ndarray:
     if lam == 0:
         return np.log(y)

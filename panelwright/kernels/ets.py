@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from panelwright.kernels.common import Fit, Forecast, box_cox, box_cox_lambda, clean, decompose, inv_box_cox, normal_bands
+from panelwright.kernels.common import Fit, Forecast, box_cox, box_cox_lambda, clean, decompose, inv_box_cox, normal_bands, on_longest_run
 from panelwright.kernels.optimize import nelder_mead
 
 LOWER = {"alpha": 1e-4, "beta": 1e-4, "gamma": 1e-4, "phi": 0.8}
@@ -410,14 +410,19 @@ def conventional(y, m: int, *, alpha=None, beta=None, gamma=None, trend: bool =
 
 
 def ets(y, m: int = 1, model: str = "ZZZ", *, damped: bool | None = None, ic: str = "aicc", allow_multiplicative_trend: bool = False, restrict: bool = True, additive_only: bool = False, lam=None, biasadj: bool = False, **fixed) -> Fit:
-    """The member of the family with the least criterion; Z leaves a component to the search."""
+    """The member of the family with the least criterion; Z leaves a component to the search.
+
+    Of a series with gaps the longest run of present values is used; forecasts begin behind the whole series.
+    """
+    if not np.isfinite(clean(y)).all():
+        rest = dict(damped=damped, ic=ic, allow_multiplicative_trend=allow_multiplicative_trend, restrict=restrict, additive_only=additive_only, lam=lam, biasadj=biasadj)
+        return on_longest_run(clean(y), lambda run: ets(run, m, model, **rest, **fixed))
     if len(model) != 3 or any(c not in "ANMZ" for c in model) or model[0] == "N":
         raise ValueError(f"unknown model {model!r}")
     if lam is not None:
         additive_only = True
         return _transformed(y, m, lam, biasadj, lambda z: ets(z, m, model, damped=damped, ic=ic, restrict=restrict, additive_only=True, **fixed))
     y = clean(y)
-    y = y[np.isfinite(y)]
     n = len(y)
     m = m if isinstance(m, int) else int(m[0])
     if y.min() == y.max() and model == "ZZZ":

@@ -73,10 +73,28 @@ KERNELS = {
     "tbats": _several("tbats", "tbats"),
     "kw_filter": _call("kw", "kw_forecast"),
 }
-#: Kernels that cope with missing values themselves.
+#: Kernels that cope with missing values themselves: ARIMA filters over them, ETS takes the longest run of present values, and
+#: for Croston a missing value is a period without demand.  The others fail unless the option ``missing`` says otherwise:
+#: "contiguous" (the longest run, forecasts begin behind the whole series), "interpolate", or "fail".
 TOLERANT = {"arima", "ets", "croston"}
 
 
+def _with_gaps(how: str, y: np.ndarray, m: int, x, run):
+    """Fit a series with missing values by one of the strategies; ``run`` fits a whole one."""
+    from panelwright.kernels.common import on_longest_run
+    from panelwright.kernels.stats import interpolate_missing
+
+    if how == "interpolate":
+        return run(interpolate_missing(y, m))
+    if how == "contiguous":
+        if x is not None:
+            raise ValueError("a run of the target can't be fitted with regressors")
+        return on_longest_run(y, run)
+    if how == "fail":
+        raise ValueError("missing values in the target")
+    raise ValueError(f"unknown strategy {how!r} for missing values")
+
+
 def period(m) -> int:
     if isinstance(m, (list, tuple)):
         m = m[0] if m else 1
@@ -84,11 +102,12 @@ def period(m) -> int:
 
 
 def fit_one(spec: dict, y: np.ndarray, m: int, x=None):
-    if spec["kernel"] not in TOLERANT and not np.isfinite(y).all():
-        raise ValueError("missing values in the target")
     if len(y) == 0:
         raise ValueError("an empty series")
     options = dict(spec["options"])
+    how = options.pop("missing", None if spec["kernel"] in TOLERANT else "fail")
+    if how is not None and not np.isfinite(y).all():
+        return _with_gaps(how, y, m, x, lambda whole: fit_one(spec | {"options": options}, whole, m, x))
     if spec["kernel"] in ("bats", "tbats") and "periods" not in options:
         options["periods"] = spec["m"] if isinstance(spec["m"], (list, tuple)) else [m]
     return KERNELS[spec["kernel"]](y, m, x, options)

@@ -247,9 +247,10 @@ def join_semi(spark, d):
     return joins.semi_join(c, read(spark, d, "orders").where("o_totalprice > 350000"), {"c_custkey": "o_custkey"})
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000)")
 def join_anti(spark, d):
-    return joins.anti_join(verbs.select(read(spark, d, "customer"), "c_custkey", "c_name"), read(spark, d, "orders"), {"c_custkey": "o_custkey"})
+    dear = read(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 300000")
+    return joins.anti_join(verbs.select(read(spark, d, "customer"), "c_custkey", "c_name"), dear, {"c_custkey": "o_custkey"})
 
 
 @query("SELECT r_name, n_name FROM region, nation")

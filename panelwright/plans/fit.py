@@ -69,6 +69,14 @@ def _shipped(p: Panel, specs: list[Spec]) -> tuple[DataFrame, list[dict], list[s
     return rows, plain, regressors
 
 
+def _spread(rows: DataFrame, by: list) -> DataFrame:
+    """Deal series out by their keys to a number of partitions: adaptive execution leaves an explicit one alone, and would
+    otherwise join many short, slow series into one task.  Four partitions a core even out specs that take long."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *by)
+
+
 def _fields(p: Panel) -> str:
     return "".join(f"{quote(k)} {p.df.schema[k].dataType.simpleString()}, " for k in p.groups)
 
@@ -103,15 +111,13 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
         by = [*cols(keys), F.col("_spec")]
         if newdata is None or not regressors:
             run = workers.group(KERNELS, "forecast_group", plain, keys, h, levels, labels, fail_fast)
-            # a number of partitions keeps adaptive execution from joining many short, slow series into one task
-            spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-            tables.append(spread.groupBy(*by).applyInPandas(run, schema))
+            tables.append(_spread(rows, by).groupBy(*by).applyInPandas(run, schema))
         else:
             check_known(newdata, [*keys, p.date, *regressors])
             ids = F.explode(F.array(*[F.lit(i) for i in range(len(plain))])).alias("_spec")
             new = newdata.select(*cols(keys), F.col(quote(p.date)).alias("_ord"), *[F.col(quote(r)).cast("double").alias(f"_x{i}") for i, r in enumerate(regressors)], ids)
             run = workers.cogroup(KERNELS, "forecast_cogroup", plain, keys, h, levels, labels, fail_fast)
-            tables.append(rows.groupBy(*by).cogroup(new.groupBy(*by)).applyInPandas(run, schema))
+            tables.append(_spread(rows, by).groupBy(*by).cogroup(_spread(new, by).groupBy(*by)).applyInPandas(run, schema))
     order = [*p.groups, "model_name", "step", "mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")], "method", "status", "error"]
     out = tables[0].select(*cols(order))
     for t in tables[1:]:
@@ -127,7 +133,8 @@ def fit(specs, p: Panel, *, fail_fast: bool = False) -> DataFrame:
     rows, plain, _ = _shipped(p, specs)
     keys = list(p.groups)
     schema = f"{_fields(p)}model_name string, method string, params map<string,double>, sigma2 double, aic double, aicc double, bic double, n_obs int, status string, error string"
-    return rows.groupBy(*cols(keys), F.col("_spec")).applyInPandas(workers.group(KERNELS, "fit_group", plain, keys, fail_fast), schema)
+    by = [*cols(keys), F.col("_spec")]
+    return _spread(rows, by).groupBy(*by).applyInPandas(workers.group(KERNELS, "fit_group", plain, keys, fail_fast), schema)
 
 
 def successful(table: DataFrame) -> DataFrame:
@@ -156,7 +163,7 @@ def _apply(p: Panel, target: str, name: str, schema: str, *args) -> DataFrame:
     rows = _one(p, target)
     by = cols(p.groups) if p.groups else [F.lit(1).alias("_all")]
     if p.groups:
-        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+        rows = _spread(rows, by)
     return rows.groupBy(*by).applyInPandas(workers.group(KERNELS, name, list(p.groups), *args), f"{_fields(p)}{schema}")
 
 

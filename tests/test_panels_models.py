@@ -259,3 +259,47 @@ def test_bats_tbats_kw_kernels():
     assert w[0] + 2 * sum(w[j] * np.cos(j * omega) for j in range(1, 51)) == pytest.approx(1, abs=0.1)
     with pytest.raises(ValueError):
         kw.kw_filter(y, kind="square")
+
+
+@pytest.mark.parametrize("gap", [(20, 23), (100, 103), (138, 141)])
+def test_ets_keeps_its_seasons_over_gaps(gap):
+    from panelwright.kernels import ets as E
+    from panelwright.sources.datasets import AIR_PASSENGERS
+
+    y = np.array(AIR_PASSENGERS, dtype=float)
+    whole = E.ets(y, 12, "MAM", damped=False).forecast(12).mean
+    y[slice(*gap)] = np.nan
+    fit = E.ets(y, 12, "MAM", damped=False)
+    got = fit.forecast(12).mean
+    assert len(fit.fitted) == len(y) and np.isnan(fit.fitted[slice(*gap)]).all()
+    assert (np.abs(got / whole - 1) < 0.13).all() and got.argmax() in (6, 7)
+
+
+def test_strategies_for_missing_values(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.sources.datasets import air_passengers
+
+    gappy = F.when(F.col("date").between("1956-02-01", "1956-04-01"), None).otherwise(F.col("value"))
+    df = air_passengers(spark).withColumn("series", F.lit(1)).withColumn("y", gappy)
+    p = panel(df.select("series", "date", "y"), groups="series", date="date", m=12, target="y")
+    models = SP.model(
+        SP.theta_spec("y", missing="contiguous", name="run"), SP.theta_spec("y", missing="interpolate", name="filled"), SP.theta_spec("y", name="plain"),
+        SP.arar_spec("y", missing="interpolate", name="arar"), SP.bats_spec("y", missing="contiguous", use_box_cox=False, use_trend=True, use_damped=False, use_arma=False, name="bats"),
+    )
+    out = fits.forecast(models, p, 12, level=[])
+    assert {r.model_name for r in fits.failures(out).collect()} == {"plain"}
+    means = {}
+    for r in fits.successful(out).collect():
+        means.setdefault(r.model_name, {})[r.step] = r["mean"]
+    assert set(means) == {"run", "filled", "arar", "bats"}
+    assert all(len(v) == 12 and 400 < v[1] < 500 and max(v, key=v.get) in (7, 8) for v in means.values()), means
+
+
+def test_small_panels_are_fitted_by_several_tasks(spark):
+    df = spark.range(8 * 30).selectExpr("id % 8 AS series", "date_add(DATE'2024-01-01', CAST(id DIV 8 AS INT)) AS date", "CAST(id % 7 + id % 8 AS DOUBLE) AS y")
+    p = panel(df, groups="series", date="date", frequency="day", target="y")
+    models = SP.model(SP.ses_spec("y"), SP.croston_spec("y"))
+    for table in (fits.forecast(models, p, 2, level=[]), fits.fit(models, p)):
+        parts = table.select(__import__("pyspark").sql.functions.spark_partition_id().alias("k")).distinct().count()
+        assert parts > 1
