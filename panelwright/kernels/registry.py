@@ -191,6 +191,29 @@ def fit_group(frame: pd.DataFrame, specs: list[dict], keys: list[str], fail_fast
     return pd.DataFrame({c: row.get(c, [None]) for c in columns})
 
 
+def fitted_group(frame: pd.DataFrame, specs: list[dict], keys: list[str], fail_fast: bool) -> pd.DataFrame:
+    """Fitted values and residuals of one (series, spec)."""
+    spec = specs[int(frame["_spec"].iloc[0])]
+    columns = [*keys, "model_name", "_i", "fitted", "residual", "status", "error"]
+    try:
+        y, x = _series(frame, spec)
+        with np.errstate(all="ignore"):
+            f = fit_one(spec, y, period(spec["m"]), x)
+        n = len(y)
+        parts = {}
+        for name, part in (("fitted", f.fitted), ("residual", f.residuals)):
+            part = np.asarray(part, dtype=float)[-n:]
+            parts[name] = np.r_[np.full(n - len(part), np.nan), part]  # what a model leaves out lies at the start
+        out = _keys(frame, keys, n) | {"model_name": [spec["name"]] * n, "_i": np.arange(1, n + 1)} | parts
+        out = pd.DataFrame(out | {"status": ["ok"] * n, "error": [None] * n}, columns=columns)
+        return out.astype({"fitted": "Float64", "residual": "Float64"})
+    except Exception as e:
+        if fail_fast:
+            raise
+        row = _keys(frame, keys, 1) | {"model_name": [spec["name"]], "status": ["error"], "error": [f"{type(e).__name__}: {e}"]}
+        return pd.DataFrame({c: row.get(c, [None]) for c in columns})
+
+
 def stats_group(frame: pd.DataFrame, keys: list[str], m: int, what: list[str]) -> pd.DataFrame:
     """Statistics of one series: (keys, name, value)."""
     from panelwright.kernels import common, stats

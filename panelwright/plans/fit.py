@@ -69,22 +69,21 @@ def _shipped(p: Panel, specs: list[Spec]) -> tuple[DataFrame, list[dict], list[s
     return rows, plain, regressors
 
 
-def _spread(rows: DataFrame, by: list) -> DataFrame:
-    """Deal series out by their keys to a number of partitions: adaptive execution leaves an explicit one alone, and would
-    otherwise join many short, slow series into one task.  Four partitions a core even out specs that take long."""
-    spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, *by)
+def _spread(rows: DataFrame, by: list, partitions: int | None = None) -> DataFrame:
+    """Deal series out by their keys to ``partitions`` tasks, spark.sql.shuffle.partitions unless given: adaptive execution
+    leaves an explicit number alone, and would otherwise join many short, slow series into one task."""
+    return rows.repartition(partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _fields(p: Panel) -> str:
     return "".join(f"{quote(k)} {p.df.schema[k].dataType.simpleString()}, " for k in p.groups)
 
 
-def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | None = None, fail_fast: bool = False) -> DataFrame:
+def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | None = None, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
     """Long table: keys, model_name, step, mean, bounds, method, status, error.
 
-    ``newdata`` holds the regressors of the next h dates of every series.
+    ``newdata`` holds the regressors of the next h dates of every series.  ``partitions`` is the number of tasks of the
+    fitted models; several a core even out specs that take long.
     """
     if h < 1:
         raise ArgumentError("h must be positive")
@@ -111,13 +110,13 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
         by = [*cols(keys), F.col("_spec")]
         if newdata is None or not regressors:
             run = workers.group(KERNELS, "forecast_group", plain, keys, h, levels, labels, fail_fast)
-            tables.append(_spread(rows, by).groupBy(*by).applyInPandas(run, schema))
+            tables.append(_spread(rows, by, partitions).groupBy(*by).applyInPandas(run, schema))
         else:
             check_known(newdata, [*keys, p.date, *regressors])
             ids = F.explode(F.array(*[F.lit(i) for i in range(len(plain))])).alias("_spec")
             new = newdata.select(*cols(keys), F.col(quote(p.date)).alias("_ord"), *[F.col(quote(r)).cast("double").alias(f"_x{i}") for i, r in enumerate(regressors)], ids)
             run = workers.cogroup(KERNELS, "forecast_cogroup", plain, keys, h, levels, labels, fail_fast)
-            tables.append(_spread(rows, by).groupBy(*by).cogroup(_spread(new, by).groupBy(*by)).applyInPandas(run, schema))
+            tables.append(_spread(rows, by, partitions).groupBy(*by).cogroup(_spread(new, by, partitions).groupBy(*by)).applyInPandas(run, schema))
     order = [*p.groups, "model_name", "step", "mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")], "method", "status", "error"]
     out = tables[0].select(*cols(order))
     for t in tables[1:]:
@@ -125,7 +124,7 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     return out
 
 
-def fit(specs, p: Panel, *, fail_fast: bool = False) -> DataFrame:
+def fit(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per series and spec: method, parameters, sigma2, criteria, status."""
     specs = [s for s in _resolved(specs, p) if s.kernel not in NATIVE]
     if not specs:
@@ -134,7 +133,23 @@ def fit(specs, p: Panel, *, fail_fast: bool = False) -> DataFrame:
     keys = list(p.groups)
     schema = f"{_fields(p)}model_name string, method string, params map<string,double>, sigma2 double, aic double, aicc double, bic double, n_obs int, status string, error string"
     by = [*cols(keys), F.col("_spec")]
-    return _spread(rows, by).groupBy(*by).applyInPandas(workers.group(KERNELS, "fit_group", plain, keys, fail_fast), schema)
+    return _spread(rows, by, partitions).groupBy(*by).applyInPandas(workers.group(KERNELS, "fit_group", plain, keys, fail_fast), schema)
+
+
+def fitted(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
+    """keys, model_name, _i (row of the series), fitted, residual, status, error of the models that are fitted.
+
+    Residuals are on the scale of the fit: relative for multiplicative errors, transformed under a Box-Cox lambda.  Rows
+    outside a model's fitted range are null; a failed fit is one row with its message.  ``naive.naive_fitted`` serves the
+    naive family.
+    """
+    specs = [s for s in _resolved(specs, p) if s.kernel not in NATIVE]
+    if not specs:
+        raise ArgumentError("use naive_fitted for the naive family")
+    rows, plain, _ = _shipped(p, specs)
+    schema = f"{_fields(p)}model_name string, _i int, fitted double, residual double, status string, error string"
+    by = [*cols(p.groups), F.col("_spec")]
+    return _spread(rows, by, partitions).groupBy(*by).applyInPandas(workers.group(KERNELS, "fitted_group", plain, list(p.groups), fail_fast), schema)
 
 
 def successful(table: DataFrame) -> DataFrame:
