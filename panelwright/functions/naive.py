@@ -5,12 +5,14 @@ Everything is a DataFrame expression: one shuffle on the group keys serves fit a
 
 from __future__ import annotations
 
+from functools import wraps
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.levels import label, normalize_levels, t_quantile
+from panelwright.functions.series import box_cox, inv_box_cox
 from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, quote
 from panelwright.operators.panel import Panel
 
@@ -41,7 +43,29 @@ def _out(fits: DataFrame, keys, mean: Column, se, h: int, level, model: str) ->
     bounds = []
     for lv in levels:
         bounds += [(F.col("mean") - _z(lv) * F.col("_se")).alias(f"lower_{label(lv)}"), (F.col("mean") + _z(lv) * F.col("_se")).alias(f"upper_{label(lv)}")]
-    return rows.select(*cols(keys), "step", "mean", *bounds, F.lit(model).alias("model"))
+    return rows.select(*cols(keys), "step", "mean", *bounds, F.lit(model).alias("model"), "_se")
+
+
+def _scaled(run):
+    """Give a model ``lam`` and ``biasadj``: it runs on the Box-Cox scale, and its table is taken back.
+
+    Values that the transformation isn't defined for (not positive, for ``lam`` of 0 or less) count as missing.  With
+    ``biasadj`` the mean is adjusted by the squared standard error of its step; the bounds are quantiles and stay.
+    """
+
+    @wraps(run)
+    def model(p: Panel, target: str, h: int, level=(80, 95), *args, lam: float | None = None, biasadj: bool = False, **options) -> DataFrame:
+        if lam is None:
+            return run(p, target, h, level, *args, **options).drop("_se")
+        check_known(p.df, [target])
+        y = F.col(quote(target)).cast("double")
+        y = F.when(~F.isnan(y) & (y > 0), y) if lam <= 0 else y
+        out = run(p.with_df(p.df.withColumn(target, box_cox(y, lam))), target, h, level, *args, **options)
+        scale = {c: inv_box_cox(F.col(c), lam) for c in out.columns if c.startswith(("lower_", "upper_")) and c not in p.groups}
+        scale["mean"] = inv_box_cox(F.col("mean"), lam, F.col("_se") * F.col("_se") if biasadj else None)
+        return out.withColumns(scale).drop("_se")
+
+    return model
 
 
 def naive_fitted(p: Panel, target: str, lag: int = 1) -> DataFrame:
@@ -57,6 +81,7 @@ def naive_fitted(p: Panel, target: str, lag: int = 1) -> DataFrame:
     return s.withColumn("fitted", fitted).withColumn("residual", F.col("_y") - F.col("fitted"))
 
 
+@_scaled
 def naive(p: Panel, target: str, h: int, level=(80, 95)) -> DataFrame:
     """The last value, with errors that grow with the square root of the step."""
     f = naive_fitted(p, target)
@@ -69,6 +94,7 @@ def naive(p: Panel, target: str, h: int, level=(80, 95)) -> DataFrame:
     return _out(fits, p.groups, F.col("_last"), F.sqrt("step") * F.col("_sigma"), h, level, "naive")
 
 
+@_scaled
 def snaive(p: Panel, target: str, h: int, level=(80, 95), m: int | None = None) -> DataFrame:
     """The last value of the same season."""
     m = m or p.m
@@ -88,13 +114,14 @@ def snaive(p: Panel, target: str, h: int, level=(80, 95), m: int | None = None)
     bounds = []
     for lv in levels:
         bounds += [(F.col("mean") - _z(lv) * F.col("_se")).alias(f"lower_{label(lv)}"), (F.col("mean") + _z(lv) * F.col("_se")).alias(f"upper_{label(lv)}")]
-    return rows.select(*cols(p.groups), "step", "mean", *bounds, F.lit("snaive").alias("model"))
+    return rows.select(*cols(p.groups), "step", "mean", *bounds, F.lit("snaive").alias("model"), "_se")
 
 
+@_scaled
 def rw(p: Panel, target: str, h: int, level=(80, 95), drift: bool = True) -> DataFrame:
     """Random walk, with the mean of the differences as drift."""
     if not drift:
-        return naive(p, target, h, level).withColumn("model", F.lit("rw"))
+        return naive.__wrapped__(p, target, h, level).withColumn("model", F.lit("rw"))
     s = _series(p, target)
     w = group_window(p.groups).orderBy("_i")
     s = s.withColumn("_d", F.col("_y") - F.lag("_y").over(w))
@@ -113,6 +140,7 @@ def rw(p: Panel, target: str, h: int, level=(80, 95), drift: bool = True) -> Dat
 rwf = rw
 
 
+@_scaled
 def meanf(p: Panel, target: str, h: int, level=(80, 95)) -> DataFrame:
     """The mean, with Student-t intervals."""
     s = _series(p, target)
@@ -124,7 +152,7 @@ def meanf(p: Panel, target: str, h: int, level=(80, 95)) -> DataFrame:
     for lv in levels:
         half = F.when(F.col("_k") == 1, F.lit(float("inf"))).otherwise(t_quantile(F.col("_k") - 1, 0.5 + lv / 200) * F.col("_w"))
         bounds += [(F.col("mean") - half).alias(f"lower_{label(lv)}"), (F.col("mean") + half).alias(f"upper_{label(lv)}")]
-    return rows.select(*cols(p.groups), "step", "mean", *bounds, F.lit("meanf").alias("model"))
+    return rows.select(*cols(p.groups), "step", "mean", *bounds, F.lit("meanf").alias("model"), F.col("_w").alias("_se"))
 
 
 def as_table(*tables: DataFrame) -> DataFrame:

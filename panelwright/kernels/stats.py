@@ -239,7 +239,11 @@ def _critical(kind: str, n: int) -> list[float]:
 
 
 def adf(y, kind: str = "drift", lags: int = 1, criterion: str | None = None) -> dict[str, float]:
-    """Augmented Dickey-Fuller tau; with a criterion (aic or bic) the number of lags up to ``lags`` is chosen by it."""
+    """Augmented Dickey-Fuller tau; with a criterion (aic or bic) the number of lags up to ``lags`` is chosen by it.
+
+    The joint statistics come along: ``phi1`` (root and constant) with a drift, ``phi2`` (root, constant, trend) and ``phi3``
+    (root, trend) with a trend.
+    """
     y = np.asarray(y, dtype=float)
     y = y[np.isfinite(y)]
 
@@ -261,59 +265,110 @@ def adf(y, kind: str = "drift", lags: int = 1, criterion: str | None = None) ->
         s2 = float(e @ e) / max(rows - x.shape[1], 1)
         se = math.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[0, 0], 1e-300))
         ic = rows * math.log(max(float(e @ e) / rows, 1e-300)) + x.shape[1] * (2 if criterion == "aic" else math.log(rows))
-        return beta[0] / se, ic, rows
+        joint = {"drift": {"phi1": (0, 1)}, "trend": {"phi2": (0, 1, 2), "phi3": (0, 2)}}.get(kind, {})
+        phi = {}
+        for name, without in joint.items():
+            rest = np.delete(x, without, axis=1)
+            left = z - rest @ np.linalg.lstsq(rest, z, rcond=None)[0] if rest.shape[1] else z
+            phi[name] = float(left @ left - e @ e) / len(without) / max(s2, 1e-300)
+        return beta[0] / se, ic, rows, phi
 
     if criterion:
         k = min(range(0, lags + 1), key=lambda j: fit(j)[1])
-        tau, _, rows = fit(k)
     else:
         k = lags
-        tau, _, rows = fit(k)
+    tau, _, rows, phi = fit(k)
     c = _critical(kind, rows)
-    return {"statistic": float(tau), "lag": k, "pvalue": _pvalue(float(tau), c, (0.01, 0.05, 0.10)), "critical_5": c[1]}
+    return {"statistic": float(tau), "lag": k, "pvalue": _pvalue(float(tau), c, (0.01, 0.05, 0.10)), "critical_5": c[1], **phi}
+
+
+#: MacKinnon's (2010) response surfaces of tau at 1, 5 and 10 %, in powers of 1/n, with a constant and with a trend.
+MACKINNON = {
+    "constant": ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0)),
+    "trend": ((-3.95877, -9.0531, -28.428, -134.155), (-3.41049, -4.3904, -9.036, -45.374), (-3.12705, -2.5856, -3.925, -22.380)),
+}
 
 
-def phillips_perron(y, kind: str = "constant", lags: str | int = "short") -> dict[str, float]:
-    """Z-tau of Phillips and Perron."""
+def phillips_perron(y, kind: str = "constant", lags: str | int = "short", statistic: str = "tau") -> dict[str, float]:
+    """Z-tau or, with ``statistic="alpha"``, Z-alpha of Phillips and Perron; Z-alpha has no critical values here."""
+    if statistic not in ("tau", "alpha"):
+        raise ValueError("statistic is tau or alpha")
     y = np.asarray(y, dtype=float)
     y = y[np.isfinite(y)]
     n = len(y) - 1
-    x = [y[:-1], np.ones(n)] + ([np.arange(1, n + 1) - n / 2] if kind == "trend" else [])
-    x = np.column_stack(x)
+    if n < 4:
+        raise ValueError("the series is too short")
+    t = np.arange(1, n + 1)
+    x = np.column_stack([y[:-1], np.ones(n)] + ([t - n / 2] if kind == "trend" else []))
     z = y[1:]
     beta = np.linalg.lstsq(x, z, rcond=None)[0]
     e = z - x @ beta
     lag = int(4 * (n / 100) ** 0.25) if lags == "short" else int(12 * (n / 100) ** 0.25) if lags == "long" else int(lags)
-    s0 = float(e @ e) / n
-    s = s0 + 2 / n * sum((1 - k / (lag + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lag + 1))
+    short = float(e @ e) / n
+    long = short + 2 / n * sum((1 - k / (lag + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lag + 1))
+    if kind == "trend":
+        squares, ramp, level = float(z @ z) / n**2, float(t @ z) / n**2.5, float(z.sum()) / n**1.5
+        spread = (1 - 1 / n**2) * squares - 12 * ramp**2 + 12 * (1 + 1 / n) * ramp * level - (4 + 6 / n + 2 / n**2) * level**2
+    else:
+        spread = float(((z - z.mean()) ** 2).sum()) / n**2
+    if statistic == "alpha":
+        return {"statistic": n * (beta[0] - 1) - (long - short) / (2 * spread), "lag": lag, "pvalue": float("nan"), "critical_5": float("nan")}
     se = math.sqrt(float(e @ e) / (n - x.shape[1]) * np.linalg.pinv(x.T @ x)[0, 0])
-    tau = (beta[0] - 1) / se
-    sy = math.sqrt(((y[:-1] - y[:-1].mean()) ** 2).sum() / n**2)
-    stat = math.sqrt(s0 / s) * tau - (s - s0) / (2 * math.sqrt(s) * sy)
-    c = _critical("drift" if kind == "constant" else "trend", n)
+    stat = math.sqrt(short / long) * (beta[0] - 1) / se - (long - short) / (2 * math.sqrt(long) * math.sqrt(spread))
+    c = [sum(v / n**k for k, v in enumerate(row)) for row in MACKINNON[kind]]
     return {"statistic": float(stat), "lag": lag, "pvalue": _pvalue(float(stat), c, (0.01, 0.05, 0.10)), "critical_5": c[1]}
 
 
-def ocsb(y, m: int, lags: int = 0) -> dict[str, float]:
-    """Seasonal unit root of Osborn, Chui, Smith and Birchenhall, with the smoothed critical value at 5 %."""
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    if n < 2 * m + 6 + lags:
-        raise ValueError("the series is too short")
-    d = np.diff(y)
+def _ocsb_regression(y: np.ndarray, m: int, lags: int, first: int) -> tuple[float, int, float, int]:
+    """(t of the seasonal root, rows, residual sum of squares, parameters) of the test regression from row ``first`` on."""
+    d, s = np.diff(y), y[m:] - y[:-m]
     both = d[m:] - d[:-m]
-    z4 = (y[m:] - y[:-m])[:-1][: len(both)]
-    z5 = d[: len(both)]
-    t0 = lags
-    x = np.column_stack([z4[t0:], z5[t0:]] + [both[t0 - j : len(both) - j] for j in range(1, lags + 1)])
-    v = both[t0:]
+    n = len(both)
+    back = lambda v, j: v[first - j : n - j]
+    ar = [back(both, j) for j in range(1, lags + 1)]
+    v = both[first:]
+    filtered = [back(s, 0), back(d, 0)]
+    if lags:
+        phi = np.linalg.lstsq(np.column_stack(ar), v, rcond=None)[0]
+        filtered = [w - sum(c * back(u, j) for j, c in enumerate(phi, 1)) for w, u in zip(filtered, (s, d), strict=True)]
+    x = np.column_stack([*filtered, *ar])
+    if len(v) <= x.shape[1]:
+        raise ValueError("the series is too short")
     beta = np.linalg.lstsq(x, v, rcond=None)[0]
-    e = v - x @ beta
-    se = math.sqrt(float(e @ e) / (len(v) - x.shape[1]) * np.linalg.pinv(x.T @ x)[1, 1])
+    rss = float(((v - x @ beta) ** 2).sum())
+    se = math.sqrt(rss / (len(v) - x.shape[1]) * np.linalg.pinv(x.T @ x)[1, 1])
+    return float(beta[1] / se), len(v), rss, x.shape[1]
+
+
+def ocsb(y, m: int, lags: int = 0, criterion: str | None = None) -> dict[str, float]:
+    """Seasonal unit root of Osborn, Chui, Smith and Birchenhall, with the smoothed critical value at 5 %.
+
+    With a criterion (aic, bic or aicc) the number of lags, 1 to ``lags``, is the one of its least value; all are compared
+    on the same rows.
+    """
+    y = np.asarray(y, dtype=float)
+    if m < 2 or len(y) < 2 * m + 6 + lags:
+        raise ValueError("the series is too short")
+    chosen = lags
+    if criterion and lags:
+        if criterion.lower() not in ("aic", "bic", "aicc"):
+            raise ValueError(f"unknown criterion {criterion!r}")
+
+        def value(k):
+            _, n, rss, size = _ocsb_regression(y, m, k, lags)
+            size += 1
+            base = n * (math.log(2 * math.pi) + 1 + math.log(max(rss / n, 1e-300)))
+            if criterion.lower() == "bic":
+                return base + math.log(n) * size
+            small = 2 * size * (size + 1) / (n - size - 1) if criterion.lower() == "aicc" and n > size + 1 else 0.0
+            return base + 2 * size + small
+
+        chosen = min(range(1, lags + 1), key=value)
+    stat = _ocsb_regression(y, m, chosen, lags)[0]
     log = math.log(m)
     # The published response curve of the critical value.
     critical = -0.2937411 * math.exp(-0.2850853 * (log - 0.7656451) - 0.05983644 * (log - 0.7656451) ** 2) - 1.652202
-    return {"statistic": float(beta[1] / se), "critical": critical, "lag": lags}
+    return {"statistic": stat, "critical": critical, "lag": chosen}
 
 
 def is_constant(y: np.ndarray) -> bool:
@@ -356,7 +411,7 @@ def nsdiffs(y, m: int, *, test: str = "seas", max_D: int = 1) -> int:
             need = seasonal_strength(y, m) > 0.64
         else:
             try:
-                r = ocsb(y, m)
+                r = ocsb(y, m, 3, "aic")
                 need = r["statistic"] > r["critical"]
             except ValueError:
                 need = False

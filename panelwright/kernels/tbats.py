@@ -181,7 +181,7 @@ def _search(y, blocks, *, use_box_cox, use_trend, use_damped, use_arma, lower, u
     if best is None:
         raise ValueError("no model could be fitted")
     if use_arma:
-        order = auto_arima(best["e"], 1, d=0, max_p=3, max_q=3, allow_mean=False).state.get("order", (0, 0, 0))
+        order = auto_arima(best["e"], 1, d=0, allow_mean=False).state.get("order", (0, 0, 0))
         if order[0] or order[2]:
             s = best["shape"]
             try:

@@ -407,7 +407,8 @@ def series_fourier(spark, d):
 # --- panels, closed-form models, accuracy ----------------------------------------------------------------------
 
 _REVENUE = """WITH raw AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS revenue FROM orders
-WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2),
+WHERE o_orderdate < (SELECT CASE WHEN max(o_orderdate)::DATE = last_day(max(o_orderdate)::DATE) THEN max(o_orderdate) + INTERVAL 1 DAY
+ELSE date_trunc('month', max(o_orderdate)) END FROM orders) GROUP BY 1, 2),
 grid AS (SELECT p.priority, m.month::DATE AS month FROM (SELECT DISTINCT priority FROM raw) p,
 (SELECT unnest(generate_series((SELECT min(month) FROM raw)::TIMESTAMP, (SELECT max(month) FROM raw)::TIMESTAMP, INTERVAL 1 MONTH)) AS month) m),
 panel AS (SELECT grid.priority, grid.month, coalesce(revenue, 0.0) AS revenue, revenue IS NULL AS revenue_is_imputed,
@@ -417,8 +418,12 @@ train AS (SELECT *, n - 6 AS k FROM panel WHERE i <= n - 6), test AS (SELECT *,
 
 
 def revenue_panel(spark, d) -> Panel:
-    """Monthly revenue per order priority on a complete, common grid; months without orders are 0."""
-    o = verbs.query(read(spark, d, "orders"), lambda t: t.o_orderdate < F.lit("2001-08-01").cast("timestamp_ntz"), na="drop")
+    """Monthly revenue per order priority on a complete, common grid; months without orders are 0, and the last month goes
+    unless orders reach its last day."""
+    orders = read(spark, d, "orders")
+    day = F.max(F.col("o_orderdate").cast("date"))
+    end = orders.agg(F.when(day == F.last_day(day), F.date_add(day, 1)).otherwise(F.trunc(day, "month")).alias("end")).scalar()
+    o = orders.where(F.col("o_orderdate").cast("date") < end)
     o = o.select(F.col("o_orderpriority").alias("priority"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), "o_totalprice")
     t = verbs.summarise(verbs.groupby(o, "priority", "month"), revenue=("o_totalprice", "sum"))
     return panel(t, groups="priority", date="month", frequency="month", target="revenue", fill_time=True, balanced=True, target_na="zero")
@@ -480,6 +485,17 @@ def forecast_naive(spark, d):
     return rounded(nv.naive(train, "revenue", 6), 2)
 
 
+_LOG = ", ".join(f"round(exp(mean - {z!r} * sqrt(step) * sigma), 2) AS lower_{k}, round(exp(mean + {z!r} * sqrt(step) * sigma), 2) AS upper_{k}" for k, z in _Z.items())
+
+
+@query(_REVENUE + f""", t AS (SELECT *, CASE WHEN revenue > 0 THEN ln(revenue) END AS ly FROM train), r AS (SELECT *, ly - lag(ly) OVER (PARTITION BY priority ORDER BY i) AS e FROM t),
+s AS (SELECT priority, sqrt(avg(e * e)) AS sigma, arg_max(ly, i) FILTER (WHERE ly IS NOT NULL) AS mean FROM r GROUP BY 1)
+SELECT priority, step, round(exp(mean) * (1 + 0.5 * step * sigma * sigma), 2) AS mean, {_LOG}, 'naive' AS model FROM s, (SELECT unnest(range(1, 7))::INT AS step)""")
+def forecast_naive_log(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return rounded(nv.naive(train, "revenue", 6, lam=0, biasadj=True), 2)
+
+
 @query(_REVENUE + f""", r AS (SELECT *, revenue - lag(revenue) OVER (PARTITION BY priority ORDER BY i) AS e FROM train),
 s AS (SELECT priority, stddev_samp(e) AS sigma, avg(e) AS drift, count(e) AS ne, arg_max(revenue, i) AS last FROM r GROUP BY 1),
 f AS (SELECT priority, step, last + step * drift AS mean, sqrt(step * sigma * sigma + step * step * sigma * sigma / ne) AS se FROM s, (SELECT unnest(range(1, 7))::INT AS step))
