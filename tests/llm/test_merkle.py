@@ -57,7 +57,7 @@ def rows(n):
     return out + out[40:43] * 2 + [(5, "hot", "en", 1, "other\n", "mine", 1, "mine"), (7, "long", "en", 1, "word\n" * 300_000, "mine", 1, "mine")]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 27, 28])
+@pytest.mark.parametrize("n", [0, 1, 4])
 def test_a_group_of_each_shape(spark, n):
     some = [(i, "s", "en", 1, f"a\n{i}", "", 0, "") for i in range(n)]
     got = merkle.tamper_check(spark.createDataFrame(some, SCHEMA)).collect()
