@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, hilbert, jaccard, merkle, piece_codec, pseudonyms, quality, secrets, token_records, urls, warc
+from panelwright.llm import decontaminate, hilbert, jaccard, merkle, packing, piece_codec, pseudonyms, quality, secrets, spelling, token_records, urls, warc
 from panelwright.llm.sql import SQL
 
 
@@ -112,8 +112,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_read(spark, sf_dir, "documents").select(*merkle.FIELDS))
 
 
+#: End of each document in the packed sequences, and their length.
+PACK_END_ID, PACK_TOKENS = 1, 4096
+
+
+def op12_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, tokenizer("word_bpe_49k.json"), PACK_END_ID, PACK_TOKENS)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op3_bayes_jaccard, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_winnowing, op2_url_automaton, op3_bayes_jaccard, op4_warc_shards, op5_hilbert_shards, op6_token_records, op7_blob_ledger, op8_feistel_pseudonyms, op9_rule_ledger, op10_piece_codec, op11_merkle_manifest, op12_exact_packing, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict:

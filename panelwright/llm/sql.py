@@ -77,4 +77,39 @@ folded AS (
     list_reduce(list_prepend(l.delivered, coalesce(p.steps, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
   FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN proofs p ON p.r = l.r)
 SELECT *, folded_root = root AS verified FROM folded""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE
+remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+spelled AS (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM spelled, remainders),
+misspelled AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM misspelled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, a.d FROM gaps a WHERE a.d IN (SELECT word FROM words)
+  UNION SELECT a.d, a.word FROM gaps a WHERE a.d IN (SELECT word FROM words)),
+ranked AS (
+  SELECT near.word, near.other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, near.other) AS r
+  FROM near JOIN words o ON o.word = near.other),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * w.n THEN r.other END AS form,
+    CASE WHEN r.other_n >= 5 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+chains(word, root, k) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL
+  SELECT c.word, f.form, k + 1 FROM chains c JOIN formed f ON f.word = c.root AND f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(root, k) AS root FROM chains GROUP BY word) c ON c.word = f.word""",
 }
