@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, quote
+from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, joined, quote
 
 
 def over(order: str, keys=()) -> WindowSpec:
@@ -73,14 +73,14 @@ def smooth_trend(df: DataFrame, column: str, *, order: str, keys=(), name: str =
     w = over(order, keys)
     whole = group_window(keys)
     c = F.col(quote(column)).cast("double")
-    df = df.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_i", F.row_number().over(w).cast("long"))
-    width = F.greatest(F.lit(3), F.least(F.col("_n"), F.greatest(F.lit(5), F.least(F.lit(101), F.floor(F.col("_n") / 10)))))
+    df = df.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__i", F.row_number().over(w).cast("long"))
+    width = F.greatest(F.lit(3), F.least(F.col("__n"), F.greatest(F.lit(5), F.least(F.lit(101), F.floor(F.col("__n") / 10)))))
     # the window reaches 50 rows to either side at most: the rows around are held as one short array
-    near = F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_c").alias("y"))).over(w.rowsBetween(-50, 50))
-    df = df.withColumn("_h", F.floor((width - 1) / 2)).withColumn("_c", c).withColumn("_near", near)
-    inside = F.filter("_near", lambda r: (F.abs(r["i"] - F.col("_i")) <= F.col("_h")) & r["y"].isNotNull())
+    near = F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__c").alias("y"))).over(w.rowsBetween(-50, 50))
+    df = df.withColumn("__h", F.floor((width - 1) / 2)).withColumn("__c", c).withColumn("__near", near)
+    inside = F.filter("__near", lambda r: (F.abs(r["i"] - F.col("__i")) <= F.col("__h")) & r["y"].isNotNull())
     value = F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda a, r: a + r["y"]) / F.size(inside))
-    return df.withColumn(name, value).drop("_n", "_i", "_h", "_c", "_near")
+    return df.withColumn(name, value).drop("__n", "__i", "__h", "__c", "__near")
 
 
 def embed(df: DataFrame, column: str, dimension: int, *, order: str, keys=()) -> DataFrame:
@@ -138,6 +138,85 @@ def inv_box_cox(c: Column, lam: float, variance: Column | None = None) -> Column
     return out * (1 + 0.5 * variance * (1 - lam) / F.pow(out, F.lit(2.0 * lam)))
 
 
+def guerrero(df: DataFrame, column: str, m: int, *, order: str, keys=(), lower: float = -1.0, upper: float = 2.0) -> DataFrame:
+    """(keys, value): the Box-Cox parameter with the least variation of the periods' scaled spread.
+
+    Periods are whole ones up to the last row, of at least two rows.  Their means and deviations are one small table; the
+    parameter is searched over ``STEPS`` values between the bounds and, three times over, over as many around the best, each time
+    as one aggregation by (series, parameter).  Series of at most two periods get 1; with values that aren't positive
+    the parameter isn't negative.
+    """
+    check_known(df, [column, order, *keys])
+    whole, period = group_window(keys), max(2, m)
+    y = F.col(quote(column)).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*cols(keys), F.col(quote(order)).alias("_o"), y.alias("_y"))
+    rows = rows.select(*cols(keys), "_y", F.row_number().over(whole.orderBy("_o")).alias("_t"), F.count(F.lit(1)).over(whole).alias("_n"), F.min("_y").over(whole).alias("_least"))
+    block = F.floor((F.col("_t") - 1 - F.col("_n") % period) / period)
+    blocks = rows.withColumn("_b", block).where("_b >= 0").groupBy(*cols(keys), "_n", "_least", "_b").agg(F.avg("_y").alias("_mean"), F.stddev_samp("_y").alias("_sd"))
+    low = F.when(F.col("_least") <= 0, F.lit(max(lower, 0.0))).otherwise(F.lit(float(lower)))
+    blocks = blocks.withColumn("_from", low).withColumn("_to", F.lit(float(upper))).where(F.col("_n") > 2 * period)
+    steps = F.sequence(F.lit(0), F.lit(STEPS))
+    bounds = blocks.select(*cols(keys), "_from", "_to").distinct()
+    for _ in range(4):
+        at = joined(blocks.drop("_from", "_to"), bounds, keys)
+        at = at.withColumn("_k", F.explode(steps)).withColumn("_lam", F.col("_from") + (F.col("_to") - F.col("_from")) * F.col("_k") / STEPS)
+        ratio = F.col("_sd") / F.pow("_mean", 1 - F.col("_lam"))
+        at = at.withColumn("_ratio", F.when(~F.isnan(ratio), ratio))
+        spread = F.try_divide(F.stddev_samp("_ratio"), F.avg("_ratio"))
+        cv = at.groupBy(*cols(keys), "_lam", "_from", "_to").agg(F.coalesce(spread, F.lit(float("inf"))).alias("_cv"))
+        best = cv.groupBy(*cols(keys), "_from", "_to").agg(F.min(F.struct("_cv", "_lam"))["_lam"].alias("_lam"))
+        width = (F.col("_to") - F.col("_from")) / STEPS
+        bounds = best.select(*cols(keys), F.greatest("_from", F.col("_lam") - width).alias("_from"), F.least("_to", F.col("_lam") + width).alias("_to"), "_lam")
+        found, bounds = bounds, bounds.drop("_lam")
+    short = rows.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= 2 * period)
+    return found.select(*cols(keys), F.col("_lam").alias("value")).unionByName(short.select(*cols(keys), F.lit(1.0).alias("value")))
+
+
+#: Parameters of one round of a search for lambda.
+STEPS = 60
+
+
+def loglik_lambda(df: DataFrame, column: str, m: int, *, order: str, keys=(), lower: float = -1.0, upper: float = 2.0) -> DataFrame:
+    """(keys, value): the Box-Cox parameter of the largest profile likelihood around a line and seasons, on a grid of 0.05.
+
+    Seasons are taken out as means of each (series, parameter, season), of the values and of time alike, and the line is then one
+    of moments; so the grid is one aggregation after the other, whatever the length of a series.  A series with a
+    value that isn't positive has none; series of at most two periods get 1.
+    """
+    check_known(df, [column, order, *keys])
+    whole = group_window(keys)
+    y = F.col(quote(column)).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*cols(keys), F.col(quote(order)).alias("_o"), y.alias("_y"))
+    rows = rows.select(*cols(keys), "_y", F.row_number().over(whole.orderBy("_o")).alias("_t"), F.count(F.lit(1)).over(whole).alias("_n"), F.min("_y").over(whole).alias("_least"))
+    rows = rows.withColumn("_log", F.when(F.col("_least") > 0, F.log("_y"))).withColumn("_mean", F.avg("_log").over(whole))
+    grid = [round(k * 0.05, 2) for k in range(round(lower / 0.05), round(upper / 0.05) + 1)]
+    x = F.col("_log")
+
+    def scaled(lam: float) -> Column:
+        power = (F.pow("_y", F.lit(lam)) - 1) / lam if abs(lam) > 0.02 else x * (1 + lam * x / 2 * (1 + lam * x / 3 * (1 + lam * x / 4)))
+        return power / F.exp(F.col("_mean") * (lam - 1))
+
+    long = rows.where((F.col("_n") > 2 * m) & (F.col("_least") > 0))
+    long = long.select(*cols(keys), "_t", "_n", F.explode(F.array(*[F.struct(F.lit(g).alias("lam"), scaled(g).alias("z")) for g in grid])).alias("_p"))
+    t = F.col("_t").cast("double")
+    part = long.groupBy(*cols(keys), "_p.lam", (F.col("_t") % max(m, 1)).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_c"), F.var_pop("_p.z").alias("_vz"), F.covar_pop("_p.z", t).alias("_cz"), F.var_pop(t).alias("_vt"),
+    )
+    fit = part.groupBy(*cols(keys), "lam").agg(*[F.sum(F.col("_c") * F.col(c)).alias(c) for c in ("_vz", "_cz", "_vt")])
+    rss = F.col("_vz") - F.col("_cz") * F.col("_cz") / F.col("_vt")
+    best = fit.groupBy(*cols(keys)).agg(F.min(F.struct(rss.alias("rss"), "lam"))["lam"].alias("value"))
+    short = rows.groupBy(*cols(keys)).agg(F.first("_n").alias("_n")).where(F.col("_n") <= 2 * m)
+    return best.unionByName(short.select(*cols(keys), F.lit(1.0).alias("value")))
+
+
+def box_cox_lambda(df: DataFrame, column: str, m: int = 1, *, order: str, keys=(), method: str = "guerrero", lower: float = -1.0, upper: float = 2.0) -> DataFrame:
+    """(keys, value): the Box-Cox parameter of every series, by ``guerrero`` or ``loglik``."""
+    methods = {"guerrero": guerrero, "loglik": loglik_lambda}
+    if method not in methods:
+        raise ArgumentError("method is guerrero or loglik")
+    return methods[method](df, column, m, order=order, keys=keys, lower=lower, upper=upper)
+
+
 def fourier(df: DataFrame, m: float, k: int, *, order: str, keys=(), start: int = 0) -> DataFrame:
     """Columns S1, C1, .. Sk, Ck of the row's place in its series; the sine at the Nyquist frequency is left out."""
     if not 1 <= k <= m / 2:
@@ -154,28 +233,65 @@ def fourier(df: DataFrame, m: float, k: int, *, order: str, keys=(), start: int
 # --- statistics of whole series --------------------------------------------------------------------------------
 
 
-def acf(df: DataFrame, column: str, *, order: str, keys=(), max_lag: int | None = None) -> DataFrame:
-    """(keys, lag, value, ci): biased autocorrelations.  Without ``max_lag`` the lags go to 10 log10 n, below n.
+def autocovariances(df: DataFrame, column: str, *, order: str, keys=(), max_lag: int | None = None) -> DataFrame:
+    """(keys, _n, _most, _g): sums of products of each series' deviations at lags 0 to ``_most``, as a short array.
 
-    Missing values are left out first.  A series is gathered as one array of its values.
+    Missing values are left out first.  A product is one of a row and the row some lags before it, and sums are partial
+    aggregates: no series is gathered.  Without ``max_lag`` the lags go to 10 log10 n; in any case they stay below n.
     """
     check_known(df, [column, order, *keys])
-    c = F.col(quote(column)).cast("double")
-    pairs = df.where(c.isNotNull() & ~F.isnan(c)).groupBy(*cols(keys)).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(quote(order)).alias("o"), c.alias("y")))), lambda x: x["y"]).alias("_ys")
-    )
-    base = pairs.withColumn("_n", F.size("_ys")).where("_n > 0")
-    base = base.withColumn("_m", F.aggregate("_ys", F.lit(0.0), lambda a, y: a + y) / F.col("_n"))
-    base = base.withColumn("_d", F.transform("_ys", lambda y: y - F.col("_m")))
-    base = base.withColumn("_g0", F.aggregate("_d", F.lit(0.0), lambda a, y: a + y * y))
-    most = F.least(F.floor(10 * F.log10("_n")).cast("int") if max_lag is None else F.lit(max_lag), F.col("_n") - 1)
-    lags = base.select(*cols(keys), "_n", "_d", "_g0", F.explode(F.sequence(F.lit(0), most)).alias("lag"))
-    at = F.when(F.col("lag") < F.col("_n"), F.sequence(F.lit(0), F.col("_n") - 1 - F.col("lag")))
-    g = F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get("_d", i) * F.get("_d", i + F.col("lag")))
-    value = F.when(F.col("_g0") == 0, F.lit(1.0)).otherwise(F.try_divide(g, F.col("_g0")))
+    whole = group_window(keys)
+    y = F.col(quote(column)).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*cols(keys), F.col(quote(order)).alias("_o"), y.alias("_y"))
+    if max_lag is None:
+        longest = rows.groupBy(*cols(keys)).count().agg(F.max("count")).first()[0] or 0
+        top = min(int(10 * math.log10(longest)), longest - 1) if longest else 0
+    else:
+        top = int(max_lag)
+    w = whole.orderBy("_o")
+    rows = rows.withColumn("_d", F.col("_y") - F.avg("_y").over(whole))
+    back = [F.col("_d"), *[F.lag("_d", k).over(w) for k in range(1, top + 1)]]
+    rows = rows.select(*cols(keys), "_d", *[c.alias(f"_d{k}") for k, c in enumerate(back)])
+    sums = rows.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col("_d") * F.col(f"_d{k}")) for k in range(top + 1)]).alias("_g"))
+    most = F.least(F.lit(top) if max_lag is not None else F.floor(10 * F.log10("_n")).cast("int"), (F.col("_n") - 1).cast("int"))
+    return sums.where("_n > 0").withColumn("_most", most)
+
+
+def acf(df: DataFrame, column: str, *, order: str, keys=(), max_lag: int | None = None) -> DataFrame:
+    """(keys, lag, value, ci): biased autocorrelations, those of a constant series 1; see ``autocovariances``."""
+    sums = autocovariances(df, column, order=order, keys=keys, max_lag=max_lag).withColumn("_z", F.get("_g", 0))
+    lags = sums.select(*cols(keys), "_n", "_g", "_z", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("lag"))
+    value = F.when(F.col("_z") == 0, F.lit(1.0)).otherwise(F.try_divide(F.get("_g", F.col("lag")), F.col("_z")))
     return lags.select(*cols(keys), "lag", value.alias("value"), (F.lit(1.96) / F.sqrt("_n")).alias("ci"))
 
 
+def pacf(df: DataFrame, column: str, *, order: str, keys=(), max_lag: int | None = None) -> DataFrame:
+    """(keys, lag, value, ci): partial autocorrelations from lag 1, by Durbin and Levinson over the autocorrelations."""
+    sums = autocovariances(df, column, order=order, keys=keys, max_lag=max_lag).where("_most > 0")
+    sums = sums.withColumn("_r", F.transform("_g", lambda g: F.when(F.get("_g", 0) == 0, F.lit(1.0)).otherwise(g / F.get("_g", 0))))
+
+    def dot(phi, r, k):
+        """phi_1 r_(k-1) + .. + phi_(k-1) r_1"""
+        return F.aggregate(F.transform(phi, lambda p, i: p * F.get(r, k - 1 - i)), F.lit(0.0), lambda a, x: a + x)
+
+    def step(s, k):
+        flat = F.transform(s["phi"], lambda p, i: p * F.get(F.col("_r"), i + 1))
+        left = 1 - F.aggregate(flat, F.lit(0.0), lambda a, x: a + x)
+        a = F.when(left != 0, (F.get(F.col("_r"), k) - dot(s["phi"], F.col("_r"), k)) / left).otherwise(0.0)
+        one = F.transform(F.array(F.struct(s.alias("s"), a.alias("a"))), lambda v: F.struct(
+            F.concat(F.transform(v["s"]["phi"], lambda p, i: p - v["a"] * F.get(v["s"]["phi"], F.size(v["s"]["phi"]) - 1 - i)), F.array(v["a"])).alias("phi"),
+            F.concat(v["s"]["out"], F.array(v["a"])).alias("out"),
+        ))
+        return F.element_at(one, 1)
+
+    empty = F.array().cast("array<double>")
+    start = F.struct(empty.alias("phi"), empty.alias("out"))
+    found = F.aggregate(F.sequence(F.lit(1), F.col("_most")), start, step, lambda s: s["out"])
+    ones = F.transform(F.sequence(F.lit(1), F.col("_most")), lambda _: F.lit(1.0))
+    rows = sums.select(*cols(keys), "_n", F.posexplode(F.when(F.get("_g", 0) == 0, ones).otherwise(found)).alias("_k", "value"))
+    return rows.select(*cols(keys), (F.col("_k") + 1).alias("lag"), "value", (F.lit(1.96) / F.sqrt("_n")).alias("ci"))
+
+
 def decompose(df: DataFrame, column: str, m: int, *, order: str, keys=(), kind: str = "additive") -> DataFrame:
     """Classical decomposition: adds ``trend``, ``seasonal`` and ``remainder``; null where the average leaves the series.
 

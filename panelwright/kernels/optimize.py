@@ -123,51 +123,6 @@ def brent(f: Callable, a: float, b: float, *, tol: float = 1.5e-8, maxit: int =
     return Minimum(np.array([x]), fx, used, 1)
 
 
-def itp_root(f: Callable, a: float, b: float, *, tol: float = 1.5e-8, k1: float | None = None, k2: float = 2.0, n0: int = 1, maxit: int = 1000) -> Minimum:
-    """Root of a continuous function by interpolate-truncate-project steps: x, the value there, evaluations, 0 or 1 for no convergence.
-
-    The signs at both ends must differ, unless an end is a root already.
-    """
-
-    def at(x):
-        y = float(f(x))
-        if not math.isfinite(y):
-            raise ValueError("the function isn't finite on the bracket")
-        return y
-
-    lo, hi = min(a, b), max(a, b)
-    flo, fhi = at(lo), at(hi)
-    used = 2
-    for x, fx in ((lo, flo), (hi, fhi)):
-        if fx == 0:
-            return Minimum(np.array([x]), 0.0, used, 0)
-    if flo * fhi > 0:
-        raise ValueError("the signs at both ends are the same")
-    k1 = 0.2 / (hi - lo) if k1 is None else k1
-    steps = max(math.ceil(math.log2((hi - lo) / (2 * tol))), 0) + n0
-    sign = math.copysign(1.0, fhi)
-    for j in range(maxit):
-        if hi - lo <= 2 * tol:
-            break
-        mid = (lo + hi) / 2
-        falsi = (fhi * lo - flo * hi) / (fhi - flo)
-        side = math.copysign(1.0, mid - falsi)
-        shift = k1 * (hi - lo) ** k2
-        truncated = falsi + side * shift if shift <= abs(mid - falsi) else mid
-        radius = max(tol * 2.0 ** (steps - j) - (hi - lo) / 2, 0.0)
-        x = truncated if abs(truncated - mid) <= radius else mid - side * radius
-        fx = at(x)
-        used += 1
-        if fx == 0:
-            return Minimum(np.array([x]), 0.0, used, 0)
-        if fx * sign > 0:
-            hi, fhi = x, fx
-        else:
-            lo, flo = x, fx
-    x = (lo + hi) / 2
-    return Minimum(np.array([x]), at(x), used + 1, 0 if hi - lo <= 2 * tol else 1)
-
-
 def itp(f: Callable, a: float, b: float, *, tol: float = 1e-8, maxit: int = 200) -> Minimum:
     """Minimise a unimodal function by interpolate-truncate-project steps on its numerical slope."""
     h = 1e-6 * max(1.0, abs(a), abs(b))

@@ -214,49 +214,6 @@ def fitted_group(frame: pd.DataFrame, specs: list[dict], keys: list[str], fail_f
         return pd.DataFrame({c: row.get(c, [None]) for c in columns})
 
 
-def stats_group(frame: pd.DataFrame, keys: list[str], m: int, what: list[str]) -> pd.DataFrame:
-    """Statistics of one series: (keys, name, value)."""
-    from panelwright.kernels import common, stats
-
-    y = frame.sort_values("_ord", kind="stable")["_y"].to_numpy(dtype=float)
-    calls = {
-        "ndiffs": lambda: stats.ndiffs(y),
-        "nsdiffs": lambda: stats.nsdiffs(y, m),
-        "kpss": lambda: stats.kpss(y)["statistic"],
-        "adf": lambda: stats.adf(y)["statistic"],
-        "pp": lambda: stats.phillips_perron(y)["statistic"],
-        "ocsb": lambda: stats.ocsb(y, m)["statistic"],
-        "seasonal_strength": lambda: stats.seasonal_strength(y, m),
-        "box_cox_lambda": lambda: common.box_cox_lambda(y, m),
-    }
-    out = []
-    for w in what:
-        try:
-            out.append((w, float(calls[w]())))
-        except (ValueError, np.linalg.LinAlgError):
-            out.append((w, None))
-    return pd.DataFrame(_keys(frame, keys, len(out)) | {"name": [a for a, _ in out], "value": [b for _, b in out]})
-
-
-def mstl_group(frame: pd.DataFrame, keys: list[str], periods: list[int]) -> pd.DataFrame:
-    from panelwright.kernels import stats
-
-    frame = frame.sort_values("_ord", kind="stable")
-    r = stats.mstl(frame["_y"].to_numpy(dtype=float), periods)
-    out = {k: frame[k].to_numpy() for k in keys} | {"_i": np.arange(1, len(frame) + 1), "trend": r["trend"]}
-    for p in periods:
-        out[f"seasonal_{p}"] = r["seasonals"].get(p, np.zeros(len(frame)))
-    return pd.DataFrame(out | {"remainder": r["remainder"]})
-
-
-def pacf_group(frame: pd.DataFrame, keys: list[str], max_lag: int | None) -> pd.DataFrame:
-    from panelwright.kernels import stats
-
-    y = frame.sort_values("_ord", kind="stable")["_y"].to_numpy(dtype=float)
-    v = stats.pacf(y, max_lag)
-    return pd.DataFrame(_keys(frame, keys, len(v)) | {"lag": np.arange(1, len(v) + 1), "value": v})
-
-
 def interpolate_group(frame: pd.DataFrame, keys: list[str], m: int) -> pd.DataFrame:
     from panelwright.kernels import stats
 

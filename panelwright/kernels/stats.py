@@ -343,8 +343,8 @@ def _ocsb_regression(y: np.ndarray, m: int, lags: int, first: int) -> tuple[floa
 def ocsb(y, m: int, lags: int = 0, criterion: str | None = None) -> dict[str, float]:
     """Seasonal unit root of Osborn, Chui, Smith and Birchenhall, with the smoothed critical value at 5 %.
 
-    With a criterion (aic, bic or aicc) the number of lags, 1 to ``lags``, is the one of its least value; all are compared
-    on the same rows.
+    With a criterion (aic, bic or aicc) the regressions of 1 to ``lags`` lags are compared on the same rows; the test then has one
+    lag less than the best of them and all the rows that this allows.
     """
     y = np.asarray(y, dtype=float)
     if m < 2 or len(y) < 2 * m + 6 + lags:
@@ -363,8 +363,8 @@ def ocsb(y, m: int, lags: int = 0, criterion: str | None = None) -> dict[str, fl
             small = 2 * size * (size + 1) / (n - size - 1) if criterion.lower() == "aicc" and n > size + 1 else 0.0
             return base + 2 * size + small
 
-        chosen = min(range(1, lags + 1), key=value)
-    stat = _ocsb_regression(y, m, chosen, lags)[0]
+        chosen = min(range(1, lags + 1), key=value) - 1
+    stat = _ocsb_regression(y, m, chosen, chosen)[0]
     log = math.log(m)
     # The published response curve of the critical value.
     critical = -0.2937411 * math.exp(-0.2850853 * (log - 0.7656451) - 0.05983644 * (log - 0.7656451) ** 2) - 1.652202

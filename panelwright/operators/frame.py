@@ -170,3 +170,12 @@ def check_unique(names: Iterable[str], what: str) -> None:
 def group_window(keys: Iterable[str]) -> WindowSpec:
     keys = list(keys)
     return Window.partitionBy(*(cols(keys) if keys else [F.lit(1)]))
+
+
+def joined(a: DataFrame, b: DataFrame, keys) -> DataFrame:
+    """Tables of one row per series side by side; null keys meet."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))  # one row each
+    renamed = b.select(*[F.col(quote(k)).alias(f"__k{i}") for i, k in enumerate(keys)], *[quote(c) for c in b.columns if c not in keys])
+    on = [a[quote(k)].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return a.join(renamed, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])

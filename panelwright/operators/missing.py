@@ -98,17 +98,18 @@ def interpolate_linear(data, column: str, order: str | None = None, keys=()) ->
         return data.with_df(interpolate_linear(data.df, column, data.date, data.groups))
     df = ordered(data)
     check_known(df, [column, *keys])
-    w = group_window(keys).orderBy(F.col(quote(order)) if order else F.col(ORDER))
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    place = F.col(quote(order)) if order else F.col(ORDER)
+    w = group_window(keys).orderBy(place)
+    # what follows a row comes before it in the other direction: a frame to the end would be read anew for each row
+    before, after = (x.rowsBetween(Window.unboundedPreceding, Window.currentRow) for x in (w, group_window(keys).orderBy(place.desc())))
     y = F.when(present(df, column), F.col(quote(column)).cast("double"))
     base = df.withColumn("_y", y).withColumn("_i", F.row_number().over(w))
     at = F.when(F.col("_y").isNotNull(), F.col("_i"))
     base = (
         base.withColumn("_pv", F.last("_y", True).over(before))
         .withColumn("_pi", F.last(at, True).over(before))
-        .withColumn("_nv", F.first("_y", True).over(after))
-        .withColumn("_ni", F.first(at, True).over(after))
+        .withColumn("_nv", F.last("_y", True).over(after))
+        .withColumn("_ni", F.last(at, True).over(after))
     )
     between = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("_i") - F.col("_pi")) / (F.col("_ni") - F.col("_pi"))
     new = F.when(F.col("_y").isNotNull(), F.col("_y")).when(F.col("_pi").isNull(), F.col("_nv")).when(F.col("_ni").isNull(), F.col("_pv")).otherwise(between)

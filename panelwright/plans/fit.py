@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
+from panelwright.functions import local, unitroot
 from panelwright.functions import naive as nv
+from panelwright.functions import series as ts
 from panelwright.functions.levels import label, normalize_levels
-from panelwright.operators.frame import ArgumentError, check_known, cols, quote
+from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, quote
+from panelwright.operators.missing import interpolate_linear
 from panelwright.operators.panel import Panel
 from panelwright.plans.formula import auto_regressors, design, model_columns
 from panelwright.plans.specs import NATIVE, Spec
@@ -182,22 +185,51 @@ def _apply(p: Panel, target: str, name: str, schema: str, *args) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(workers.group(KERNELS, name, list(p.groups), *args), f"{_fields(p)}{schema}")
 
 
-def statistics(p: Panel, target: str, what: tuple[str, ...] = ("ndiffs", "nsdiffs", "kpss", "adf", "pp", "ocsb", "seasonal_strength", "box_cox_lambda")) -> DataFrame:
-    """(keys, name, value) of tests and measures of every series."""
+STATISTICS = ("ndiffs", "nsdiffs", "kpss", "adf", "pp", "ocsb", "seasonal_strength", "box_cox_lambda")
+
+
+def statistics(p: Panel, target: str, what: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """(keys, name, value) of tests and measures of every series; null where a series is too short for one."""
     m = p.m if isinstance(p.m, int) else 1
-    return _apply(p, target, "stats_group", "name string, value double", m, list(what))
+    rows, keys = _one(p, target), list(p.groups)
+    by = {"order": "_ord", "keys": keys}
+    calls = {
+        "ndiffs": lambda: unitroot.ndiffs(rows, "_y", **by),
+        "nsdiffs": lambda: unitroot.nsdiffs(rows, "_y", m, **by),
+        "kpss": lambda: unitroot.kpss(rows, "_y", **by).withColumnRenamed("statistic", "value"),
+        "adf": lambda: unitroot.adf(rows, "_y", **by).withColumnRenamed("statistic", "value"),
+        "pp": lambda: unitroot.phillips_perron(rows, "_y", **by).withColumnRenamed("statistic", "value"),
+        "ocsb": lambda: unitroot.ocsb(rows, "_y", m, **by).withColumnRenamed("statistic", "value"),
+        "seasonal_strength": lambda: local.seasonal_strength(rows, "_y", m, **by),
+        "box_cox_lambda": lambda: ts.box_cox_lambda(rows, "_y", m, **by),
+    }
+    unknown = [w for w in what if w not in calls]
+    if unknown or not what:
+        raise ArgumentError(f"unknown statistics {unknown}; there are {sorted(calls)}")
+    seasonal = {"ocsb", "seasonal_strength"}
+    out = None
+    for w in what:
+        if m < 2 and w in seasonal:
+            t = rows.select(*cols(keys)).distinct().select(*cols(keys), F.lit(None).cast("double").alias("value"))
+        else:
+            t = calls[w]()
+        t = t.select(*cols(keys), F.lit(w).alias("name"), F.col("value").cast("double").alias("value"))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 def mstl(p: Panel, target: str, periods: list[int] | None = None) -> DataFrame:
-    """keys, _i (row of the series), trend, a seasonal column per period, remainder."""
-    periods = list(periods or (p.m if isinstance(p.m, (list, tuple)) else [p.m]))
-    seasonal = "".join(f"seasonal_{q} double, " for q in periods)
-    return _apply(p, target, "mstl_group", f"_i int, trend double, {seasonal}remainder double", periods)
+    """keys, _i (row of the series), trend, a seasonal column per period, remainder.  Gaps are filled by straight lines first."""
+    periods = sorted(periods or (p.m if isinstance(p.m, (list, tuple)) else [p.m]))
+    rows = interpolate_linear(_one(p, target), "_y", "_ord", tuple(p.groups))
+    rows = rows.withColumn("_at", F.row_number().over(group_window(p.groups).orderBy("_ord"))).drop("_ord")
+    out = local.mstl(rows, "_y", periods, order="_at", keys=list(p.groups))
+    return out.select(*cols(p.groups), F.col("_at").alias("_i"), "trend", *[f"seasonal_{q}" for q in periods], "remainder")
 
 
 def pacf(p: Panel, target: str, max_lag: int | None = None) -> DataFrame:
     """(keys, lag, value)."""
-    return _apply(p, target, "pacf_group", "lag int, value double", max_lag)
+    return ts.pacf(_one(p, target), "_y", order="_ord", keys=list(p.groups), max_lag=max_lag).drop("ci")
 
 
 def interpolate(p: Panel, target: str) -> DataFrame:

@@ -67,21 +67,6 @@ def model_collection_accuracy(spark, d):
     return rounded(acc.accuracy(table, test, keys=["priority"], value="revenue", time="month", training=train.df), 3)
 
 
-@query()
-def series_statistics(spark, d):
-    return rounded(fits.statistics(flow_panel(spark, d), "q"), 4)
-
-
-@query()
-def series_mstl(spark, d):
-    return rounded(fits.mstl(flow_panel(spark, d), "q"), 3)
-
-
-@query()
-def series_pacf(spark, d):
-    return rounded(fits.pacf(flow_panel(spark, d), "q", 12), 6)
-
-
 @query()
 def model_bats_tbats(spark, d):
     p = flow_panel(spark, d)
