@@ -9,8 +9,6 @@ All windows of a series share its one shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +17,15 @@ from panelwright.operators.frame import ArgumentError, check_known, cols, group_
 from panelwright.plans.stored import cut
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once: a lambda's variable is bound before its body runs."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def tricube(distance: Column, width: Column) -> Column:
-    """Weight of a point; 1 next to the spot and 0 from the width on, each within a thousandth."""
-    u = distance / width
-    return F.when(u <= 0.001, 1.0).when(u <= 0.999, F.pow(1 - u * u * u, F.lit(3.0))).otherwise(0.0)
+#: Sums over the points of a frame, weighted by tricube weights of their distance from the spot: 1 next to the spot and 0 from the
+#: width on, each within a thousandth.  Text, since a tree of lambdas is built call by call.
+MOMENTS = """aggregate(transform(filter(p.points, r -> r.x > p.left and r.x <= p.left + p.q), r -> named_struct('d', double(r.x - p.spot), 'y', r.y,
+  'k', r.w * transform(array(abs(r.x - p.spot) / p.width), u -> case when u <= 0.001 then 1D when u <= 0.999 then pow(1 - u * u * u, 3D) else 0D end)[0])),
+  named_struct('w', 0D, 'x', 0D, 'y', 0D, 'xx', 0D, 'xy', 0D),
+  (s, v) -> named_struct('w', s.w + v.k, 'x', s.x + v.k * v.d, 'y', s.y + v.k * v.y, 'xx', s.xx + v.k * v.d * v.d, 'xy', s.xy + v.k * v.d * v.y), """
+MEAN = "s -> try_divide(s.y, s.w))"
+LINE = """s -> if(s.w > 0, transform(array(named_struct('at', s.x / s.w, 'mean', s.y / s.w, 'spread', s.xx / s.w - pow(s.x / s.w, 2D), 'both', s.xy / s.w)),
+  f -> f.mean - f.at * if(sqrt(greatest(f.spread, 0D)) > 0.001D * (p.n - 1), (f.both - f.at * f.mean) / f.spread, 0D))[0], null))"""
 
 
 def loess(df: DataFrame, y: str, name: str, *, part: list[Column], order: str, x: str, n: str, span: int | Column, degree: int, jump: int = 1, weight: str | None = None, first: Column | None = None, last: Column | None = None) -> DataFrame:
@@ -48,34 +46,12 @@ def loess(df: DataFrame, y: str, name: str, *, part: list[Column], order: str, x
     left = F.greatest(F.lit(0), F.least(spot - 1 - F.floor((q - 1) / 2), rows - q))
     width = F.greatest(spot - left - 1, left + q - spot) + F.when(spans > rows, F.floor((spans - rows) / 2)).otherwise(0)
 
-    def fit(p: Column) -> Column:
-        def add(s, r):
-            d = (r["x"] - p["spot"]).cast("double")
-            k = F.when((r["x"] > p["left"]) & (r["x"] <= p["left"] + p["q"]), tricube(F.abs(d), p["width"]) * r["w"]).otherwise(0.0)
-            return let(F.struct(k.alias("k"), d.alias("d")), lambda v: F.struct(
-                (s["w"] + v["k"]).alias("w"), (s["x"] + v["k"] * v["d"]).alias("x"), (s["y"] + v["k"] * r["y"]).alias("y"),
-                (s["xx"] + v["k"] * v["d"] * v["d"]).alias("xx"), (s["xy"] + v["k"] * v["d"] * r["y"]).alias("xy"),
-            ))
-
-        def line(s):
-            mean, at = s["y"] / s["w"], s["x"] / s["w"]
-            if not degree:
-                return F.when(s["w"] > 0, mean)
-            spread = s["xx"] / s["w"] - at * at
-            slope = F.when(F.sqrt(F.greatest(spread, F.lit(0.0))) > 0.001 * (p["n"] - 1), (s["xy"] / s["w"] - at * mean) / spread).otherwise(0.0)
-            return F.when(s["w"] > 0, mean - slope * at)
-
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "y", "xx", "xy")])
-        return F.aggregate(p["points"], zero, add, line)
-
     is_spot = (spot == last) | ((spot == first) if wide else ((spot - first) % jump == 0))
-    given = F.struct(
-        spot.alias("spot"), left.alias("left"), q.alias("q"), rows.alias("n"), F.col("__points").alias("points"),
-        F.when(width > 0, width).otherwise(1).cast("double").alias("width"),
-    )
-    df = df.withColumn("__points", reach)
+    df = df.withColumns({"__points": reach, "__left": left, "__q": q, "__width": F.when(width > 0, width).otherwise(1).cast("double"), "__spot": is_spot})
+    given = f"named_struct('spot', `{x}`, 'left', __left, 'q', __q, 'n', `{n}`, 'points', __points, 'width', __width)"
     # where no point has weight the value itself stands
-    df = df.withColumn("__fit", F.when(is_spot, F.coalesce(let(given, fit), F.col(y)))).drop("__points")
+    fit = F.expr(f"if(__spot, coalesce(element_at(transform(array({given}), p -> {MOMENTS}{LINE if degree else MEAN}), 1), `{y}`), null)")
+    df = df.withColumn("__fit", fit).drop("__points", "__left", "__q", "__width", "__spot")
     if wide or jump > 1:
         at = F.when(F.col("__fit").isNotNull(), F.struct(spot.alias("x"), F.col("__fit").alias("y")))
         before, behind = (w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*part)) if wide else (w.rowsBetween(-jump, 0), w.rowsBetween(0, jump))

@@ -12,11 +12,12 @@ series; a series that is too short has nulls.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.local import let, seasonal_strength
+from panelwright.functions.local import seasonal_strength
 from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, joined, quote
 
 
@@ -28,6 +29,11 @@ def interpolated(x: Column, xs: list, ys: list) -> Column:
     return out.otherwise(ys[-1])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a lambda's variable is bound before its body runs."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # --- regression by moments -------------------------------------------------------------------------------------
 
 
