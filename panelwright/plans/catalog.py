@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from panelwright.plans import models, statistics  # noqa: F401  register their queries
+    from panelwright.plans import models, smoothers, statistics  # noqa: F401  register their queries
 
     return QUERIES
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright import workers
-from panelwright.functions import local, unitroot
+from panelwright.functions import local, smoothing, unitroot
 from panelwright.functions import naive as nv
 from panelwright.functions import series as ts
 from panelwright.functions.levels import label, normalize_levels
@@ -21,7 +21,7 @@ from panelwright.operators.frame import ArgumentError, check_known, cols, group_
 from panelwright.operators.missing import interpolate_linear
 from panelwright.operators.panel import Panel
 from panelwright.plans.formula import auto_regressors, design, model_columns
-from panelwright.plans.specs import NATIVE, Spec
+from panelwright.plans.specs import NATIVE, SMOOTHED, Spec, smoothed
 
 KERNELS = "panelwright.kernels.registry"
 
@@ -104,7 +104,9 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
         tables.append(
             t.withColumn("method", F.col("model")).drop("model").withColumn("model_name", F.lit(s.name)).withColumn("status", F.lit("ok")).withColumn("error", F.lit(None).cast("string"))
         )
-    fitted = [s for s in specs if s.kernel not in NATIVE]
+    for s in filter(smoothed, specs):
+        tables.append(_smoothed(s, p, h, levels, labels, fail_fast))
+    fitted = [s for s in specs if s.kernel not in NATIVE and not smoothed(s)]
     if fitted:
         rows, plain, regressors = _shipped(p, fitted)
         bounds = "".join(f"lower_{b} double, upper_{b} double, " for b in labels)
@@ -127,6 +129,24 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     return out
 
 
+def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: bool) -> DataFrame:
+    """Exponential smoothing as a plan, a failed series a row with its message."""
+    options = {k: v for k, v in s.options.items() if k in SMOOTHED[s.kernel]}
+    damped = options.pop("damped", False)
+    kind = "ses" if s.kernel == "ses" else "damped" if damped else "holt"
+    fits = smoothing.smooth(p.df, s.target, order=p.date, keys=p.groups, kind=kind, **options)
+    name = {"ses": "Simple exponential smoothing", "holt": "Holt's method", "damped": "Damped Holt's method"}[kind]
+    said = F.lit("too few values, or an empty series")
+    if fail_fast:
+        fits = fits.withColumn("sse", F.coalesce("sse", F.raise_error(said).cast("double")))
+    good = smoothing.project(fits, h, levels, keys=p.groups, model=name).withColumnRenamed("model", "method").withColumn("status", F.lit("ok")).withColumn("error", F.lit(None).cast("string"))
+    bad = fits.where("sse IS NULL").select(
+        *cols(p.groups), F.lit(None).cast("int").alias("step"), *[F.lit(None).cast("double").alias(c) for c in ("mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")])],
+        F.lit(name).alias("method"), F.lit("error").alias("status"), said.alias("error"),
+    )
+    return good.unionByName(bad).withColumn("model_name", F.lit(s.name))
+
+
 def fit(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per series and spec: method, parameters, sigma2, criteria, status."""
     specs = [s for s in _resolved(specs, p) if s.kernel not in NATIVE]

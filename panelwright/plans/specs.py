@@ -113,6 +113,15 @@ meanf_spec = _simple("meanf")
 
 #: Models without an optimiser run as DataFrame expressions.
 NATIVE = ("naive", "snaive", "rw", "meanf")
+#: So do these, as searches over grids of weights, with these options.
+SMOOTHED = {"ses": {"alpha"}, "holt": {"damped", "alpha", "beta", "phi"}}
+
+
+def smoothed(s: Spec) -> bool:
+    """Whether the spec is one of exponential smoothing that needs no array function."""
+    given = {k for k, v in s.options.items() if (k, v) not in (("initial", "optimal"), ("lam", None), ("biasadj", False), ("exponential", False))}
+    whole = s.options.get("beta") is None or s.options.get("alpha") is not None
+    return s.kernel in SMOOTHED and given <= SMOOTHED[s.kernel] and whole and not s.regressors and not s.auto_regressors
 
 
 def model(*specs: Spec, names: list[str] | None = None) -> list[Spec]:
