@@ -138,6 +138,20 @@ def inv_box_cox(c: Column, lam: float, variance: Column | None = None) -> Column
     return out * (1 + 0.5 * variance * (1 - lam) / F.pow(out, F.lit(2.0 * lam)))
 
 
+def box_cox_by(c: Column, lam: Column) -> Column:
+    """``box_cox`` of values above 0, with a parameter for each row."""
+    return F.when(c > 0, F.when(lam == 0, F.log(c)).otherwise((F.pow(c, lam) - 1) / lam))
+
+
+def inv_box_cox_by(c: Column, lam: Column, variance: Column | None = None) -> Column:
+    """Inverse of ``box_cox_by``; null where no value above 0 leads to ``c``."""
+    base = c * lam + 1
+    out = F.when(lam == 0, F.exp(c)).when(base > 0, F.pow(base, 1 / lam))
+    if variance is None:
+        return out
+    return out * (1 + 0.5 * variance * (1 - lam) / F.pow(out, 2 * lam))
+
+
 def guerrero(df: DataFrame, column: str, m: int, *, order: str, keys=(), lower: float = -1.0, upper: float = 2.0) -> DataFrame:
     """(keys, value): the Box-Cox parameter with the least variation of the periods' scaled spread.
 

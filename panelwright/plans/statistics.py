@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import local, unitroot
+from panelwright.functions import naive as nv
 from panelwright.functions import series as ts
 from panelwright.plans import fit as fits
 from panelwright.plans import series_sql as sql
-from panelwright.plans.catalog import _MONTHS, monthly_flow, query, rounded
+from panelwright.plans.catalog import _MONTHS, _REVENUE, _Z, monthly_flow, query, revenue_panel, rounded, split_panel
 from panelwright.plans.models import flow_panel
 
 #: Period of the monthly series, and the windows that go with it.
@@ -154,6 +155,28 @@ def series_box_cox_loglik(spark, d):
     return ts.box_cox_lambda(monthly_flow(spark, d), "q", M, method="loglik", **BY)
 
 
+_AUTO = _REVENUE + """, t AS (SELECT priority AS flag, row_number() OVER (PARTITION BY priority ORDER BY i) AS i, count(*) OVER (PARTITION BY priority) AS n, revenue AS y FROM train WHERE revenue > 0), """
+_AUTO += _guerrero_sql(-0.9, 2.0) + """, x AS (SELECT priority, i, value AS lam, CASE WHEN revenue > 0 THEN CASE WHEN value = 0 THEN ln(revenue) ELSE (revenue ** value - 1) / value END END AS x FROM train JOIN guerrero ON flag = priority),
+r AS (SELECT *, x - lag(x) OVER (PARTITION BY priority ORDER BY i) AS e FROM x),
+s AS (SELECT priority, lam, sqrt(avg(e * e)) AS sigma, arg_max(x, i) FILTER (WHERE x IS NOT NULL) AS mean FROM r GROUP BY 1, 2)"""
+_BACK = "CASE WHEN lam = 0 THEN exp({0}) WHEN ({0}) * lam + 1 > 0 THEN (({0}) * lam + 1) ** (1 / lam) END"
+_AUTO_BOUNDS = ", ".join(f"round({_BACK.format(f'mean {sign} {z!r} * sqrt(step) * sigma')}, 1) AS {side}_{k}" for k, z in _Z.items() for sign, side in (("-", "lower"), ("+", "upper")))
+
+
+@query(_AUTO + f" SELECT priority, step, round({_BACK.format('mean')}, 1) AS mean, {_AUTO_BOUNDS}, 'naive' AS model FROM s, (SELECT unnest(range(1, 7))::INT AS step)")
+def forecast_naive_auto(spark, d):
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    return rounded(nv.naive(train, "revenue", 6, lam="auto"), 1)
+
+
+@query()
+def forecast_bootstrap(spark, d):
+    """Bounds from 2000 drawn paths of each model of the naive family; draws are hashes, so every run gives the same rows."""
+    train, _ = split_panel(revenue_panel(spark, d), 6)
+    tables = [run(train, "revenue", 6, bootstrap=True, npaths=2000) for run in (nv.naive, nv.snaive, nv.rw, nv.meanf)]
+    return rounded(nv.as_table(*tables), 2)
+
+
 _ALL = " UNION ALL ".join(
     f"SELECT flag, '{name}' AS name, round(CAST(value AS DOUBLE), 4) AS value FROM ({text})"
     for name, text in {
