@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from panelwright.operators.frame import ORDER, ArgumentError, Grouped, check_known, cols, group_window, like, ordered, quote, visible
 from panelwright.operators.panel import Panel
+from panelwright.operators.positions import carried
 
 DIRECTIONS = ("down", "up", "downup", "updown")
 
@@ -27,13 +28,17 @@ def _fill(source: DataFrame, keys, date, columns, direction) -> DataFrame:
     df = ordered(source)
     names = list(columns) or [c for c in visible(df) if c not in (*keys, date)]
     check_known(df, names)
-    w = group_window(keys).orderBy(*cols([date] if date else [ORDER]))
+    place = F.col(quote(date if date else ORDER))
+    if not keys:
+        return like(source, carried(df, names, place, direction=direction))
+    w = group_window(keys).orderBy(place)
     down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # what follows a row comes before it in the other direction: a frame to the end would be read anew for each row
+    up = group_window(keys).orderBy(place.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def filled(c: str) -> Column:
         last = F.last(F.col(quote(c)), ignorenulls=True).over(down)
-        first = F.first(F.col(quote(c)), ignorenulls=True).over(up)
+        first = F.last(F.col(quote(c)), ignorenulls=True).over(up)
         return {"down": last, "up": first, "downup": F.coalesce(last, first), "updown": F.coalesce(first, last)}[direction]
 
     return like(source, df.select(*[filled(c).alias(c) if c in names else F.col(quote(c)) for c in df.columns]))

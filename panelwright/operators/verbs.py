@@ -140,16 +140,23 @@ def _mutate(df: DataFrame, keys, bundles, named) -> DataFrame:
             raise ArgumentError(f"{name}: a column or a function that makes one is needed, not {type(made).__name__}")
         df = df.withColumn(name, made)
     for bundle in bundles:
-        out = {}
+        out, whole = {}, {}
         for c in _across_columns(bundle, df, ()):
             for fname, f in bundle.functions.items():
                 new = f"{c}_{fname}"
-                if new in df.columns or new in out:
+                if new in df.columns or new in out or new in whole:
                     raise ArgumentError(f"column {new!r} exists already")
                 f = AGGREGATES.get(f, f) if isinstance(f, str) else f
                 made = f(F.col(quote(c)))
-                out[new] = made.over(group_window(keys)) if _is_aggregate(df, made) else made
+                if not _is_aggregate(df, made):
+                    out[new] = made
+                elif keys:
+                    out[new] = made.over(group_window(keys))
+                else:
+                    whole[new] = made
         df = df.withColumns(out)
+        if whole:  # one row, so no window over the whole table is needed
+            df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in whole.items()])))
     return df
 
 
@@ -298,17 +305,31 @@ def _slice(data, n: int, back: bool):
     source = data.df if isinstance(data, Grouped) else data
     df = ordered(source)
     order = F.col(ORDER).desc() if back else F.col(ORDER).asc()
-    if n >= 0 and not keys:
+    # a negative n counts from the other end
+    far = order if n >= 0 else (F.col(ORDER).asc() if back else F.col(ORDER).desc())
+    if keys:
+        rn = F.row_number().over(Window.partitionBy(*cols(keys)).orderBy(far))
+        out = df.withColumn("_rn", rn).where(F.col("_rn") <= n if n >= 0 else F.col("_rn") > -n).drop("_rn")
+    elif n >= 0:
         out = df.orderBy(order).limit(n)
     else:
-        # a negative n counts from the other end
-        far = order if n >= 0 else (F.col(ORDER).asc() if back else F.col(ORDER).desc())
-        w = Window.partitionBy(*cols(keys)).orderBy(far) if keys else Window.orderBy(far)
-        rn = F.row_number().over(w)
-        out = df.withColumn("_rn", rn).where(F.col("_rn") <= n if n >= 0 else F.col("_rn") > -n).drop("_rn")
+        out = _without(df, -n, far, back)
     return Grouped(out, keys) if isinstance(data, Grouped) else out
 
 
+def _without(df: DataFrame, n: int, far: Column, back: bool) -> DataFrame:
+    """All but the first ``n`` rows in the order ``far``.  They are found by a top-n search, and what stays lies beyond the
+    last of them; only rows that tie with that one are counted."""
+    edge = df.select(F.col(ORDER).alias("_at")).orderBy(F.col("_at").asc() if back else F.col("_at").desc()).limit(n)
+    edge = edge.groupBy("_at").agg(F.count(F.lit(1)).alias("_out")).agg((F.max if back else F.min)(F.struct("_at", "_out")).alias("_edge"), F.sum("_out").alias("_all"))
+    rows = df.crossJoin(F.broadcast(edge))  # one row
+    at = F.col("_edge._at")
+    beyond = rows.where(F.col(ORDER) > at if back else F.col(ORDER) < at)
+    ties = rows.where(F.col(ORDER) == at).withColumn("_rn", F.row_number().over(Window.partitionBy(ORDER).orderBy(ORDER)))
+    ties = ties.where(F.col("_rn") > F.col("_edge._out"))
+    return beyond.select(*cols(df.columns)).unionByName(ties.select(*cols(df.columns)))
+
+
 def glimpse(data, n: int = 5) -> str:
     """Rows, columns, types and first values as text."""
     df = data.df if isinstance(data, (Grouped, Panel)) else data

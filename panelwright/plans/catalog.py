@@ -17,6 +17,7 @@ from panelwright.functions import series as ts
 from panelwright.operators import joins, missing, reshape, verbs
 from panelwright.operators.frame import ORDER, across, all_of, everything, ingest
 from panelwright.operators.panel import Panel, panel
+from panelwright.operators.positions import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,10 +103,36 @@ def query_strict(spark, d):
 FROM (SELECT *, s_nationkey FROM supplier)""")
 def arrange_place(spark, d):
     out = verbs.arrange(read(spark, d, "supplier", "s_suppkey"), ("s_nationkey", "desc"), "s_acctbal")
-    # the order column carries the place; ranking it needs the window that an order-insensitive result calls for
-    from pyspark.sql import Window
+    return numbered(out.select("s_suppkey", ORDER), F.col(ORDER), name="place").drop(ORDER)
 
-    return out.select("s_suppkey", F.row_number().over(Window.orderBy(ORDER)).cast("bigint").alias("place"))
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= (SELECT max(c_custkey) - 5 FROM customer)")
+def head_negative_table(spark, d):
+    return verbs.select(verbs.head(read(spark, d, "customer", "c_custkey"), -5), "c_custkey", "c_name").drop(ORDER)
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE r > 11")
+def tail_negative_table(spark, d):
+    return verbs.select(verbs.tail(read(spark, d, "customer", "c_custkey"), -11), "c_custkey", "c_name").drop(ORDER)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS number FROM orders")
+def row_numbers(spark, d):
+    return numbered(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice").desc(), F.col("o_orderkey")).drop("o_totalprice")
+
+
+@query("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal, round((SELECT avg(s_acctbal) FROM supplier), 4) AS s_acctbal_mean, round((SELECT max(s_acctbal) FROM supplier), 2) AS s_acctbal_top FROM supplier")
+def mutate_across_table(spark, d):
+    out = verbs.mutate(verbs.select(read(spark, d, "supplier"), "s_suppkey", "s_acctbal"), across(["s_acctbal"], mean=F.avg, top=F.max))
+    return out.select("s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal"), F.round("s_acctbal_mean", 4).alias("s_acctbal_mean"), F.round("s_acctbal_top", 2).alias("s_acctbal_top"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 50 = 3 THEN value END AS v FROM events)
+SELECT event_id, round(coalesce(first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)), 4) AS v FROM t""")
+def fill_missing_table(spark, d):
+    e = read(spark, d, "events", "event_id").withColumn("v", F.when(F.col("event_id") % 50 == 3, F.col("value")))
+    return rounded(missing.fill_missing(e, "v", direction="updown").select("event_id", "v"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -20,14 +20,27 @@ from panelwright.functions.levels import label, normalize_levels
 from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, quote
 from panelwright.operators.missing import interpolate_linear
 from panelwright.operators.panel import Panel
+from panelwright.plans.designs import prepare
 from panelwright.plans.formula import auto_regressors, design, model_columns
 from panelwright.plans.specs import NATIVE, SMOOTHED, Spec, smoothed
 
 KERNELS = "panelwright.kernels.registry"
 
 
-def _resolved(specs, p: Panel) -> list[Spec]:
-    specs = [specs] if isinstance(specs, Spec) else list(specs)
+def _designed(specs, p: Panel, newdata: DataFrame | None = None) -> tuple[list[Spec], Panel, DataFrame | None]:
+    """Specs whose designs have become columns of the panel, and of the new data by the same names."""
+    out = []
+    for s in [specs] if isinstance(specs, Spec) else specs:
+        if s.design is not None:
+            made = prepare(p.df, s.design)
+            p = p.with_df(made.add(p.df))
+            newdata = None if newdata is None else made.add(newdata)
+            s = replace(s, regressors=(*s.regressors, *[n for n in made.names if n != "(Intercept)"]), design=None)
+        out.append(s)
+    return out, p, newdata
+
+
+def _resolved(specs: list[Spec], p: Panel) -> list[Spec]:
     out = []
     for s in specs:
         check_known(p.df, [s.target, *s.regressors])
@@ -90,6 +103,7 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     """
     if h < 1:
         raise ArgumentError("h must be positive")
+    specs, p, newdata = _designed(specs, p, newdata)
     specs = _resolved(specs, p)
     levels = normalize_levels(level)
     labels = [label(x) for x in levels]
@@ -149,6 +163,7 @@ def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: b
 
 def fit(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per series and spec: method, parameters, sigma2, criteria, status."""
+    specs, p, _ = _designed(specs, p)
     specs = [s for s in _resolved(specs, p) if s.kernel not in NATIVE]
     if not specs:
         raise ArgumentError("naive, seasonal naive, drift and mean have nothing to fit; forecast them directly")
@@ -166,6 +181,7 @@ def fitted(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None =
     outside a model's fitted range are null; a failed fit is one row with its message.  ``naive.naive_fitted`` serves the
     naive family.
     """
+    specs, p, _ = _designed(specs, p)
     specs = [s for s in _resolved(specs, p) if s.kernel not in NATIVE]
     if not specs:
         raise ArgumentError("use naive_fitted for the naive family")

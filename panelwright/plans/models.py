@@ -8,6 +8,7 @@ from panelwright.functions import accuracy as acc
 from panelwright.operators.panel import panel
 from panelwright.operators.verbs import groupby, summarise
 from panelwright.plans import fit as fits
+from panelwright.plans import designs
 from panelwright.plans import specs as sp
 from panelwright.functions import series as ts
 from panelwright.plans.catalog import _MONTHS, monthly_flow, query, read, revenue_panel, rounded, split_panel
@@ -134,3 +135,25 @@ def series_duplicated(spark, d):
 def series_filter(spark, d):
     t = monthly_flow(spark, d)
     return rounded(t.select("flag", "month", ts.symmetric_filter("q", [0.25, 0.5, 0.25], ts.over("month", ("flag",))).alias("f")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_tax::DOUBLE AS l_tax, 1.0::DOUBLE AS "(Intercept)", l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount,
+round(l_quantity * l_discount, 5) AS "l_quantity:l_discount" FROM lineitem WHERE l_tax IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL""")
+def model_frame(spark, d):
+    return rounded(designs.model_frame(read(spark, d, "lineitem"), "l_tax ~ l_quantity * l_discount", ("l_orderkey", "l_linenumber")), 5)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * 3.0 + l_discount, 5) AS mix, l_discount::DOUBLE AS l_discount, round(l_extendedprice, 3) AS l_extendedprice FROM lineitem""")
+def model_matrix_independent(spark, d):
+    """One of three columns of which any two explain the third is left out: the one that adds least to those before it."""
+    t = read(spark, d, "lineitem").withColumn("mix", F.col("l_quantity") * 3.0 + F.col("l_discount"))
+    return rounded(designs.matrix(t, "mix + l_quantity + l_discount + l_extendedprice - 1", ("l_orderkey", "l_linenumber"), dropcollinear=True), 5).withColumn("l_extendedprice", F.round("l_extendedprice", 3))
+
+
+@query()
+def model_arima_design(spark, d):
+    """ARIMA with an interaction as regressor, forecast with the same design over new data."""
+    train, test = split_panel(revenue_panel(spark, d), 6)
+    add = lambda t: t.withColumn("a", F.month("month").cast("double")).withColumn("b", F.year("month") - 1990.0)
+    spec = sp.arima_spec("revenue = p(1) + d(0) + q(0) + P(0) + Q(0) + D(0)", xreg_formula="~ a * b")
+    return rounded(fits.forecast(spec, train.with_df(add(train.df)), 6, newdata=add(test)), 1)

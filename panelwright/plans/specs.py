@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from panelwright.operators.frame import ArgumentError
 from panelwright.plans.formula import ARIMA_TERMS, ETS_TERMS, ModelFormula, formula, order_range
@@ -19,9 +19,11 @@ class Spec:
     regressors: tuple[str, ...] = ()
     auto_regressors: bool = False
     m: int | list | None = None
+    #: A formula whose design is settled on the training data and gives further regressors.
+    design: str | None = None
 
     def named(self, name: str) -> Spec:
-        return Spec(self.kernel, self.target, name, self.options, self.regressors, self.auto_regressors, self.m)
+        return replace(self, name=name)
 
 
 def _formula(f) -> ModelFormula:
@@ -39,8 +41,9 @@ def _target(f: str | ModelFormula, kind: str) -> tuple[str, dict]:
     return m.target, dict(terms[0].kwargs)
 
 
-def arima_spec(f, *, m=None, name: str = "arima", **options) -> Spec:
-    """Orders by terms p, d, q, P, D, Q; a fixed order for all of p, q (P, Q) skips the search.  Other names are regressors."""
+def arima_spec(f, *, m=None, name: str = "arima", xreg_formula: str | None = None, **options) -> Spec:
+    """Orders by terms p, d, q, P, D, Q; a fixed order for all of p, q (P, Q) skips the search.  Other names are regressors, and so are
+    the columns of the design ``xreg_formula``, such as ``~ a * b``, but for its intercept."""
     mf = _formula(f)
     bad = [t.kind for t in mf.terms if t.kind not in ARIMA_TERMS | {"var"}]
     if bad:
@@ -67,7 +70,7 @@ def arima_spec(f, *, m=None, name: str = "arima", **options) -> Spec:
                 if orders[k][0] == orders[k][1]:
                     lows[i] = orders[k][0]
         opts |= {"max_p": highs[0], "max_q": highs[1], "max_P": highs[2], "max_Q": highs[3], "start": tuple(start), "min_orders": tuple(lows)}
-    return Spec("arima", mf.target, name, opts, tuple(mf.regressors), mf.of("auto") is not None, m)
+    return Spec("arima", mf.target, name, opts, tuple(mf.regressors), mf.of("auto") is not None, m, xreg_formula)
 
 
 def ets_spec(f, *, m=None, name: str = "ets", **options) -> Spec:
