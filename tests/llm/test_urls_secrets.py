@@ -2,6 +2,9 @@ import fnmatch
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from panelwright.llm import secrets as S
 from panelwright.llm import urls as U
@@ -140,3 +143,24 @@ def test_copies_of_one_text_with_most_rows(spark):
     right = rows.select("k").distinct().selectExpr("k", "length(k) AS n")
     got = join_hot(rows, right, "k", share=10)
     assert got.count() == 3000 and got.exceptAll(rows.join(right, "k").select(*got.columns)).isEmpty()
+
+
+def test_web_tokens_are_those_of_the_pattern():
+    pattern = re.compile(next(r[1] for r in S.RULES if r[0] == "jwt"))
+    rnd = random.Random(12)
+    parts = ["eyJ", "eyJabcdefgh", "eyJ12345678-_x", ".", ".", "..", "a" * 7, "b" * 16, " ", "é", "_", "-", "xeyJ"]
+    found = 0
+    for _ in range(60_000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        want = [m.span() for m in pattern.finditer(t)]
+        assert list(S.web_tokens(t)) == want, t
+        found += len(want)
+    assert found > 1000
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJabcdefghij.", "AKIA", "ghp_", "token ", "password=", "0a1b", "-----BEGIN ", "secret:  ", "api_key"])
+def test_long_texts_take_time_in_proportion(piece):
+    text = piece * (10_000_000 // len(piece))
+    began = time.process_time()
+    S.find(text)
+    assert time.process_time() - began < 30
