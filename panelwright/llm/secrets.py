@@ -63,7 +63,7 @@ def web_tokens(text: str) -> Iterator[tuple[int, int]]:
         if b is not None and not (start == b[1] + 1 and text[b[1]] == "."):
             a = b = None
         if a is not None and end - start >= 16 and b[1] - b[0] >= 11 and text.startswith("eyJ", b[0]):
-            first = text.find("eyJ", a[0], a[1] - 8)
+            first = text.find("eyJ", a[0], max(a[1] - 8, 0))
             if first >= 0:
                 yield first, end
                 a = b = None
