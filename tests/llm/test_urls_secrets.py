@@ -155,7 +155,7 @@ def test_web_tokens_are_those_of_the_pattern():
         want = [m.span() for m in pattern.finditer(t)]
         assert list(S.web_tokens(t)) == want, t
         found += len(want)
-    assert found > 1000
+    assert found > 50
 
 
 @pytest.mark.parametrize("piece", ["eyJ", "eyJabcdefghij.", "AKIA", "ghp_", "token ", "password=", "0a1b", "-----BEGIN ", "secret:  ", "api_key"])
