@@ -214,14 +214,6 @@ def fitted_group(frame: pd.DataFrame, specs: list[dict], keys: list[str], fail_f
         return pd.DataFrame({c: row.get(c, [None]) for c in columns})
 
 
-def interpolate_group(frame: pd.DataFrame, keys: list[str], m: int) -> pd.DataFrame:
-    from panelwright.kernels import stats
-
-    frame = frame.sort_values("_ord", kind="stable")
-    y = frame["_y"].to_numpy(dtype=float)
-    return pd.DataFrame({k: frame[k].to_numpy() for k in keys} | {"_i": np.arange(1, len(frame) + 1), "value": stats.interpolate_missing(y, m)})
-
-
 def ols_solve(n: int, mean: np.ndarray, cov: np.ndarray, intercept: bool):
     """Kept columns, estimates, standard errors and sigma2 from a group's count, means and covariances (the target is last)."""
     moments = n * (cov if intercept else cov + np.outer(mean, mean))

@@ -16,13 +16,14 @@ from panelwright import workers
 from panelwright.functions import local, smoothing, unitroot
 from panelwright.functions import naive as nv
 from panelwright.functions import series as ts
+from panelwright.functions.gaps import interpolate_seasonal
 from panelwright.functions.levels import label, normalize_levels
 from panelwright.operators.frame import ArgumentError, check_known, cols, group_window, quote
-from panelwright.operators.missing import interpolate_linear
 from panelwright.operators.panel import Panel
 from panelwright.plans.designs import prepare
 from panelwright.plans.formula import auto_regressors, design, model_columns
 from panelwright.plans.specs import NATIVE, SMOOTHED, Spec, smoothed
+from panelwright.plans.stored import cut
 
 KERNELS = "panelwright.kernels.registry"
 
@@ -255,9 +256,11 @@ def statistics(p: Panel, target: str, what: tuple[str, ...] = STATISTICS) -> Dat
 
 
 def mstl(p: Panel, target: str, periods: list[int] | None = None) -> DataFrame:
-    """keys, _i (row of the series), trend, a seasonal column per period, remainder.  Gaps are filled by straight lines first."""
+    """keys, _i (row of the series), trend, a seasonal column per period, remainder.  Gaps are filled through the shortest season first."""
     periods = sorted(periods or (p.m if isinstance(p.m, (list, tuple)) else [p.m]))
-    rows = interpolate_linear(_one(p, target), "_y", "_ord", tuple(p.groups))
+    rows = _one(p, target)
+    if not rows.where(F.col("_y").isNull() | F.isnan("_y")).isEmpty():
+        rows = cut(interpolate_seasonal(rows, "_y", periods[0], order="_ord", keys=list(p.groups)))
     rows = rows.withColumn("_at", F.row_number().over(group_window(p.groups).orderBy("_ord"))).drop("_ord")
     out = local.mstl(rows, "_y", periods, order="_at", keys=list(p.groups))
     return out.select(*cols(p.groups), F.col("_at").alias("_i"), "trend", *[f"seasonal_{q}" for q in periods], "remainder")
@@ -270,7 +273,10 @@ def pacf(p: Panel, target: str, max_lag: int | None = None) -> DataFrame:
 
 def interpolate(p: Panel, target: str) -> DataFrame:
     """keys, _i, value: gaps filled through the seasonally adjusted series."""
-    return _apply(p, target, "interpolate_group", "_i int, value double", p.m if isinstance(p.m, int) else 1)
+    m = p.m if isinstance(p.m, int) else 1
+    out = interpolate_seasonal(_one(p, target), "_y", m, order="_ord", keys=list(p.groups))
+    at = F.row_number().over(group_window(p.groups).orderBy("_ord"))
+    return out.select(*cols(p.groups), at.alias("_i"), F.col("_y").alias("value"))
 
 
 def kw_decomposition(p: Panel, target: str, **options) -> DataFrame:

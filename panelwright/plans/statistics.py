@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import local, unitroot
+from panelwright.functions.gaps import interpolate_seasonal
 from panelwright.functions import naive as nv
 from panelwright.functions import series as ts
 from panelwright.plans import fit as fits
@@ -195,3 +196,10 @@ _ALL = " UNION ALL ".join(
 @query(_ALL)
 def series_statistics(spark, d):
     return rounded(fits.statistics(flow_panel(spark, d), "q"), 4)
+
+
+@query()
+def series_interpolate(spark, d):
+    """Every seventh month is taken out and filled again through the seasons; tests hold this against the array function."""
+    t = monthly_flow(spark, d).withColumn("v", F.when(F.month("month") % 7 != 3, F.col("q")))
+    return rounded(interpolate_seasonal(t.select("flag", "month", "v"), "v", M, **BY), 3)

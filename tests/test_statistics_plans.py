@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import local, unitroot
+from panelwright.functions.gaps import interpolate_seasonal
 from panelwright.functions import series as ts
 from panelwright.kernels import common, stats
 from panelwright.operators.frame import ArgumentError
@@ -160,3 +161,24 @@ def test_statistics_of_a_panel(spark):
     gap = p.with_df(p.df.withColumn("y", F.when(F.month("month") != 5, F.col("y"))))
     parts = fits.mstl(gap, "y")
     assert parts.columns == ["g", "_i", "trend", "seasonal_12", "remainder"] and parts.where("trend IS NULL").count() == 0
+
+
+def test_gaps_filled_through_the_seasons(spark):
+    rng = np.random.default_rng(8)
+    series = {}
+    for g, n in enumerate((84, 61, 30, 24, 20)):
+        t = np.arange(n)
+        y = 50 + 0.3 * t + 12 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 1, n)
+        y[rng.choice(n, n // 6, replace=False)] = np.nan
+        y[0] = y[-1] = np.nan
+        series[g] = y
+    series[9] = 5 + np.arange(40.0)
+    df = spark.createDataFrame([(g, i, None if np.isnan(v) else float(v), "x") for g, y in series.items() for i, v in enumerate(y)] + [(7, 0, None, "x")], "g int, i int, y double, seasonal string").repartition(3)
+    for m in (12, 1):
+        got = {}
+        for r in interpolate_seasonal(df, "y", m, **BY).orderBy("i").collect():
+            got.setdefault(r.g, []).append(r.y)
+            assert r.seasonal == "x"
+        assert got.pop(7) == [None]
+        for g, y in series.items():
+            assert np.allclose(np.array(got[g], dtype=float), stats.interpolate_missing(y, m), atol=1e-5), (g, m)
