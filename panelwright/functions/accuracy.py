@@ -107,3 +107,22 @@ def accuracy(
         on = on & F.col(quote(k)).eqNullSafe(F.col(f"_k{i}"))
     joined = out.join(scale, on, "left") if keys else out.crossJoin(F.broadcast(scale))
     return joined.withColumn("MASE", F.when(F.col("_scale") > 0, F.col("MAE") / F.col("_scale"))).select(*visible(out), "MASE")
+
+
+def evaluation_metrics(df: DataFrame, actual: str, predicted: str, *, order: str, keys=()) -> DataFrame:
+    """(keys, mse, mae, mar, msr) of two columns of every series.
+
+    ``mar`` and ``msr`` add up the absolute and squared distances of the prediction from the running mean of the actual values,
+    which over the first 30 percent of the rows is the mean of these rows.  Any missing value makes them null.
+    """
+    check_known(df, [actual, predicted, order, *keys])
+    whole = group_window(keys)
+    a, p = (F.col(quote(c)).cast("double") for c in (actual, predicted))
+    w = whole.orderBy(F.col(quote(order)))
+    rows = df.select(*cols(keys), a.alias("_a"), p.alias("_p"), F.row_number().over(w).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n"), F.avg(a).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_mean"))
+    first = F.ceil(F.col("_n") * 0.3)
+    rows = rows.withColumn("_first", F.max(F.when(F.col("_i") == first, F.col("_mean"))).over(whole))
+    rows = rows.withColumn("_e", F.col("_a") - F.col("_p")).withColumn("_r", F.col("_p") - F.when(F.col("_i") <= first, F.col("_first")).otherwise(F.col("_mean")))
+    ok = F.count("_e") == F.count(F.lit(1))
+    made = {"mse": F.avg(F.col("_e") * F.col("_e")), "mae": F.avg(F.abs("_e")), "mar": F.sum(F.abs("_r")), "msr": F.sum(F.col("_r") * F.col("_r"))}
+    return rows.groupBy(*cols(keys)).agg(*[F.when(ok, c).alias(n) for n, c in made.items()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def diff(df: DataFrame, column: str, *, order: str, keys=(), lag: int = 1, times
     return df
 
 
+def diff_columns(df: DataFrame, columns: list[str], *, order: str, keys=(), lag: int = 1, times: int = 1) -> DataFrame:
+    """``diff`` of several columns at once, as ``<column>_diff``: all in one pass over the series for each of ``times``."""
+    if lag < 1 or times < 1 or not columns:
+        raise ArgumentError("lag and times must be positive, and there must be columns")
+    check_known(df, [*columns, order, *keys])
+    w = over(order, keys)
+    df = df.withColumns({f"{c}_diff": F.col(quote(c)).cast("double") for c in columns})
+    for _ in range(times):
+        df = df.withColumns({n: F.col(quote(n)) - F.lag(quote(n), lag).over(w) for n in (f"{c}_diff" for c in columns)})
+    return df
+
+
 def symmetric_weights(m: int) -> list[float]:
     """Weights of the centred moving average: an even period gets half weights at both ends."""
     return [1 / m] * m if m % 2 else [0.5 / m] + [1 / m] * (m - 1) + [0.5 / m]
@@ -108,6 +121,12 @@ def row_sums(*columns: str) -> Column:
     return sum((F.col(quote(c)) for c in columns[1:]), F.col(quote(columns[0])))
 
 
+def col_sums(df: DataFrame, *columns: str) -> DataFrame:
+    """One row with the sum of each column, missing values left out."""
+    check_known(df, columns)
+    return df.agg(*[F.sum(F.when(~F.isnan(c), c)).alias(n) for n, c in ((n, F.col(quote(n)).cast("double")) for n in columns)])
+
+
 def nearest_odd(value: float) -> int:
     """The odd number next to ``value``."""
     r = round(value)
@@ -231,6 +250,14 @@ def box_cox_lambda(df: DataFrame, column: str, m: int = 1, *, order: str, keys=(
     return methods[method](df, column, m, order=order, keys=keys, lower=lower, upper=upper)
 
 
+def variance_of_bounds(level: float, lower: Column, upper: Column) -> Column:
+    """The variance that ``inv_box_cox`` takes, from the bounds of an interval of ``level`` percent (or a share of 1)."""
+    share = level / 100 if level > 1 else level
+    if not 0 < share < 1:
+        raise ArgumentError("level lies between 0 and 100")
+    return F.pow((upper - lower) / (2 * NormalDist().inv_cdf((1 + share) / 2)), F.lit(2.0))
+
+
 def fourier(df: DataFrame, m: float, k: int, *, order: str, keys=(), start: int = 0) -> DataFrame:
     """Columns S1, C1, .. Sk, Ck of the row's place in its series; the sine at the Nyquist frequency is left out."""
     if not 1 <= k <= m / 2:

@@ -382,6 +382,32 @@ def series_diff(spark, d):
     return rounded(ts.diff(monthly_flow(spark, d), "q", order="month", keys=("flag",), times=2, name="d2").select("flag", "month", "d2"))
 
 
+@query("""WITH t AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+SELECT p, month, round(n - lag(n, 12) OVER w, 3) AS n_diff, round(v - lag(v, 12) OVER w, 3) AS v_diff FROM t WINDOW w AS (PARTITION BY p ORDER BY month)""")
+def series_diff_columns(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), "o_totalprice")
+    t = verbs.summarise(verbs.groupby(o, "p", "month"), n=("o_totalprice", "length"), v=("o_totalprice", "sum"))
+    return rounded(ts.diff_columns(t, ["n", "v"], order="month", keys=("p",), lag=12).select("p", "month", "n_diff", "v_diff"), 3)
+
+
+@query("SELECT round(sum(l_quantity), 2) AS l_quantity, round(sum(l_discount), 2) AS l_discount FROM lineitem")
+def column_sums(spark, d):
+    return rounded(ts.col_sums(read(spark, d, "lineitem"), "l_quantity", "l_discount"), 2)
+
+
+@query("""WITH t AS (SELECT user_id, event_id, value AS a, lag(value, 1, value) OVER (PARTITION BY user_id ORDER BY event_id) AS p,
+row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+u AS (SELECT *, max(CASE WHEN i = ceil(0.3 * n) THEN m END) OVER (PARTITION BY user_id) AS f FROM t),
+r AS (SELECT user_id, a - p AS e, p - CASE WHEN i <= ceil(0.3 * n) THEN f ELSE m END AS r FROM u)
+SELECT user_id, round(avg(e * e), 3) AS mse, round(avg(abs(e)), 4) AS mae, round(sum(abs(r)), 3) AS mar, round(sum(r * r), 2) AS msr FROM r GROUP BY 1""")
+def metrics_of_two_columns(spark, d):
+    from pyspark.sql import Window
+
+    e = read(spark, d, "events").withColumn("p", F.lag("value", 1).over(Window.partitionBy("user_id").orderBy("event_id")))
+    out = acc.evaluation_metrics(e.withColumn("p", F.coalesce("p", "value")), "value", "p", order="event_id", keys=("user_id",))
+    return out.select("user_id", F.round("mse", 3).alias("mse"), F.round("mae", 4).alias("mae"), F.round("mar", 3).alias("mar"), F.round("msr", 2).alias("msr"))
+
+
 @query(_MONTHS + """SELECT flag, month, round((CASE WHEN count(q) OVER a = 12 THEN sum(q) OVER a END + CASE WHEN count(q) OVER b = 12 THEN sum(q) OVER b END) / 24, 4) AS ma FROM flow
 WINDOW a AS (PARTITION BY flag ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING), b AS (PARTITION BY flag ORDER BY month ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)""")
 def series_ma(spark, d):

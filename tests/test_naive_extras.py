@@ -71,3 +71,21 @@ def test_bootstrap_bounds(spark):
     assert season[1, 13]["upper_80"] - season[1, 13]["lower_80"] > season[1, 1]["upper_80"] - season[1, 1]["lower_80"]
     logs = {(r.g, r.step): r for r in nv.rw(p, "y", 1, [80], lam=0, bootstrap=True, npaths=500).collect()}
     assert 0 < logs[1, 1]["lower_80"] < logs[1, 1]["mean"] < logs[1, 1]["upper_80"]
+
+
+def test_metrics_and_bounds(spark):
+    from panelwright.functions import accuracy as acc
+
+    a, p = RNG.normal(5, 1, 11), RNG.normal(5, 1, 11)
+    rows = [(1, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, p, strict=True))] + [(2, 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, p double")
+    got = {r.g: r for r in acc.evaluation_metrics(df, "a", "p", order="i", keys=("g",)).collect()}
+    mean = np.cumsum(a) / np.arange(1, 12)
+    mean[:4] = mean[3]
+    assert tuple(got[1])[1:] == pytest.approx((np.mean((a - p) ** 2), np.mean(np.abs(a - p)), np.abs(p - mean).sum(), ((p - mean) ** 2).sum()))
+    assert got[2].mse is None
+    v = df.select(ts.variance_of_bounds(95, F.lit(1.0), F.lit(1 + 2 * 1.959963984540054 * 3)).alias("v")).first().v
+    assert v == pytest.approx(9.0)
+    assert ts.col_sums(df, "a", "p").first().p == pytest.approx(p.sum() + 1)
+    d = ts.diff_columns(df.where("g = 1"), ["a", "p"], order="i", lag=2, times=2).orderBy("i").collect()
+    assert [r.p_diff for r in d][4:] == pytest.approx([p[i] - 2 * p[i - 2] + p[i - 4] for i in range(4, 11)]) and d[3].a_diff is None
