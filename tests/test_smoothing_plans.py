@@ -49,12 +49,18 @@ def test_fits_are_the_recursion_at_its_optimum(table, kind, monkeypatch):
                 assert recursion(y, r.alpha, r.beta, r.phi, r.level0, r.trend0 + d)[0] >= r.sse * (1 - 1e-9)
 
 
+@pytest.fixture
+def short_search(monkeypatch):
+    monkeypatch.setattr(sm, "ROUNDS", 1)
+    monkeypatch.setattr(sm, "FIRST", {"alpha": (0.1, 0.5, 0.9), "beta": (0.1, 0.5), "phi": (0.9,)})
+
+
 def dated(spark, rows):
     df = spark.createDataFrame(rows, "g int, i int, y double").select("g", F.expr("date_add(date'2024-01-01', i)").alias("day"), "y")
     return panel(df, groups="g", date="day", frequency="day", target="y")
 
 
-def test_forecasts_and_their_bounds(spark):
+def test_forecasts_and_their_bounds(spark, short_search):
     p = dated(spark, [(1, i, float(v)) for i, v in enumerate(SERIES[2])])
     for kind, given in (("holt", {"alpha": 0.4, "beta": 0.1}), ("damped", {"alpha": 0.4, "beta": 0.1, "phi": 0.9})):
         got = sm.holt(p, "y", 4, [80], damped=kind == "damped", **given).orderBy("step").collect()
@@ -71,7 +77,7 @@ def test_forecasts_and_their_bounds(spark):
         sm.holt(p, "y", 1, beta=0.1)
 
 
-def test_specs_run_as_plans_and_failures_are_rows(spark):
+def test_specs_run_as_plans_and_failures_are_rows(spark, short_search):
     p = dated(spark, [(1, i, float(v)) for i, v in enumerate(SERIES[1])] + [(2, 0, None)])
     table = fits.forecast(sp.model(sp.ses_spec("y"), sp.holt_spec("y = holt(damped=True)")), p, 2)
     assert "Pandas" not in table._jdf.queryExecution().executedPlan().toString()
@@ -80,14 +86,14 @@ def test_specs_run_as_plans_and_failures_are_rows(spark):
     assert {r.method for r in rows} == {"Simple exponential smoothing", "Damped Holt's method"}
 
 
-def test_gaps_leave_the_longest_run(spark):
+def test_gaps_leave_the_longest_run(spark, short_search):
     y = [1.0, None, 5.0, 6.0, 7.0, 8.0, None, 3.0, None]
     r = sm.smooth(dated(spark, [(1, i, v) for i, v in enumerate(y)]).df, "y", order="day", keys=("g",), kind="holt").first()
     assert (r.n, r.ahead) == (4, 3) and r.sse == pytest.approx(0, abs=1e-12)
     assert sm.project(sm.smooth(dated(spark, [(1, i, v) for i, v in enumerate(y)]).df, "y", order="day", keys=("g",), kind="holt"), 1, [], keys=("g",)).first()["mean"] == pytest.approx(12.0)
 
 
-def test_stored_fits_go_on_with_new_rows(spark, table, monkeypatch):
+def test_stored_fits_go_on_with_new_rows(spark, table, monkeypatch, short_search):
     monkeypatch.setattr(sm, "BLOCK", 7)
     for kind in ("ses", "damped"):
         old = sm.smooth(table.where("i < 25 or g = 8"), "y", kind=kind, **BY)
