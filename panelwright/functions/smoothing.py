@@ -68,6 +68,12 @@ def _blocks(rows: DataFrame, keys, value: Column) -> DataFrame:
     return at.agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_v"))), lambda r: r["_v"]).alias("_ys"))
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Deal small rows out to ``spark.sql.shuffle.partitions`` tasks: adaptive execution leaves an explicit number alone, and would
+    join them, with the work that their grids make, into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols(by))
+
+
 def smooth(df: DataFrame, column: str, *, order: str, keys=(), kind: str = "ses", alpha: float | None = None, beta: float | None = None, phi: float | None = None) -> DataFrame:
     """(keys, alpha, beta, phi, level0, trend0, level, trend, sse, n, ahead): the best weights and states of every series.
 
@@ -100,6 +106,8 @@ def smooth(df: DataFrame, column: str, *, order: str, keys=(), kind: str = "ses"
     for k, v in fixed.items():
         points = [min(max(x, bounds[k][0]), bounds[k][1]) for x in FIRST[k]] if v is None else [float(v)]
         grid = grid.withColumn(k, F.explode(F.array(*map(F.lit, points))))
+        if k == "alpha":  # series x weights are dealt out, not series
+            grid = _spread(grid, *keys, "_b", "alpha")
 
     def solve(folded: DataFrame, keys) -> DataFrame:
         """(keys, _s): errors, weights and states of every point."""
@@ -124,6 +132,8 @@ def smooth(df: DataFrame, column: str, *, order: str, keys=(), kind: str = "ses"
             lo, hi = bounds[k]
             at = [F.least(F.greatest(F.col(k) + reach[k] * (2 * i / (LATER[k] - 1) - 1), F.lit(lo)), F.lit(hi)) for i in range(LATER[k])]
             finer = finer.withColumn(k, F.explode(F.array_distinct(F.array(*at))))
+            if k == free[0]:
+                finer = _spread(finer, *keys, "_c", "_b", k)
         whole = (*keys, "_c")
         leaders = solve(_folded(finer, whole), whole).groupBy(*cols(whole)).agg(F.min("_s").alias("_s"))
         reach = {k: v / 2 for k, v in reach.items()}

@@ -120,7 +120,7 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
             t.withColumn("method", F.col("model")).drop("model").withColumn("model_name", F.lit(s.name)).withColumn("status", F.lit("ok")).withColumn("error", F.lit(None).cast("string"))
         )
     for s in filter(smoothed, specs):
-        tables.append(_smoothed(s, p, h, levels, labels, fail_fast))
+        tables.append(_smoothed(s, p, h, levels, labels, fail_fast, partitions))
     fitted = [s for s in specs if s.kernel not in NATIVE and not smoothed(s)]
     if fitted:
         rows, plain, regressors = _shipped(p, fitted)
@@ -144,7 +144,7 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     return out
 
 
-def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: bool) -> DataFrame:
+def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: bool, partitions: int | None) -> DataFrame:
     """Exponential smoothing as a plan, a failed series a row with its message."""
     options = {k: v for k, v in s.options.items() if k in SMOOTHED[s.kernel]}
     damped = options.pop("damped", False)
@@ -159,7 +159,8 @@ def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: b
         *cols(p.groups), F.lit(None).cast("int").alias("step"), *[F.lit(None).cast("double").alias(c) for c in ("mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")])],
         F.lit(name).alias("method"), F.lit("error").alias("status"), said.alias("error"),
     )
-    return good.unionByName(bad).withColumn("model_name", F.lit(s.name))
+    out = good.unionByName(bad).withColumn("model_name", F.lit(s.name))
+    return _spread(out, cols(p.groups), partitions) if p.groups else out
 
 
 def fit(specs, p: Panel, *, fail_fast: bool = False, partitions: int | None = None) -> DataFrame:
