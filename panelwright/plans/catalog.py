@@ -579,13 +579,13 @@ def revenue_forecast_accuracy(spark, d):
     return out.select("model", "priority", *money, *[F.round(c, 4).alias(c) for c in ("MPE", "MAPE", "ACF1", "MASE")])
 
 
-@query("""SELECT CAST(t AS INT) AS t, round(1000 * (1 - exp(-(0.03 + 0.38) * t)) / (1 + (0.38 / 0.03) * exp(-(0.03 + 0.38) * t)), 5) AS bass,
+@query("""SELECT p_partkey, CAST(t AS INT) AS t, round(1000 * (1 - exp(-(0.03 + 0.38) * t)) / (1 + (0.38 / 0.03) * exp(-(0.03 + 0.38) * t)), 5) AS bass,
 round(1000 * exp(-4 * exp(-0.4 * t)), 5) AS gompertz, round(1000 * (1 - exp(-0.3 * t)) * pow(1 + 2 * exp(-0.3 * t), -1.5), 5) AS gsgompertz,
-round(1000 * (1 - exp(-pow(t / 6.0, 1.8))), 5) AS weibull FROM range(1, 31) r(t)""")
+round(1000 * (1 - exp(-pow(t / 6.0, 1.8))), 5) AS weibull FROM (SELECT p_partkey, p_size AS t FROM part)""")
 def diffusion_curves(spark, d):
-    t = spark.range(1, 31).select(F.col("id").cast("int").alias("t"))
+    t = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("t"))
     x = F.col("t").cast("double")
     return rounded(
-        t.select("t", ts.bass(x, 1000, 0.03, 0.38).alias("bass"), ts.gompertz(x, 1000, 4, 0.4).alias("gompertz"),
+        t.select("p_partkey", "t", ts.bass(x, 1000, 0.03, 0.38).alias("bass"), ts.gompertz(x, 1000, 4, 0.4).alias("gompertz"),
                  ts.gsgompertz(x, 1000, 2, 0.3, 1.5).alias("gsgompertz"), ts.weibull(x, 1000, 6, 1.8).alias("weibull")), 5,
     )
