@@ -194,6 +194,49 @@ def _ma_covariance(R: np.ndarray) -> np.ndarray:
     return P
 
 
+def project(z, ar, ma, poly, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the next ``h`` values of a series with gaps, and their variances in units of the innovations' variance.
+
+    ``poly`` is the polynomial of the differences.  The state is that of the ARMA part and the last values of the series; the
+    first run of values that is long enough to difference starts it, and without one a vague prior does.
+    """
+    r, k = max(len(ar) - 1, len(ma), 1), len(poly) - 1
+    phi, R = np.zeros(r), np.zeros(r + k)
+    phi[: len(ar) - 1] = -ar[1:]
+    R[: len(ma)] = ma
+    T = np.zeros((r + k, r + k))
+    T[:r, 0] = phi
+    T[np.arange(r - 1), np.arange(1, r)] = 1
+    seen = np.r_[1.0, np.zeros(r - 1), -np.asarray(poly[1:], dtype=float)]
+    if k:
+        T[r] = seen
+        T[np.arange(r + 1, r + k), np.arange(r, r + k - 1)] = 1
+    V = np.outer(R, R)
+    P = np.zeros_like(T)
+    P[:r, :r] = _stationary_covariance(T[:r, :r], V[:r, :r])
+    state = np.zeros(r + k)
+    known = np.r_[0, np.cumsum(np.isfinite(z))]
+    starts = np.flatnonzero(known[k:] - known[: len(known) - k] == k)
+    if len(starts):
+        begin = int(starts[0]) + k
+        state[r:] = z[begin - k : begin][::-1]
+    else:
+        begin, values = 0, z[np.isfinite(z)]
+        state[r:] = values[0]
+        P[range(r, r + k), range(r, r + k)] = 1e6 * max(1.0, float(np.var(values)))
+    for x in z[begin:].tolist():
+        if x == x:
+            gain = P @ seen / (seen @ P @ seen)
+            state = state + gain * (x - seen @ state)
+            P = P - np.outer(gain, seen @ P)
+        state, P = T @ state, T @ P @ T.T + V
+    mean, variance = np.empty(h), np.empty(h)
+    for i in range(h):
+        mean[i], variance[i] = seen @ state, seen @ P @ seen
+        state, P = T @ state, T @ P @ T.T + V
+    return mean, variance
+
+
 def arima(y, m: int = 1, order=(0, 0, 0), seasonal=(0, 0, 0), *, xreg=None, include_mean: bool = True, include_drift: bool = False, method: str = "css-ml", lam=None, biasadj: bool = False, names=None) -> Fit:
     """Fit given orders.  ``xreg`` is a matrix of regressors; a drift is a regressor 1..n."""
     y = clean(y)
@@ -328,22 +371,23 @@ def arima(y, m: int = 1, order=(0, 0, 0), seasonal=(0, 0, 0), *, xreg=None, incl
             newx = np.asarray(newx, dtype=float).reshape(h, -1)
             future += list(newx.T)
         shift = np.column_stack(future) @ b if future else np.zeros(h)
-        past, err = np.where(np.isfinite(z), z, np.nan).tolist(), full.tolist()
-        if any(v != v for v in past):
-            from panelwright.kernels.stats import fill_linear
-
-            past = fill_linear(np.array(past)).tolist()
-        for _ in range(h):
-            v = -sum(whole[j] * past[-j] for j in range(1, min(len(whole) - 1, len(past)) + 1))
-            v += sum(ma[j] * err[-j] for j in range(1, min(len(ma) - 1, len(err)) + 1))
-            past.append(v)
-            err.append(0.0)
-        mean = np.array(past[n:]) + shift
-        psi = np.zeros(h)
-        psi[0] = 1
-        for j in range(1, h):
-            psi[j] = (ma[j] if j < len(ma) else 0.0) - sum(whole[i] * psi[j - i] for i in range(1, min(j, len(whole) - 1) + 1))
-        se = np.sqrt(sigma2 * np.cumsum(psi**2))
+        if np.isfinite(z).all():
+            past, err = z.tolist(), full.tolist()
+            for _ in range(h):
+                v = -sum(whole[j] * past[-j] for j in range(1, min(len(whole) - 1, len(past)) + 1))
+                v += sum(ma[j] * err[-j] for j in range(1, min(len(ma) - 1, len(err)) + 1))
+                past.append(v)
+                err.append(0.0)
+            ahead = np.array(past[n:])
+            psi = np.zeros(h)
+            psi[0] = 1
+            for j in range(1, h):
+                psi[j] = (ma[j] if j < len(ma) else 0.0) - sum(whole[i] * psi[j - i] for i in range(1, min(j, len(whole) - 1) + 1))
+            spread = np.cumsum(psi**2)
+        else:
+            ahead, spread = project(np.where(np.isfinite(z), z, np.nan), ar, ma, _difference_poly(d, D, m), h)
+        mean = ahead + shift
+        se = np.sqrt(sigma2 * spread)
         fc = normal_bands(mean, se, levels)
         if lam is None:
             return fc

@@ -8,9 +8,10 @@ from panelwright.functions import local, unitroot
 from panelwright.functions.gaps import interpolate_seasonal
 from panelwright.functions import naive as nv
 from panelwright.functions import series as ts
+from panelwright.operators.grouped import table_function
 from panelwright.plans import fit as fits
 from panelwright.plans import series_sql as sql
-from panelwright.plans.catalog import _MONTHS, _REVENUE, _Z, monthly_flow, query, revenue_panel, rounded, split_panel
+from panelwright.plans.catalog import _MONTHS, _REVENUE, _Z, monthly_flow, query, read, revenue_panel, rounded, split_panel
 from panelwright.plans.models import flow_panel
 
 #: Period of the monthly series, and the windows that go with it.
@@ -203,3 +204,19 @@ def series_interpolate(spark, d):
     """Every seventh month is taken out and filled again through the seasons; tests hold this against the array function."""
     t = monthly_flow(spark, d).withColumn("v", F.when(F.month("month") % 7 != 3, F.col("q")))
     return rounded(interpolate_seasonal(t.select("flag", "month", "v"), "v", M, **BY), 3)
+
+
+#: Price, in cents, that the cumulative sum takes as usual.
+_USUAL = 15_000_000
+
+
+@query(f"""WITH t AS (SELECT o_orderpriority, o_orderdate, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) - {_USUAL} AS x FROM orders),
+s AS (SELECT *, CAST(sum(x) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM t),
+h AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)) AS high FROM s),
+c AS (SELECT *, count(*) FILTER (high = 0) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS g FROM h)
+SELECT o_orderpriority, o_orderkey AS id, high, sum(CASE WHEN high = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY o_orderpriority, g ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS since FROM c""")
+def table_function_cusum(spark, d):
+    """Upper cumulative sums of order prices per priority: a state carried over ordered groups of a fifth of all rows each."""
+    x = (F.round(F.col("o_totalprice") * 100) - _USUAL).cast("long")
+    rows = read(spark, d, "orders").select("o_orderpriority", "o_orderdate", F.col("o_orderkey").alias("id"), x.alias("x"))
+    return table_function(rows, "panelwright.functions.streams:cusum", "id long, high long, since long", by=["o_orderpriority"], order=["o_orderdate", "id"])
