@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.frame import ORDER, ArgumentError, check_known, check_unique, cols, like, ordered, quote, visible
+from panelwright.operators.frame import ORDER, ArgumentError, check_known, check_unique, cols, group_window, like, ordered, quote, visible
 from panelwright.operators.panel import Panel
 
 
@@ -75,18 +75,23 @@ def pivot_wider(data, *, names_from: str, values_from: str, id_cols=None, fill=N
     check_unique(texts, "new column names")
     if set(texts) & set(ids):
         raise ArgumentError(f"new columns {sorted(set(texts) & set(ids))} are ids")
-    here = [name == F.lit(x) for x in labels]
-    cells = []
-    for i, h in enumerate(here):
-        cells += [F.count(F.when(h, 1)).alias(f"_n{i}"), F.max_by(F.when(h, F.struct(value.alias("v"))), F.when(h, 1)).alias(f"_v{i}")]
-    wide = df.groupBy(*cols(ids)).agg(*cells, F.min(ORDER).alias(ORDER)) if ids else df.agg(*cells, F.min(ORDER).alias(ORDER))
+    kind = data.schema[values_from].dataType
+    # a row per cell first, which finds repeated ones; then each finds its column by a hash
+    keys = [f"_k{i}" for i in range(len(ids))]
+    cells = df.select(*[F.col(quote(c)).alias(k) for c, k in zip(ids, keys, strict=True)], name.alias("_n"), value.alias("_v"), F.col(ORDER).alias("_o"))
+    cells = cells.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_c"), F.any_value("_v").alias("_v"), F.min("_o").alias("_o"))
+    twice = F.raise_error(F.concat(F.lit("several values for one id and name "), F.col("_n").cast("string")))
+    cells = cells.withColumn("_v", F.when(F.col("_c") > 1, twice.cast(kind)).otherwise(F.col("_v")))
+    cells = cells.withColumn("_o", F.min("_o").over(group_window(keys)) if keys else F.lit(0))
+    found = [F.first("_v")] + ([F.first("_c")] if fill is not None else [])
+    wide = cells.groupBy(*keys, "_o").pivot("_n", labels).agg(*[a.alias(f"a{i}") for i, a in enumerate(found)])
+    places = [f"_p{i}" for i in range(len(labels) * len(found))]
+    wide = wide.toDF(*keys, "_o", *places)
     out = []
-    for i, t in enumerate(texts):
-        twice = F.raise_error(F.lit(f"several values for one id and name {t}"))
-        v = F.col(f"_v{i}.v")
-        cell = F.when(F.col(f"_n{i}") > 1, twice.cast(data.schema[values_from].dataType)).when(F.col(f"_n{i}") == 0, F.lit(fill)).otherwise(v)
+    for t, p in zip(texts, places[:: len(found)], strict=True):
+        cell = F.col(p) if fill is None else F.when(F.col(f"_p{int(p[2:]) + 1}").isNull(), F.lit(fill)).otherwise(F.col(p))
         out.append(cell.alias(t))
-    return like(data, wide.select(*cols(ids), *out, ORDER))
+    return like(data, wide.select(*[F.col(k).alias(c) for c, k in zip(ids, keys, strict=True)], *out, F.col("_o").alias(ORDER)))
 
 
 def separate(data: DataFrame, column: str, *, into: list[str], sep: str = " ", regex: bool = False, remove: bool = True, convert: bool = False) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,20 +71,32 @@ def rename(data, **new_old: str):
     return data.select(*[F.col(quote(c)).alias(back.get(c, c)) for c in data.columns])
 
 
-def query(data, predicate: Callable[[Namespace], Column] | Column, na: str = "error"):
-    """Rows whose predicate is true.  A null predicate raises unless ``na="drop"``, which lets the filter be pushed down."""
+def query(data, predicate: Callable[[Namespace], Column | tuple] | Column | tuple, na: str = "error"):
+    """Rows whose predicate is true, or all of a tuple of predicates.  A null predicate raises unless ``na="drop"``.
+
+    Comparisons are pushed to the scan with either choice: what is neither true nor null is left out before the check, one
+    predicate of a tuple at a time.  So name conditions as a tuple rather than joined by ``&`` where missing ones raise.
+    """
     if isinstance(data, Panel):
         return data.with_df(query(data.df, predicate, na))
     if not isinstance(data, DataFrame):
         raise ArgumentError("not a table")
     if na not in ("error", "drop"):
         raise ArgumentError("na is 'error' or 'drop'")
-    p = predicate(Namespace(visible(data))) if callable(predicate) and not isinstance(predicate, Column) else predicate
-    if not isinstance(p, Column) or not isinstance(data.select(p.alias("p")).schema["p"].dataType, BooleanType):
+    given = predicate(Namespace(visible(data))) if callable(predicate) and not isinstance(predicate, Column) else predicate
+    tests = list(given) if isinstance(given, tuple) else [given]
+    if not tests or not all(isinstance(p, Column) and isinstance(data.select(p.alias("p")).schema["p"].dataType, BooleanType) for p in tests):
         raise ArgumentError("the predicate must be a Boolean column")
     if na == "drop":
-        return data.filter(p)
-    return data.filter(F.when(p.isNull(), F.raise_error(F.lit("the predicate is missing in some row")).cast("boolean")).otherwise(p))
+        return data.filter(reduce(and_, tests))
+    # as columns first, so that a test that draws random numbers is worked out once
+    names = [f"_pw_test{i}" for i in range(len(tests))]
+    tested = data.withColumns(dict(zip(names, tests, strict=True)))
+    for n in names:
+        tested = tested.filter(F.col(n) | F.col(n).isNull())
+    p = reduce(and_, [F.col(n) for n in names])
+    checked = F.when(p.isNull(), F.raise_error(F.lit("the predicate is missing in some row")).cast("boolean")).otherwise(p)
+    return tested.filter(checked).select(*cols(data.columns))
 
 
 def arrange(data, *keys, rev: bool = False):

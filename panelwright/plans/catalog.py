@@ -235,12 +235,14 @@ def join_inner(spark, d):
 
 
 _NULL_KEYS = """WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 <> 0 THEN s_nationkey END AS k FROM supplier),
-n AS (SELECT CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey < 12) """
+n AS (SELECT CASE WHEN 2 * n_nationkey % 5 <> 0 THEN 2 * n_nationkey END AS k, n_name FROM nation) """
 
 
 def _null_keys(spark, d):
     s = _some_nulls(verbs.select(read(spark, d, "supplier"), "s_suppkey", ("k", "s_nationkey")), "k", 5)
-    n = _some_nulls(verbs.select(read(spark, d, "nation"), ("k", "n_nationkey"), "n_name").where("k < 12"), "k", 5)
+    # suppliers of odd nations find none, and keys above 24 no supplier
+    doubled = verbs.mutate(read(spark, d, "nation"), k=lambda t: t.n_nationkey * 2)
+    n = _some_nulls(verbs.select(doubled, "k", "n_name"), "k", 5)
     return s, n
 
 

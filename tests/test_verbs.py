@@ -58,6 +58,11 @@ def test_query(abc, nulls):
     with pytest.raises(PySparkException, match="missing"):
         V.query(nulls, lambda t: t.x > 1).collect()
     assert rows(V.query(nulls, lambda t: t.x > 1, na="drop")) == [(2, "a")]
+    assert rows(V.query(abc, lambda t: (t.a > 1, t.b < 6))) == [(2, 5, 8)]
+    with pytest.raises(PySparkException, match="missing"):
+        V.query(nulls, lambda t: (t.x.isNull() | (t.x > 0), t.x > 1)).collect()
+    halves = V.query(abc.sparkSession.range(20000), lambda t: F.rand(5) < 0.5).count()
+    assert 9000 < halves < 11000
     for bad in (lambda t: t.a, lambda t: 5):
         with pytest.raises(ArgumentError):
             V.query(abc, bad)
@@ -136,6 +141,29 @@ def test_joins(spark):
     assert [x for x in J.right_join(c, d, "id").columns if x != ORDER] == ["b", "id", "c", "a", "b_x"]
 
 
+def test_checked_filters_reach_the_scan(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = V.select(V.query(lines, lambda t: (t.l_quantity > 45, t.l_tax < 0.03)), "l_orderkey")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert "GreaterThan(l_quantity,45.0)" in pushed and "LessThan(l_tax,0.03)" in pushed
+    assert "struct<l_orderkey:bigint,l_quantity:double,l_tax:double>" in plan
+    assert out.count() == lines.where("l_quantity > 45 AND l_tax < 0.03").count()
+
+
+def test_wide_pivots_take_one_aggregate(spark):
+    long = spark.range(6000).selectExpr("id % 20 AS g", "concat('n', id DIV 20) AS n", "id AS v").withColumn(ORDER, F.col("v"))
+    wide = R.pivot_wider(long, names_from="n", values_from="v", fill=-1)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" in plan and plan.count("max_by") == 0
+    got = wide.orderBy("g").collect()
+    assert len(got) == 20 and all(r[f"n{i}"] == i * 20 + r.g for r in got for i in range(300))
+    lone = ingest({"n": ["x", "y"], "v": [1, 2]}, spark)
+    assert rows(R.pivot_wider(lone, names_from="n", values_from="v", id_cols=[])) == [(1, 2)]
+    texts = ingest({"id": [None, None, 3], "n": ["x", "y", "x"], "v": ["a", None, "c"]}, spark)
+    assert rows(R.pivot_wider(texts, names_from="n", values_from="v", fill="-")) == [(None, "a", None), (3, "c", "-")]
+
+
 def test_pivots(spark):
     wide = ingest({"date": ["d1", "d2"], "A": [1, 2], "B": [3, None]}, spark)
     long = R.pivot_longer(wide, id_cols=["date"], names_to="series")
