@@ -2,8 +2,9 @@
 
 Each dimension is quantised to at most ``2 ** bits`` levels, the levels give the row's index on a Hilbert curve, and
 the curve is cut into runs of equal row counts.  A shard then covers a small box of every dimension.  Levels keep the
-dimension's order: they are cut at quantiles of the sizes, and of the labels' first bytes behind the prefix that all labels
-share, so a shard's least and greatest label prune files.
+dimension's order: they are cut at quantiles of the sizes and of the labels themselves, so a shard's least and greatest label prune
+files whatever the labels look like.  A label's quantiles come from counts per distinct label, sorted by ranges and summed up
+over the ranges; only the cuts reach the driver.
 
 The global order needs no total sort and no single-partition window over rows: counts per curve cell (at most
 ``2 ** (bits * dimensions)`` of them, a bound by parameter) are summed up along the curve; a row's rank is its
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm._native import let
 from panelwright.llm._skew import place
-from panelwright.llm._store import keep
+from panelwright.llm._store import discard, keep
 
 #: A cell with more than this share of all rows, or more rows than ``PIECE_ROWS``, is cut into pieces.
 SPLIT = 400
@@ -32,29 +33,40 @@ PIECE_ROWS = 500_000
 SALTS = 1 << 16
 #: Bytes that every row counts besides its text.
 ROW_BYTES = 16
-#: Bytes of a label that take part in its order, behind the prefix that all labels share.
-CODE_BYTES = 7
-#: Quantiles are right to one part in this many.
+#: Quantiles of sizes are right to one part in this many.
 ACCURACY = 10_000
 
 
-def shared_prefix(least: bytes, greatest: bytes) -> int:
-    """Bytes that the least and the greatest label, and so all between them, begin with."""
-    n = 0
-    while n < min(len(least), len(greatest)) and least[n] == greatest[n]:
-        n += 1
-    return n
-
-
-def label_code(label: Column, skip: int) -> Column:
-    """A number in the order of the labels: ``CODE_BYTES`` bytes from ``skip`` on; -1 for null."""
-    part = F.rpad(F.hex(F.substring(F.encode(label, "UTF-8"), skip + 1, CODE_BYTES)), 2 * CODE_BYTES, "0")
-    return F.coalesce(F.conv(part, 16, 10).cast("long"), F.lit(-1).cast("long"))
-
-
-def level(code: Column, cuts: list[int], bits: int) -> Column:
-    """Level of a code: how many cuts it has reached, spread over all levels."""
-    at = place(F.array(*[F.lit(c).cast("long") for c in cuts]), len(cuts), code).cast("long")
+def label_key(label: Column) -> Column:
+    """A text in the order of the labels, null before all of them."""
+    return F.coalesce(F.concat(F.lit("1"), label.cast("string")), F.lit(""))
+
+
+def label_cuts(docs: DataFrame, labels: tuple[str, ...], parts: int) -> list[list[str]]:
+    """Per label the keys, fewer than ``parts``, at which a ``parts``-th of the rows has gone by: exact weighted quantiles."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), label_key(F.col(c)).alias("k")) for i, c in enumerate(labels)]))
+    counts = keep(docs.select(each.alias("_l")).groupBy("_l.i", "_l.k").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    ranges = keep(counts.repartitionByRange("i", "k").withColumn("part", F.spark_partition_id()), "label-ranges")
+    before, total = [], [0] * len(labels)
+    for r in ranges.groupBy("i", "part").agg(F.sum("n").alias("n")).orderBy("i", "part").collect():  # no more rows than ranges and labels
+        before.append((r.i, r.part, total[r.i]))
+        total[r.i] += r.n
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "i int, part int, b long"))
+    whole = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(total)), "i int, a long"))
+    line = Window.partitionBy("i", "part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.col("b") + F.coalesce(F.sum("n").over(line), F.lit(0))
+    steps = lambda rows: F.ceil(rows * parts / F.col("a"))
+    cut = ranges.join(offsets, ["i", "part"]).join(whole, "i").select("i", "k", steps(here).alias("from"), steps(here + F.col("n")).alias("to"))
+    out: list[list[str]] = [[] for _ in labels]
+    for r in cut.where(F.greatest(F.col("from"), F.lit(1)) < F.col("to")).orderBy("i", "k").collect():
+        out[r.i].append(r.k)
+    discard(counts, ranges)
+    return out
+
+
+def level(code: Column, cuts: list, bits: int) -> Column:
+    """Level of a size or a label's key: how many cuts it has reached, spread over all levels."""
+    at = place(F.array(*[F.lit(c).cast("long") if isinstance(c, int) else F.lit(c) for c in cuts]), len(cuts), code).cast("long")
     return F.floor(at * (1 << bits) / (len(cuts) + 1)).cast("long")
 
 
@@ -128,26 +140,23 @@ def shards(
         raise ValueError("n_shards must be positive")
     body = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(body).cast("long") + F.lit(ROW_BYTES)
-    ends = docs.agg(*[f(F.encode(F.col(c), "UTF-8")) for c in labels for f in (F.min, F.max)]).first()
-    skips = [shared_prefix(bytes(ends[2 * i] or b""), bytes(ends[2 * i + 1] or b"")) for i in range(len(labels))]
-    codes = [label_code(F.col(c), n) for c, n in zip(labels, skips, strict=True)]
+    cuts = label_cuts(docs, labels, 1 << bits)
     # About 60 bytes a row: the texts are read once, not once for each use below.
     rows = keep(
         docs.select(
             F.col(key),
             size.alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-            *[c.alias(f"_c{i}") for i, c in enumerate(codes)],
+            *[level(label_key(F.col(c)), q, bits).alias(f"_c{i}") for i, (c, q) in enumerate(zip(labels, cuts, strict=True))],
             F.xxhash64(F.col(key), body).alias("_h"),
             F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"),
         ),
         "shard-codes",
     )
-    names = [*(f"_c{i}" for i in range(len(labels))), "size"]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(c, shares, ACCURACY) for c in names]).first()
-    cuts = [sorted(set(found[i] or [])) for i in range(len(names))]
-    rows = rows.select(key, "size", "text_crc32", "_h", "_salt", hilbert_index([level(F.col(c), q, bits) for c, q in zip(names, cuts, strict=True)], bits).alias("curve"))
+    sizes = sorted(set(rows.agg(F.percentile_approx("size", shares, ACCURACY)).first()[0] or []))
+    levels = [*(F.col(f"_c{i}") for i in range(len(labels))), level(F.col("size"), sizes, bits)]
+    rows = rows.select(key, "size", "text_crc32", "_h", "_salt", hilbert_index(levels, bits).alias("curve"))
     per_cell = rows.groupBy("curve").agg(F.count(F.lit(1)).alias("_n"))
     # One row per curve cell at most: 2 ** (bits * dimensions), whatever the size of the table.
     whole = Window.partitionBy(F.lit(0))

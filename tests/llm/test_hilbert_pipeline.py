@@ -71,6 +71,45 @@ def test_one_repeated_row_and_labels_with_a_prefix(spark):
     assert sum(r.lo <= "https://www.m.example/y" <= r.hi for r in spans) <= 8
 
 
+@pytest.mark.parametrize(("lang", "most"), [("'en'", 10), ("if(xxhash64(id, 1) % 3 = 0, 'de', 'en')", 14)])
+def test_labels_of_two_schemes_prune(spark, lang, most):
+    """Twenty sources, a fifth of them under http: two dimensions vary, or three, which leave a source fewer cuts."""
+    source = "concat(if(id % 5 = 0, 'http://', 'https://'), 'site-', substring(md5(cast(id % 20 as string)), 1, 6), '.example/feed')"
+    df = spark.range(20000).selectExpr("id AS doc_id", "repeat('x', int(pmod(xxhash64(id), 300))) AS text", f"{lang} AS lang", f"{source} AS source")
+    got = df.join(H.shards(df, 40).select("doc_id", "shard"), "doc_id")
+    spans = got.groupBy("shard").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).collect()
+    values = [r[0] for r in df.select("source").distinct().collect()]
+    opened = sum(sum(r.lo <= v <= r.hi for r in spans) for v in values) / len(values)
+    print("opened", lang, opened)
+    assert len(values) == 20 and opened <= most, opened
+
+
+def test_shard_and_slot_follow_the_curve(spark):
+    """Levels by sorted labels, the curve by its grid, ranks by sorting: all by brute force."""
+    labels = [None, "", "a", "aa", "b", "http://x", "https://x", "é", "z" * 3000, "\U0001f600"]
+    rows = [(i, "t" * (i * 37 % 211) + ("y" * 2_000_000 if i == 5 else ""), labels[i * i % 10], "hot" if i % 3 == 0 else f"s{i * 7 % 90}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = H.shards(df, 40).orderBy("shard", "slot").collect()
+    points = list(itertools.product(range(16), repeat=3))
+    grid = spark.createDataFrame(points, "x0 long, x1 long, x2 long").withColumn("h", H.hilbert_index([F.col(f"x{i}") for i in range(3)], 4)).collect()
+    at = {r.h: (r.x0, r.x1, r.x2) for r in grid}
+
+    def levels(values):
+        keys = sorted((v is not None, (v or "").encode()) for v in values)
+        cuts = sorted({keys[k * len(keys) // 16] for k in range(1, 16)})
+        return [sum(c <= (v is not None, (v or "").encode()) for c in cuts) * 16 // (len(cuts) + 1) for v in values]
+
+    want = list(zip(levels([r[2] for r in rows]), levels([r[3] for r in rows]), strict=True))
+    sizes = {}
+    for n, r in enumerate(got):
+        assert at[r.curve][:2] == want[r.doc_id]
+        assert r.shard == n * 40 // 700 and r.slot == n - -(-r.shard * 700 // 40)
+        sizes.setdefault(at[r.curve][2], []).append(r.size)
+    assert [r.curve for r in got] == sorted(r.curve for r in got)
+    order = sorted(sizes)
+    assert len(order) > 10 and all(max(sizes[a]) < min(sizes[b]) for a, b in zip(order, order[1:], strict=False))
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
