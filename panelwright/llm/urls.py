@@ -8,7 +8,8 @@ time as a matrix, longest URLs first, so the work is the sum of the URLs' length
 The canonical URL is ``.host``, the byte 255, and the path; a list rule such as ``com/fr/`` is the glob
 ``*.com<255>/fr/*``, which fits the host, its subdomains, and paths that start like the rule's.  That byte stands in no
 UTF-8 text, so it occurs once, and a wildcard of the host can't end in the path.  A method rule is a glob over the same
-string that decides where no list rule fits; ``parse_list`` reads such rules from a filter list.
+string that decides where no list rule fits, and an exception is one that wins over it; ``parse_filters`` reads both from a
+filter list and refuses lines that it can't read.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged like any other; a null id
 is returned like any other; of several list rules the longest wins, then the first in string order; repeated rows are
@@ -18,8 +19,10 @@ empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -72,26 +75,101 @@ PARTS = b"\xff"
 STATE_BYTES = 32 << 20
 
 
-def parse_list(lines) -> tuple[str, ...]:
-    """Method globs of a filter list, one rule a line.
+class ListError(ValueError):
+    """A line of a filter list that can't be read, or asks for what a page's URL doesn't tell."""
+
+
+class Filters(NamedTuple):
+    """Method globs that block, and globs of exceptions that win over them."""
+
+    block: tuple[str, ...]
+    allow: tuple[str, ...]
+
+
+#: Options of a rule that hold for every page.
+PAGE_OPTIONS = frozenset({"all", "doc", "document"})
+#: Names in hosts files that mean the machine itself.
+LOCAL_NAMES = frozenset({"localhost", "localhost.localdomain", "local", "broadcasthost", "ip6-localhost", "ip6-loopback", "0.0.0.0"})
+_ADDRESS = re.compile(r"(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(?:%\w+)?)(?=[ \t])")
+_HOST = re.compile(r"[^\x00-\x20/|^$@#?:\\(){}\[\]+,]+")
+_HIDING = re.compile(r"#[@?$%]{0,2}#")
+
+
+def _rule(rule: str) -> str:
+    """The glob of a rule without its exception mark and options."""
+    if rule.startswith("|") and not rule.startswith("||"):
+        raise ListError("an anchor at the scheme, which isn't part of the canonical URL")
+    if "|" in rule.removeprefix("||").removesuffix("|"):
+        host, _, path = rule.partition("|")
+        if rule.startswith("||") or not host.startswith(("*", ".")) or "|" in path:
+            raise ListError("a glob is host-glob|path-glob, its host-glob begins with * or .")
+        return rule
+    ends = rule.endswith("|")
+    anchored, rule = rule.startswith("||"), rule.removeprefix("||").removesuffix("|")
+    host, slash, path = rule.partition("/")
+    if not slash and host.endswith("^"):
+        host = host[:-1]
+    if "^" in host or "^" in path:
+        raise ListError("a separator mark anywhere but behind the host")
+    if host == "" and (anchored or path == ""):
+        raise ListError("a rule without host and path")
+    if host and not _HOST.fullmatch(host):
+        raise ListError("a host with characters that hosts don't have")
+    if re.search(r"[\\(){}\[\]]", path):
+        raise ListError("a regular expression")
+    if "?" in path or "#" in path:
+        raise ListError("a query or fragment, which the canonical URL doesn't hold")
+    tail = "" if ends else "*"
+    return f"*.{host.lower()}|{slash}{path}{tail}" if host else f"*|{slash}{path}{tail}"
 
-    ``host-glob|path-glob`` is taken as it is; ``||domain^`` and a bare ``domain`` mean the domain and its subdomains,
-    ``domain/path`` a path below it, and ``/path`` a path on any host.  Empty lines, and those that begin with ``#`` or
-    ``!``, are left out.
+
+def _line(line: str) -> list[tuple[bool, str]]:
+    """(whether it is an exception, glob) of one line."""
+    rule = line.strip()
+    if not rule or rule[0] == "!" or (rule[0] == "[" and rule[-1] == "]") or _HIDING.search(rule) or rule[0] == "#":
+        return []
+    address = _ADDRESS.match(rule)
+    if address:
+        names = rule[address.end() :].partition("#")[0].split()
+        if not all(_HOST.fullmatch(n) and "*" not in n for n in names):
+            raise ListError("a line of a hosts file holds an address and names")
+        return [(False, f".{n.lower()}|*") for n in names if n.lower() not in LOCAL_NAMES]
+    allow, rule = rule.startswith("@@"), rule.removeprefix("@@")
+    body, dollar, options = rule.rpartition("$")
+    if dollar and "/" not in options:
+        unknown = [o for o in options.split(",") if o.strip().lower() not in PAGE_OPTIONS]
+        if unknown:
+            raise ListError(f"options {unknown} that a page's URL doesn't decide")
+        rule = body
+    if re.search(r"\s", rule):
+        raise ListError("blanks inside a rule")
+    return [(allow, _rule(rule))]
+
+
+def parse_filters(lines) -> Filters:
+    """Globs of a filter list, one rule a line; a line that can't be read raises ListError with its number.
+
+    ``||domain^``, ``||domain`` and a bare ``domain`` mean the domain and its subdomains, with ``/path`` behind it paths that begin
+    so; ``/path`` is a path on any host, and ``*`` stands for any text.  ``|`` behind a rule ends the path there.  ``@@`` marks an
+    exception.  ``address name...`` of a hosts file blocks these hosts alone.  ``host-glob|path-glob`` is taken as it is.
+    Comments (``!``, ``#``), headers in brackets and rules that hide parts of pages decide no URL and are left out.
     """
-    out = []
-    for line in lines:
-        rule = line.strip()
-        if not rule or rule[0] in "#!":
-            continue
-        if rule.startswith("||"):
-            rule = rule[2:].removesuffix("^")
-        elif "|" in rule:
-            out.append(rule)
-            continue
-        host, slash, path = rule.partition("/")
-        out.append(f"*.{host.lower()}|{slash}{path}*" if host else f"*|{slash}{path}*")
-    return tuple(dict.fromkeys(out))
+    found: tuple[dict, dict] = ({}, {})
+    for number, line in enumerate(lines, 1):
+        try:
+            for allow, glob in _line(line):
+                found[allow][glob] = None
+        except ListError as e:
+            raise ListError(f"line {number}: {e}: {line.strip()[:200]}") from None
+    return Filters(tuple(found[0]), tuple(found[1]))
+
+
+def parse_list(lines) -> tuple[str, ...]:
+    """The blocking globs of a list without exceptions; see ``parse_filters``."""
+    filters = parse_filters(lines)
+    if filters.allow:
+        raise ListError("the list has exceptions, which parse_filters reads")
+    return filters.block
 
 
 class Automaton:
@@ -152,8 +230,9 @@ def _compiled(rules: tuple[ListRule, ...], globs: tuple[str, ...]) -> tuple[list
     return ranked, Automaton([host.encode() + PARTS + path.encode() for host, path in sides])
 
 
-def judge_batches(batches: Iterator[pd.DataFrame], rules: tuple[ListRule, ...], globs: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    ranked, automaton = _compiled(rules, globs)
+def judge_batches(batches: Iterator[pd.DataFrame], rules: tuple[ListRule, ...], globs: tuple[str, ...], exceptions: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    ranked, automaton = _compiled(rules, (*globs, *exceptions))
+    split = len(ranked) + len(globs)
     names = np.array([r.rule for r in ranked] + [None], dtype=object)
     verdicts = np.array([r.verdict for r in ranked] + [""], dtype=object)
     for frame in batches:
@@ -161,7 +240,7 @@ def judge_batches(batches: Iterator[pd.DataFrame], rules: tuple[ListRule, ...],
         hit = automaton.match(canonical)
         lists = np.concatenate((hit[:, : len(ranked)], np.ones((len(frame), 1), dtype=bool)), axis=1)
         best = lists.argmax(axis=1) if len(frame) else np.zeros(0, dtype=int)
-        method = np.where(hit[:, len(ranked) :].any(axis=1), "block", "allow")
+        method = np.where(hit[:, len(ranked) : split].any(axis=1) & ~hit[:, split:].any(axis=1), "block", "allow")
         yield frame.assign(rule=names[best], verdict=np.where(best < len(ranked), verdicts[best], method).astype(object))
 
 
@@ -177,15 +256,15 @@ def split_url(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def judge(
-    pages: DataFrame, rules: tuple[ListRule, ...] = RULES, globs: tuple[str, ...] = METHOD_GLOBS, *, page_id: str = "page_id", url: str = "url"
+    pages: DataFrame, rules: tuple[ListRule, ...] = RULES, globs: tuple[str, ...] = METHOD_GLOBS, *, exceptions: tuple[str, ...] = (), page_id: str = "page_id", url: str = "url"
 ) -> DataFrame:
     """page_id, host, path, rule (null without a list rule) and verdict of every row."""
     if any("*" in r.rule or "/" not in r.rule or "|" in r.rule.partition("/")[0] for r in rules):
         raise ValueError("a list rule is host/path without wildcards")
-    if any("|" not in g for g in globs):
+    if any("|" not in g for g in (*globs, *exceptions)):
         raise ValueError("a method rule is host-glob|path-glob")
     # ids travel as text: pandas has no integers beside nulls
     rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"))
     schema = "page_id string, host string, path string, rule string, verdict string"
-    judged = split_url(rows).drop("url").mapInPandas(workers.batches(__name__, "judge_batches", rules, globs), schema)
+    judged = split_url(rows).drop("url").mapInPandas(workers.batches(__name__, "judge_batches", rules, globs, exceptions), schema)
     return judged.withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType))

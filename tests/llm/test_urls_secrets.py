@@ -58,6 +58,38 @@ def test_thousands_of_rules_from_a_list(spark):
     assert [got[k] for k in range(5000, 5007)] == ["allow", "allow", "block", "allow", "block", "block", "allow"]
 
 
+def test_filter_lists_with_exceptions_and_hosts(spark):
+    lines = [
+        "[Adblock Plus 2.0]", "! title", "||ads.com^", "@@||good.ads.com^", "@@||ads.com/terms", "0.0.0.0 bad.com worse.com # two", "127.0.0.1 localhost", "::1\tsix.com",
+        "||doc.com^$document,all", "site.com/end|", "news.com##.banner", "x.com#@#.banner", "*.cdn*|*/x/*", "/Pixel/", "||w*.wild.org/a*z",
+    ]
+    filters = U.parse_filters(lines)
+    assert filters.allow == ("*.good.ads.com|*", "*.ads.com|/terms*") and ".bad.com|*" in filters.block and not any("localhost" in g for g in filters.block)
+    want = {
+        "http://ads.com": "block", "http://www.ads.com/x": "block", "http://good.ads.com/x": "allow", "http://ads.com/terms/1": "allow", "http://nads.com/": "allow",
+        "http://bad.com/": "block", "http://www.bad.com/": "allow", "http://worse.com/a": "block", "http://six.com/": "block", "http://doc.com/p": "block",
+        "http://site.com/end": "block", "http://site.com/end/more": "allow", "http://news.com/": "allow", "http://a.cdn1.net/x/y": "block", "http://q.net/Pixel/1": "block",
+        "http://q.net/pixel/1": "allow", "http://web.wild.org/abcz1": "block", "http://web.wild.org/abc": "allow", "http://localhost/": "allow",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = U.judge(rows, (), filters.block, exceptions=filters.allow).collect()
+    assert {list(want)[r.page_id]: r.verdict for r in got} == want
+
+
+@pytest.mark.parametrize(
+    "line", ["||ads.com^$third-party", "|https://x.com/", r"/ban\d+/", "ads^*", "||a.com/b^c", "0.0.0.0 a|b", "a b", "||", "/", "x.com/?q=1", "a.com|b|c", "a:80", "||a.com|/b", "@@", "ad$script"]
+)
+def test_lines_that_cannot_be_read_are_refused(line):
+    with pytest.raises(U.ListError, match="line 2"):
+        U.parse_filters(["! first", line])
+
+
+def test_a_plain_list_refuses_exceptions():
+    with pytest.raises(U.ListError, match="exceptions"):
+        U.parse_list(["@@||good.com^"])
+    assert U.parse_list([]) == () and U.parse_filters(["", " "]) == ((), ())
+
+
 def test_automaton_against_globs_over_many_words():
     rnd = random.Random(4)
     globs = ["".join(rnd.choice("ab*c") for _ in range(rnd.randint(1, 9))) for _ in range(60)] + ["", "*"]
