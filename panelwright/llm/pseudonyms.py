@@ -42,6 +42,11 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
 
 
+def whole_key(key: bytes) -> bytes:
+    """The key, or its SHA-512 digest where it is longer than the hash takes: all of it counts."""
+    return key if len(key) <= hashlib.blake2b.MAX_KEY_SIZE else hashlib.sha512(key).digest()
+
+
 class Feistel:
     """A keyed permutation of ``range(size)``."""
 
@@ -52,7 +57,7 @@ class Feistel:
         self.base = 1
         while self.base * self.base < size:
             self.base += 1 if self.base < 64 else self.base // 8
-        self.key = hashlib.blake2b(f"{tweak}:{size}".encode(), key=key[:64], digest_size=32).digest()
+        self.key = hashlib.blake2b(f"{tweak}:{size}".encode(), key=whole_key(key), digest_size=32).digest()
 
     def _round(self, i: int, value: int) -> int:
         data = i.to_bytes(1, "big") + value.to_bytes(32, "big")

@@ -4,17 +4,22 @@
 rules, i.e. a mask: ``apply_policy`` keeps a document when ``fail_bits & mask`` is 0, so a new policy never
 reads the text again.  ``ablation`` tells what each rule costs a policy by bitwise aggregation over the ledger.
 
-Everything is a DataFrame expression: one scan, no shuffle, no Python on the executors.
+``store`` writes the ledger under the rules' version, and policies and ablations go on from there.
 
-Defined results: a null text measures like an empty one; equal rows are measured row by row; a column of
-the input that clashes with an added one is replaced by it; an empty table gives an empty ledger.
+Everything is a DataFrame expression: one scan, no shuffle of rows, no Python on the executors.
+
+Defined results: a null text measures like an empty one; a row with a null id is judged like any other; equal rows are measured row by
+row; a very long text is measured whole; a column of the input that clashes with an added one is replaced by it; an empty table
+gives an empty ledger.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm._native import let, numbers
@@ -130,6 +135,27 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     return measured.withColumn("fail_bits", total)
 
 
+def version(rules: tuple[Rule, ...] = RULES) -> str:
+    """Digest of what the rules are; ledgers of other rules have other versions."""
+    return hashlib.sha256(json.dumps([[r.name, r.bit, r.fails] for r in rules]).encode()).hexdigest()[:16]
+
+
+def store(docs: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Evaluate the rules once, write the ledger without its texts under ``folder`` and the rules' version, and return it.
+
+    A version that is stored already is not overwritten: Spark raises.
+    """
+    book = ledger(docs, text, rules).drop(text)
+    path = f"{folder.rstrip('/')}/rules-{version(rules)}"
+    book.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.schema(book.schema).parquet(path)
+
+
+def stored(spark: SparkSession, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger that ``store`` wrote for these rules: policies and ablations of it read no text."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/rules-{version(rules)}")
+
+
 def mask(policy: str, rules: tuple[Rule, ...] = RULES, policies: dict = POLICIES) -> int:
     """The rule bits that a policy enforces."""
     by_name = {r.name: r.bit for r in rules}
@@ -168,3 +194,15 @@ def ablation(book: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES, poli
             ),
         )
     )
+
+
+def with_ablation(book: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES, policies: dict = POLICIES) -> DataFrame:
+    """Add ``sole_rule``, the only rule of the policy that a document fails (null for none or several), and ``n_sole`` (long),
+    how many documents come back if that rule is dropped.  The joined table has a row per rule."""
+    here = F.col("fail_bits").bitwiseAND(F.lit(mask(policy, rules, policies)).cast("long"))
+    sole = F.lit(None).cast("string")
+    for r in rules:
+        if r.name in policies[policy]:
+            sole = F.when(here == (1 << r.bit), F.lit(r.name)).otherwise(sole)
+    effect = ablation(book, policy, rules, policies).select(F.col("rule").alias("sole_rule"), F.col("n_failed_alone").cast("long").alias("n_sole"))
+    return book.withColumn("sole_rule", sole).drop("n_sole").join(F.broadcast(effect), "sole_rule", "left")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, hilbert, jaccard, merkle, packing, piece_codec, pseudonyms, quality, secrets, spelling, token_records, urls, warc
+from panelwright.llm._store import new_dir
 from panelwright.llm.sql import SQL
 
 
@@ -32,16 +33,19 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-#: Setting of the session that holds the key of the pseudonyms, in hexadecimal digits.
-KEY_SETTING = "spark.panelwright.pseudonyms.key"
+#: Setting of the session that holds the key of the pseudonyms, in hexadecimal digits.  Spark redacts settings with "secret".
+KEY_SETTING = "spark.panelwright.pseudonyms.secretKey"
+#: Key of the queries where the session has none.  Anybody can reverse its pseudonyms: it is for tests.
+TEST_KEY = b"panelwright test key, not secret"
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
-    """The session's key.  Where none is set, a random one that nobody keeps: its pseudonyms can't be reversed."""
+    """The session's key; without one ``TEST_KEY``, with a warning, so that runs agree and can be linked."""
     given = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
     if given:
         return bytes.fromhex(given)
-    return os.urandom(32)
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms of the public test key can be reversed by anybody", stacklevel=2)
+    return TEST_KEY
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +53,9 @@ def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return quality.apply_policy(book, "web-1").select(
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    book = quality.store(docs, new_dir(spark, "rule-ledger"))
+    return quality.with_ablation(quality.apply_policy(book, "web-1"), "web-1").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -61,6 +66,8 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "fail_bits",
         "policy",
+        "sole_rule",
+        "n_sole",
     )
 
 

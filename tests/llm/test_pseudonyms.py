@@ -120,3 +120,24 @@ def test_equal_values_stay_linked_across_documents(spark):
     assert P.apply(df.limit(0), KEY).count() == 0
     with pytest.raises(ValueError):
         P.apply(df, b"")
+
+
+def test_all_of_a_long_key_counts():
+    a, b = b"k" * 64 + b"a", b"k" * 64 + b"b"
+    assert P.pseudonymise(SAMPLE, a)[0] != P.pseudonymise(SAMPLE, b)[0] != P.pseudonymise(SAMPLE, b"k" * 64)[0]
+
+
+def test_the_key_is_redacted_and_runs_agree(spark):
+    from panelwright.llm import registry
+
+    pattern = spark.conf.get("spark.redaction.regex", "(?i)secret|password|token|access[.]?key")
+    assert re.search(pattern, registry.KEY_SETTING)
+    with pytest.warns(UserWarning, match="test key"):
+        assert registry.pseudonym_key(spark) == registry.pseudonym_key(spark) == registry.TEST_KEY
+    spark.conf.set(registry.KEY_SETTING, "00ff")
+    try:
+        assert registry.pseudonym_key(spark) == b"\x00\xff"
+    finally:
+        spark.conf.unset(registry.KEY_SETTING)
+    with pytest.raises(ValueError):
+        P.apply(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"), b"")

@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import pytest
+from pyspark.errors import PySparkException
+
 from panelwright.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,3 +51,28 @@ def test_clashing_columns_and_empty_table(spark):
     assert out.columns.count("n_words") == 1 and out.first().n_words == 2
     assert Q.ledger(df.limit(0)).count() == 0
     assert Q.ablation(Q.ledger(df.limit(0)), "web-1").count() == 0
+
+
+def test_a_stored_ledger_serves_policies_without_texts(spark, tmp_path):
+    rows = [(i, t, "mine") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "mine"), (None, "p q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sole_rule string")
+    folder = str(tmp_path / "ledger")
+    book = Q.store(docs, folder)
+    assert "text" not in book.columns and book.count() == len(rows)
+    again = Q.stored(spark, folder)
+    fresh = Q.ledger(docs)
+    names = ["doc_id", *Q.MEASURES, "fail_bits"]
+    assert sorted(map(str, again.select(names).collect())) == sorted(map(str, fresh.select(names).collect()))
+    with pytest.raises(PySparkException):
+        Q.store(docs, folder)
+    other = Q.RULES[:-1]
+    assert Q.version(other) != Q.version() and Q.store(docs.limit(0), folder, rules=other).count() == 0
+    for policy in Q.POLICIES:
+        bits = {r.name: 1 << r.bit for r in Q.RULES if r.name in Q.POLICIES[policy]}
+        judged = Q.with_ablation(Q.apply_policy(again, policy), policy).collect()
+        assert len(judged) == len(rows)
+        failed = [[n for n, b in bits.items() if r.fail_bits & b] for r in judged]
+        sole = Counter(f[0] for f in failed if len(f) == 1)
+        for r, f in zip(judged, failed, strict=True):
+            assert (r.kept, r.sole_rule) == (not f, f[0] if len(f) == 1 else None)
+            assert r.n_sole == (sole[f[0]] if len(f) == 1 else None)
