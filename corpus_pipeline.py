@@ -4,8 +4,8 @@ Quality rules drop documents that fail the policy; of each group of near duplica
 stays; documents that hold a benchmark window go; personal data is replaced by pseudonyms; texts become token ids.
 All stages but the last return the columns of ``documents``.
 
-The key of the pseudonyms is a setting of the session (``registry.KEY_SETTING``); without one a random key is used and
-forgotten.
+The key of the pseudonyms is a setting of the session (``registry.KEY_SETTING``); without one the public ``registry.TEST_KEY`` is used,
+with a warning.
 
 Defined results in every stage: columns that clash with those of an operator keep their values; very long texts are treated
 whole; an empty table gives an empty one.
