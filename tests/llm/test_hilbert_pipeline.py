@@ -166,5 +166,5 @@ def test_registry_runs_whole_tables(spark):
     from panelwright.llm import registry
 
     names = registry.queries()
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)
