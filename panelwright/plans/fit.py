@@ -134,9 +134,13 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
         else:
             check_known(newdata, [*keys, p.date, *regressors])
             ids = F.explode(F.array(*[F.lit(i) for i in range(len(plain))])).alias("_spec")
-            new = newdata.select(*cols(keys), F.col(quote(p.date)).alias("_ord"), *[F.col(quote(r)).cast("double").alias(f"_x{i}") for i, r in enumerate(regressors)], ids)
+            # new data may come from the panel's own table, so its keys get names of their own: else both sides hold the same columns
+            others = [f"_k{i}" for i in range(len(keys))]
+            named = [F.col(quote(k)).alias(o) for k, o in zip(keys, others, strict=True)]
+            new = newdata.select(*named, F.col(quote(p.date)).alias("_ord"), *[F.col(quote(r)).cast("double").alias(f"_x{i}") for i, r in enumerate(regressors)], ids)
+            meet = [*cols(others), F.col("_spec")]
             run = workers.cogroup(KERNELS, "forecast_cogroup", plain, keys, h, levels, labels, fail_fast)
-            tables.append(_spread(rows, by, partitions).groupBy(*by).cogroup(_spread(new, by, partitions).groupBy(*by)).applyInPandas(run, schema))
+            tables.append(_spread(rows, by, partitions).groupBy(*by).cogroup(_spread(new, meet, partitions).groupBy(*meet)).applyInPandas(run, schema))
     order = [*p.groups, "model_name", "step", "mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")], "method", "status", "error"]
     out = tables[0].select(*cols(order))
     for t in tables[1:]:
