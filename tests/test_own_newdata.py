@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators.panel import panel
+from panelwright.plans import catalog
 from panelwright.plans import fit as fits
 from panelwright.plans import specs as sp
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_new_data_cut_from_the_panels_own_table(spark):
     """Both sides of the forecast come from one table; the result is that of new data read back from plain rows."""
@@ -18,3 +21,9 @@ def test_new_data_cut_from_the_panels_own_table(spark):
     assert own == other and len(own) == 9
     truth = [r.y for r in df.where("a >= 37").orderBy("g", "a").collect()]
     assert [r[3] for r in own] == pytest.approx(truth, abs=1e-4)
+
+
+def test_arima_design_query_forecasts_every_priority(spark):
+    got = catalog.queries()["model_arima_design"](spark, SF).collect()
+    assert {(r.priority, r.step) for r in got} == {(p, k) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for k in range(1, 7)}
+    assert {r.status for r in got} == {"ok"} and all(r.lower_95 < r.lower_80 < r["mean"] < r.upper_80 < r.upper_95 for r in got)
