@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from panelwright.kernels.common import Fit, Forecast, clean
-from panelwright.kernels.optimize import brent, nelder_mead
+from panelwright.kernels.optimize import brent, nelder_mead, nelder_mead_many
 
 KINDS = {"classic": lambda a: 1.0, "sba": lambda a: 1 - a / 2, "sbj": lambda a: 1 - a / (2 - a)}
 
@@ -115,3 +115,90 @@ def croston_hyndman(y, m: int = 1, *, alpha: float = 0.1) -> Fit:
     fit = Fit("croston", {"alpha": alpha}, fitted, y - fitted)
     fit.forecaster = lambda h, levels: Forecast(np.full(h, last))
     return fit
+
+
+class Demands:
+    """Sizes and intervals of the demands of several equally long series, one row each, padded to the most demands."""
+
+    def __init__(self, y: np.ndarray):
+        some = y != 0
+        self.y, self.count = y, some.sum(axis=1)
+        self.most = int(self.count.max(initial=0))
+        row, at = np.nonzero(some)
+        slot = np.arange(len(row)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.z, self.x = np.zeros((len(y), self.most)), np.ones((len(y), self.most))
+        self.z[row, slot] = y[row, at]
+        self.x[row, slot] = at - np.where(slot > 0, np.r_[-1, at[:-1]], -1) if len(at) else at
+        self.before = np.cumsum(some, axis=1) - some  # demands before each step
+
+
+def last_rates(y: np.ndarray, kinds: list[str], *, init_strategy: str = "mean", number_of_params: int = 2, cost_metric: str = "mar", optimize_init: bool = True) -> np.ndarray:
+    """The forecasts of ``croston`` for every row of ``y`` (a series of finite values with two demands or more) and every kind.
+
+    All searches run side by side and each takes the steps that it takes alone, so the results are the same numbers.
+    """
+    d = Demands(y)
+    n = y.shape[1]
+    real = np.arange(d.most) < d.count[:, None]
+    if init_strategy == "mean":
+        z0 = np.array([z[:c].mean() for z, c in zip(d.z, d.count, strict=True)])
+        x0 = np.where(real, d.x, 0.0).sum(axis=1) / d.count
+    else:
+        z0, x0 = d.z[:, 0], d.x[:, 0]
+    z_most, x_most = np.where(real, d.z, -np.inf).max(axis=1), np.maximum(d.x.max(axis=1), 1)
+    if cost_metric in ("mae", "mse"):
+        aim = y
+    else:
+        aim = np.cumsum(y, axis=1) / np.arange(1, n + 1)
+        k = max(1, int(np.ceil(0.3 * n)))
+        aim[:, :k] = aim[:, k - 1 : k]
+    zt, xt = np.ascontiguousarray(d.z.T), np.ascontiguousarray(d.x.T)
+    series, kind = np.repeat(np.arange(len(y)), len(kinds)), np.tile(np.arange(len(kinds)), len(y))
+
+    def values(p, rows):
+        """The rate behind each demand, 0 before the first."""
+        at = series[rows]
+        s, g = p[:, 0], p[:, number_of_params - 1]
+        zz, xx = (p[:, -2].copy(), p[:, -1].copy()) if optimize_init else (z0[at], x0[at])
+        bias = np.choose(kind[rows], [np.broadcast_to(KINDS[k](g), g.shape) for k in kinds])
+        out = np.zeros((len(rows), d.most + 1))
+        for k in range(int(d.count[at].max())):
+            zz += s * (zt[k].take(at) - zz)
+            xx += g * (xt[k].take(at) - xx)
+            out[:, k + 1] = bias * zz / xx
+        return out
+
+    def objective(p, rows):
+        at = series[rows]
+        weights = p[:, :number_of_params]
+        out = ((weights < 0) | (weights > 1)).any(axis=1)
+        if optimize_init:
+            out |= (p[:, -2] < 0) | (p[:, -2] > z_most[at]) | (p[:, -1] < 1) | (p[:, -1] > x_most[at])
+        cost = np.full(len(rows), 9e99)
+        rows, at, p = rows[~out], at[~out], p[~out]
+        if len(rows):
+            rates = values(p, rows)
+            e = aim[at] - rates.ravel().take(d.before[at] + (np.arange(len(rows)) * rates.shape[1])[:, None])
+            e = np.abs(e) if cost_metric in ("mar", "mae") else e * e
+            cost[~out] = e.mean(axis=1) if cost_metric in ("mae", "mse") else e.sum(axis=1)
+        return cost
+
+    start = np.full((len(series), number_of_params), 0.05)
+    if optimize_init:
+        start = np.column_stack([start, z0[series], x0[series]])
+    every = np.arange(len(series))
+    best = nelder_mead_many(objective, start, maxit=2000)
+    return values(best, every)[every, d.count[series]].reshape(len(y), len(kinds))
+
+
+def last_ratios(y: np.ndarray, alpha: float = 0.1) -> np.ndarray:
+    """The forecasts of ``croston_hyndman`` for every row of ``y``, whose values are finite and not negative."""
+    d = Demands(y)
+    if not d.most:
+        return np.zeros(len(y))
+    z, x = d.z[:, 0].copy(), d.x[:, 0].copy()
+    for k in range(1, d.most):
+        on = d.count > k
+        z = np.where(on, z + alpha * (d.z[:, k] - z), z)
+        x = np.where(on, x + alpha * (d.x[:, k] - x), x)
+    return np.where(d.count > 0, z / x, 0.0)

@@ -81,6 +81,85 @@ def nelder_mead(f: Callable, x0, *, maxit: int = 500, reltol: float = 1.49011611
     return Minimum(np.array(simplex[0][2]), simplex[0][0], used, fail)
 
 
+def nelder_mead_many(f: Callable, x0: np.ndarray, *, maxit: int = 500, reltol: float = 1.4901161193847656e-08) -> np.ndarray:
+    """``nelder_mead`` from every row of ``x0`` at once, the best points: each row takes the very steps of a search of its own.
+
+    ``f(points, rows)`` gives the values of points that belong to these rows of ``x0``.
+    """
+    x0 = np.asarray(x0, dtype=float)
+    b, n = x0.shape
+    safe = lambda p, at: np.where(np.isfinite(v := f(p, at)), v, PENALTY)
+    rows, out = np.arange(b), x0.copy()
+    step = 0.1 * np.abs(x0).max(axis=1)
+    stepped = step != 0
+    step[~stepped] = 0.1
+    points = np.repeat(x0[:, None, :], n + 1, axis=1)
+    # the single search's steps are numbers of NumPy, which Python's sum adds plainly; ``plain`` marks them and what came of them
+    plain = np.zeros(points.shape, dtype=bool)
+    for j in range(n):
+        points[:, j + 1, j] += step
+        plain[:, j + 1, j] = stepped
+    values = np.column_stack([safe(points[:, j], rows) for j in range(n + 1)])
+    used = np.full(b, n + 1)
+    tol = reltol * (np.abs(values[:, 0]) + reltol)
+    while True:
+        # new points stand last, so a stable order puts them behind older ones of the same value
+        order = np.argsort(values, axis=1, kind="stable")
+        at = np.arange(len(rows))[:, None]
+        values, points, plain = values[at, order], points[at, order], plain[at, order]
+        going = (values[:, -1] > values[:, 0] + tol) & (used < maxit)
+        if not going.all():
+            out[rows[~going]] = points[~going, 0]
+            rows, values, points, plain, used, tol = (v[going] for v in (rows, values, points, plain, used, tol))
+        if not len(rows):
+            return out
+        low, second, high, worst = values[:, 0], values[:, -2], values[:, -1].copy(), points[:, -1].copy()
+        centre = _sums(points[:, :-1], plain[:, :-1]) / n
+        point = 2 * centre - worst
+        v = safe(point, rows)
+        used += 1
+        grow = np.flatnonzero(v < low)
+        if len(grow):
+            far = 2 * point[grow] - centre[grow]
+            vf = safe(far, rows[grow])
+            used[grow] += 1
+            further = vf < v[grow]
+            point[grow[further]], v[grow[further]] = far[further], vf[further]
+        better = v < high
+        values[better, -1], points[better, -1] = v[better], point[better]
+        mixed = plain.any(axis=1)
+        plain[better, -1] = mixed[better]
+        near_at = np.flatnonzero(~(v < second))
+        if len(near_at):
+            near = (points[near_at, -1] + centre[near_at]) / 2
+            vn = safe(near, rows[near_at])
+            used[near_at] += 1
+            closer = vn < values[near_at, -1]
+            at = near_at[closer]
+            values[at, -1], points[at, -1], plain[at, -1] = vn[closer], near[closer], mixed[at]
+            at = near_at[~closer]
+            if len(at):
+                for k in range(1, n + 1):
+                    p = (points[at, k] + points[at, 0]) / 2
+                    values[at, k], points[at, k] = safe(p, rows[at]), p
+                    plain[at, k] |= plain[at, 0]
+                used[at] += n
+
+
+def _sums(x: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Sums over the second axis as Python's ``sum`` adds floats: rounding errors are carried along up to the first plain number."""
+    total, lost, carried = x[:, 0].copy(), np.zeros_like(x[:, 0]), ~plain[:, 0]
+    for k in range(1, x.shape[1]):
+        v = x[:, k]
+        ends = carried & plain[:, k]
+        total = np.where(ends & np.isfinite(lost), total + lost, total)
+        carried = carried & ~ends
+        t = total + v
+        lost = np.where(carried, lost + np.where(np.abs(total) >= np.abs(v), (total - t) + v, (v - t) + total), lost)
+        total = t
+    return np.where(carried & np.isfinite(lost), total + lost, total)
+
+
 def brent(f: Callable, a: float, b: float, *, tol: float = 1.5e-8, maxit: int = 500) -> Minimum:
     """Golden sections and parabolas on an interval."""
     golden = (3 - math.sqrt(5)) / 2

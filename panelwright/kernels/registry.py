@@ -172,6 +172,81 @@ def forecast_cogroup(frame: pd.DataFrame, future: pd.DataFrame, specs, keys, h,
     return forecast_group(frame, specs, keys, h, levels, labels, fail_fast, future)
 
 
+#: Rows (series times kinds) below which a search of each is faster than one side by side, and values that a side-by-side search takes.
+FEW, CELLS = 16, 1 << 18
+#: Rows of a batch of forecasts, about.
+ROWS = 1 << 16
+_SEARCHED = {"init_strategy": ("mean", "naive"), "number_of_params": (1, 2), "cost_metric": ("mar", "msr", "mae", "mse"), "optimize_init": (True, False)}
+
+
+def _croston_many(specs: list[dict], y: np.ndarray) -> np.ndarray:
+    """Forecasts (series x specs) of equally long series, NaN where a series or a spec is to be fitted alone."""
+    from panelwright.kernels import croston as k
+
+    out = np.full((len(y), len(specs)), np.nan)
+    gaps = ~np.isfinite(y).all(axis=1)
+    two = np.flatnonzero(~gaps & ((y != 0).sum(axis=1) >= 2))
+    alike: dict[str, tuple[dict, list[int]]] = {}
+    for j, spec in enumerate(specs):
+        o = {name: v for name, v in spec["options"].items() if name not in ("kind", "rm_missing", "missing")}
+        kind = spec["options"].get("kind", "hyndman")
+        if kind == "hyndman" and set(o) <= {"alpha"} and isinstance(o.get("alpha", 0.1), (int, float)) and "rm_missing" not in spec["options"]:
+            whole = np.where(np.isfinite(y), y, 0.0)
+            at = np.flatnonzero((whole.min(axis=1) >= 0) & (~gaps | ("missing" not in spec["options"])))
+            if len(at):
+                out[at, j] = k.last_ratios(whole[at], **o)
+        elif isinstance(kind, str) and kind in k.KINDS and all(v in _SEARCHED.get(name, ()) for name, v in o.items()) and (o.get("number_of_params", 2) == 2 or o.get("optimize_init", True)):
+            alike.setdefault(repr(sorted(o.items())), (o, []))[1].append(j)
+    for o, ids in alike.values():
+        size = max(1, CELLS // (y.shape[1] * len(ids)))
+        for begin in range(0, len(two), size):
+            at = two[begin : begin + size]
+            if len(at) * len(ids) >= FEW:
+                out[np.ix_(at, ids)] = k.last_rates(y[at], [specs[j]["options"]["kind"] for j in ids], **o)
+    return out
+
+
+def croston_batches(source, specs: list[dict], keys: list[str], h: int, labels: list, fail_fast: bool):
+    """``forecast_group`` for batches of whole series (keys, _y): searches of many series run side by side, with the results of single ones."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in source:
+        lists = batch.column("_y")
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        values, begin = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+        mean = np.full((len(size), len(specs)), np.nan)
+        method = ["croston" if (kind := s["options"].get("kind", "hyndman")) == "hyndman" else f"croston_{kind}" for s in specs]
+        said: dict[tuple[int, int], str] = {}
+        with np.errstate(all="ignore"):
+            for n in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == n)
+                mean[at] = _croston_many(specs, values[begin[at][:, None] + np.arange(n)])
+            for i, j in np.argwhere(np.isnan(mean)).tolist():
+                try:
+                    mean[i, j] = fit_one(specs[j], values[begin[i] : begin[i] + size[i]], period(specs[j]["m"])).forecast(h).mean[0]
+                except Exception as e:
+                    if fail_fast:
+                        raise
+                    said[i, j] = f"{type(e).__name__}: {e}"
+        for j, spec in enumerate(specs):
+            good = np.array([(i, j) not in said for i in range(len(size))], dtype=bool) if said else np.ones(len(size), dtype=bool)
+            chosen, failed = np.flatnonzero(good), np.flatnonzero(~good)
+            many = max(1, ROWS // h)
+            parts = [(np.repeat(chosen[b : b + many], h), True) for b in range(0, len(chosen), many)] + [(failed, False)] * bool(len(failed))
+            for at, ok in parts:
+                n = len(at)
+                step = pa.array(np.tile(np.arange(1, h + 1), n // h), pa.int32()) if ok else pa.nulls(n, pa.int32())
+                columns = [batch.column(c).take(pa.array(at)) for c in keys]
+                columns += [pa.array([spec["name"]] * n, pa.string()), step]
+                columns += [pa.array(mean[at, j], pa.float64(), from_pandas=True) if ok else pa.nulls(n, pa.float64())]
+                columns += [pa.nulls(n, pa.float64())] * (2 * len(labels))
+                columns += [pa.array([method[j] if ok else None] * n, pa.string()), pa.array(["ok" if ok else "error"] * n, pa.string())]
+                columns += [pa.array([None if ok else said[i, j] for i in at.tolist()], pa.string())]
+                names = [*keys, "model_name", "step", "mean", *[f"{side}_{b}" for b in labels for side in ("lower", "upper")], "method", "status", "error"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def fit_group(frame: pd.DataFrame, specs: list[dict], keys: list[str], fail_fast: bool) -> pd.DataFrame:
     """One row per (series, spec): method, parameters, criteria."""
     spec = specs[int(frame["_spec"].iloc[0])]

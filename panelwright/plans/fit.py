@@ -1,8 +1,8 @@
 """Fit and forecast every series of a panel with every spec.
 
-Models without an optimiser are DataFrame expressions.  The others run as one Arrow-backed grouped function per
-(series, spec), so both series and specs run in parallel after one shuffle on the group keys; only keys, order, target
-and regressors are shipped.  A failure is a row with ``status = 'error'`` unless ``fail_fast``.
+Models without an optimiser are DataFrame expressions.  Croston's forecasts run over batches of series, a series a row.  The
+others run as one Arrow-backed grouped function per (series, spec), so both series and specs run in parallel after one shuffle
+on the group keys; only keys, order, target and regressors are shipped.  A failure is a row with ``status = 'error'`` unless ``fail_fast``.
 """
 
 from __future__ import annotations
@@ -122,6 +122,12 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     for s in filter(smoothed, specs):
         tables.append(_smoothed(s, p, h, levels, labels, fail_fast, partitions))
     fitted = [s for s in specs if s.kernel not in NATIVE and not smoothed(s)]
+    by_target: dict[str, list[Spec]] = {}
+    for s in filter(_batched, fitted):
+        by_target.setdefault(s.target, []).append(s)
+    for target, some in by_target.items():
+        tables.append(_side_by_side(some, p, target, h, labels, fail_fast, partitions))
+    fitted = [s for s in fitted if not _batched(s)]
     if fitted:
         rows, plain, regressors = _shipped(p, fitted)
         bounds = "".join(f"lower_{b} double, upper_{b} double, " for b in labels)
@@ -148,6 +154,23 @@ def forecast(specs, p: Panel, h: int, *, level=(80, 95), newdata: DataFrame | No
     return out
 
 
+def _batched(s: Spec) -> bool:
+    """Kernels that search for many series side by side."""
+    return s.kernel == "croston" and not s.regressors and not s.auto_regressors
+
+
+def _side_by_side(specs: list[Spec], p: Panel, target: str, h: int, labels: list[str], fail_fast: bool, partitions: int | None) -> DataFrame:
+    """Forecasts by a kernel that takes batches of series, a series a row."""
+    _, plain, _ = _shipped(p, specs)
+    rows, keys = _one(p, target), list(p.groups)
+    inner = F.struct(F.col("_ord").isNull(), "_ord", "_y")  # rows without a date come last
+    series = _spread(rows, cols(keys), partitions).groupBy(*cols(keys)).agg(F.array_sort(F.collect_list(inner)).alias("_y"))
+    series = series.where(F.size("_y") > 0).select(*cols(keys), F.col("_y._y").alias("_y"))
+    bounds = "".join(f"lower_{b} double, upper_{b} double, " for b in labels)
+    schema = f"{_fields(p)}model_name string, step int, mean double, {bounds}method string, status string, error string"
+    return series.mapInArrow(workers.batches(KERNELS, "croston_batches", plain, keys, h, labels, fail_fast), schema)
+
+
 def _smoothed(s: Spec, p: Panel, h: int, levels, labels: list[str], fail_fast: bool, partitions: int | None) -> DataFrame:
     """Exponential smoothing as a plan, a failed series a row with its message."""
     options = {k: v for k, v in s.options.items() if k in SMOOTHED[s.kernel]}
